@@ -1,6 +1,378 @@
-"""The registered queries of the legal-records jobs, and their SQL."""
+"""The registered queries of the legal-records jobs, each over whole tables, and their SQL."""
 
 from __future__ import annotations
 
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lexspark.functions import calendar as C
+from lexspark.functions import idcode as I
+from lexspark.jobs import inputs as N
+from lexspark.jobs.publish import publish_plan
+from lexspark.operators import amounts as A
+from lexspark.operators import people as P
+from lexspark.operators import register as R
+from lexspark.sources import acts
+from lexspark.sources.folders import shared_dir
+from lexspark.streaming import amounts as S
+
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def register(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return register
+
+
+def _sql_grouped(whole: str) -> str:
+    return f"CASE WHEN {whole} < 10000 THEN CAST({whole} AS VARCHAR) ELSE replace(format('{{:,}}', {whole}), ',', chr(160)) END"
+
+
+def _sql_cents(cents: str) -> str:
+    whole = f"CAST(abs({cents}) // 100 AS BIGINT)"
+    return f"(CASE WHEN {cents} < 0 THEN chr(8722) ELSE '' END) || ({_sql_grouped(whole)}) || ',' || lpad(CAST(abs({cents}) % 100 AS VARCHAR), 2, '0')"
+
+
+# amounts
+
+
+_SIGNED = "signed AS (SELECT *, CASE WHEN flag = 'R' THEN -cents ELSE cents END AS amount FROM lines)"
+
+
+@query(f"""WITH {N.LINES_SQL}, {_SIGNED}, sums AS (
+  SELECT doc_id, CAST(sum(amount) AS BIGINT) AS total, count(*) AS n, string_agg({_sql_cents('amount')}, chr(10) ORDER BY ord) AS amount_list FROM signed GROUP BY doc_id
+) SELECT doc_id, round(total / 100.0::DOUBLE, 10) AS total, 2 AS max_decimals, CAST(n AS INTEGER) AS n_active, CAST(n AS INTEGER) AS n_total,
+  {_sql_cents('total')} || chr(160) || '€' AS sum_label, CAST(n AS VARCHAR) AS count_label, amount_list FROM sums""")
+def amount_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return A.document_totals(N.invoice_texts(spark, sf_dir))
+
+
+@query(f"""WITH {N.LINES_SQL}, {_SIGNED} SELECT doc_id, ord, amount / 100.0::DOUBLE AS amount, 2 AS decimals FROM signed""")
+def amount_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return A.matches(N.invoice_texts(spark, sf_dir)).drop("raw")
+
+
+@query(f"""WITH {N.LINES_SQL}, {_SIGNED}, sums AS (
+  SELECT doc_id, CAST(coalesce(sum(amount) FILTER (line % 3 <> 0), 0) AS BIGINT) AS total, count(*) FILTER (line % 3 <> 0) AS a, count(*) AS n,
+    coalesce(string_agg({_sql_cents('amount')}, chr(10) ORDER BY ord) FILTER (line % 3 <> 0), '') AS amount_list FROM signed GROUP BY doc_id
+) SELECT doc_id, round(total / 100.0::DOUBLE, 10) AS total, CASE WHEN a > 0 THEN 2 ELSE 0 END AS max_decimals, CAST(a AS INTEGER) AS n_active, CAST(n AS INTEGER) AS n_total,
+  {_sql_cents('total')} || chr(160) || '€' AS sum_label, CASE WHEN a = n THEN CAST(n AS VARCHAR) ELSE a || ' / ' || n END AS count_label, amount_list FROM sums""")
+def amount_totals_excluded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    exclusions = N.order_lines(spark, sf_dir).where(F.col("line") % 3 == 0).select("doc_id", "ord")
+    return A.document_totals(N.invoice_texts(spark, sf_dir), exclusions)
+
+
+@query(f"""WITH {N.LINES_SQL}, {_SIGNED} SELECT doc_id, ord, amount / 100.0::DOUBLE AS amount FROM signed WHERE line % 3 <> 0""")
+def active_amounts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    exclusions = N.order_lines(spark, sf_dir).where(F.col("line") % 3 == 0)
+    return A.active_matches(A.matches(N.invoice_texts(spark, sf_dir)), exclusions).select("doc_id", "ord", "amount")
+
+
+@query(f"""WITH {N.LINES_SQL}, sums AS (SELECT doc_id, CAST(sum(tenths) AS BIGINT) AS t, count(*) AS n FROM lines GROUP BY doc_id)
+SELECT doc_id, round(t / 10.0::DOUBLE, 10) AS total, 1 AS max_decimals, CAST(n AS INTEGER) AS n_active,
+  ({_sql_grouped('CAST(t // 10 AS BIGINT)')}) || (CASE WHEN t % 10 > 0 THEN ',' || (t % 10) ELSE '' END) || chr(160) || 'g' AS sum_label FROM sums""")
+def gram_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return A.document_totals(N.gram_texts(spark, sf_dir), mode="g").select("doc_id", "total", "max_decimals", "n_active", "sum_label")
+
+
+@query()
+def number_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return A.document_totals(N.table(spark, sf_dir, "documents"), mode="n")
+
+
+@query(f"""WITH {N.LINES_SQL}, {N.PLAIN_SQL}
+SELECT doc_id, ord, raw, cents / 100.0::DOUBLE AS amount, 2 AS decimals, pos AS index, CAST(length(raw) AS INTEGER) AS match_len FROM offsets""")
+def amount_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return A.with_offsets(N.plain_texts(spark, sf_dir))
+
+
+_REVISED = "' ' || repeat(' ', CAST(9 + doc_id % 4 AS INTEGER))"
+
+
+@query(f"""WITH {N.LINES_SQL}, {N.PLAIN_SQL}, revised AS (SELECT *, pos + CAST(9 + doc_id % 4 AS INTEGER) AS now FROM offsets)
+SELECT doc_id, ord FROM revised r WHERE EXISTS (SELECT 1 FROM offsets o WHERE o.doc_id = r.doc_id AND o.line % 3 = 0 AND o.raw = r.raw AND abs(o.pos - r.now) <= 10)""")
+def carried_exclusions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    before = N.plain_texts(spark, sf_dir)
+    after = before.withColumn("text", F.concat(F.repeat(F.lit(" "), (9 + F.col("doc_id") % 4).cast("int")), F.col("text")))
+    asked = N.order_lines(spark, sf_dir).where(F.col("line") % 3 == 0).select("doc_id", "ord")
+    excluded = A.with_offsets(before).join(asked, ["doc_id", "ord"], "left_semi")
+    return A.carry_exclusions(excluded, A.with_offsets(after))
+
+
+@query(f"""WITH {N.LINES_SQL}, {N.PLAIN_SQL} SELECT doc_id, 'Arve ' || doc_id || ': ' || string_agg('<mark' || (CASE WHEN line % 3 = 0 THEN ' class="excluded"' ELSE '' END)
+  || ' data-idx="' || ord || '">' || raw || '</mark>', ' &amp; ' ORDER BY ord) || '<span></span>' AS html FROM placed GROUP BY doc_id""")
+def annotated_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lexspark.functions.highlight import annotate
+
+    asked = N.order_lines(spark, sf_dir).where(F.col("line") % 3 == 0).groupBy("doc_id").agg(F.collect_set("ord").alias("ords"))
+    joined = N.plain_texts(spark, sf_dir).join(asked, "doc_id", "left")
+    ords = F.coalesce(F.col("ords"), F.array().cast("array<int>"))
+    return joined.select("doc_id", annotate(F.col("text"), ords, "eur").alias("html"))
+
+
+@query(f"""WITH {N.LINES_SQL}, {_SIGNED} SELECT doc_id, ord, lpad(CAST(ord + 1 AS VARCHAR), 2, '0') AS row_no FROM signed""")
+def numbered_amounts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = A.matches(N.invoice_texts(spark, sf_dir)).select("doc_id", "ord")
+    return A.numbered(found, 2, ["doc_id"], ["ord"])
+
+
+# people
+
+
+@query(f"""WITH {N.IDS_SQL}, weighed AS (
+  SELECT *, list_sum(list_transform(range(1, 11), lambda i: CAST(ten[i] AS INTEGER) * ([1,2,3,4,5,6,7,8,9,1])[i])) % 11 AS r1,
+    list_sum(list_transform(range(1, 11), lambda i: CAST(ten[i] AS INTEGER) * ([3,4,5,6,7,8,9,1,2,3])[i])) % 11 AS r2 FROM said
+) SELECT person_id, kind = 'fine' AS valid,
+  CASE kind WHEN 'length' THEN '{I.WRONG_LENGTH}' WHEN 'century' THEN '{I.WRONG_CENTURY}' WHEN 'date' THEN '{I.WRONG_DATE}' END AS error,
+  CASE WHEN kind = 'fine' THEN person_id % 7 <> 0 END AS checksum_ok, CASE WHEN kind = 'fine' THEN d END AS born,
+  CASE kind WHEN 'length' THEN CASE WHEN person_id % 5 = 0 THEN '4 numbrit puudu' ELSE '3 numbrit puudu' END WHEN 'century' THEN '{I.WRONG_CENTURY}' WHEN 'date' THEN '{I.WRONG_DATE}'
+    ELSE CASE WHEN person_id % 7 <> 0 THEN '{I.CHECKED}' ELSE '{I.UNCHECKED}' END END AS status FROM weighed""")
+def id_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = N.id_codes(spark, sf_dir).withColumn("p", I.parse_id_code(I.normalise_code(F.col("code"))))
+    return rows.select("person_id", "p.valid", "p.error", "p.checksum_ok", "p.born", I.id_code_status(F.col("code")).alias("status"))
+
+
+@query(f"""WITH {N.IDS_SQL}, born AS (
+  SELECT person_id, ref, CASE WHEN kind = 'fine' THEN d WHEN person_id % 3 <> 0 THEN d END AS b FROM said
+), months AS (
+  SELECT *, (year(ref) - year(b)) * 12 + month(ref) - month(b) AS apart FROM born
+), full_months AS (
+  SELECT *, apart - CASE WHEN CAST(b + to_months(CAST(apart AS INTEGER)) AS DATE) > ref THEN 1 ELSE 0 END AS mm FROM months
+), noted AS (
+  SELECT *, ref >= b AS fine, month(b) = month(ref) AND day(b) = day(ref) AS today,
+    make_date(year(ref), month(b), 1) + CAST(day(b) - 1 AS INTEGER) AS this_year FROM full_months
+), nexts AS (SELECT *, year(ref) + CASE WHEN today OR this_year <= ref THEN 1 ELSE 0 END AS ny FROM noted)
+SELECT person_id, b AS born, CASE WHEN ref < b THEN '{C.TOO_EARLY}' WHEN b IS NOT NULL THEN 'ok' END AS status,
+  CASE WHEN fine THEN (mm // 12) || chr(160) || (CASE WHEN mm // 12 = 1 THEN 'aasta' ELSE 'aastat' END) || '  ' || (mm % 12) || chr(160) || (CASE WHEN mm % 12 = 1 THEN 'kuu' ELSE 'kuud' END)
+    || '  ' || date_diff('day', CAST(b + to_months(CAST(mm AS INTEGER)) AS DATE), ref) || chr(160) || (CASE WHEN date_diff('day', CAST(b + to_months(CAST(mm AS INTEGER)) AS DATE), ref) = 1 THEN 'päev' ELSE 'päeva' END) END AS age_label,
+  CASE WHEN fine THEN today END AS is_birthday, CASE WHEN fine THEN strftime(b, '%d.%m.') || ny END AS next_label,
+  CASE WHEN fine THEN CAST(date_diff('day', ref, make_date(ny, month(b), 1) + CAST(day(b) - 1 AS INTEGER)) AS INTEGER) END AS days_until FROM nexts""")
+def person_ages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = P.person_age(N.id_codes(spark, sf_dir))
+    return found.select("person_id", "born", "status", "age_label", "birthday.is_birthday", "birthday.next_label", "birthday.days_until")
+
+
+@query(f"""WITH {N.SENTENCES_SQL}, sums AS (SELECT person_id, sum(y) AS y, sum(m) AS m, sum(d) AS d FROM sentences GROUP BY person_id),
+carried AS (SELECT person_id, CAST(y + (m + d // 30) // 12 AS BIGINT) AS years, CAST((m + d // 30) % 12 AS BIGINT) AS months, CAST(d % 30 AS BIGINT) AS days FROM sums)
+SELECT *, CASE WHEN years + months + days = 0 THEN '—' ELSE concat_ws(' ',
+  CASE WHEN years > 0 THEN years || chr(160) || (CASE WHEN years = 1 THEN 'aasta' ELSE 'aastat' END) END,
+  CASE WHEN months > 0 THEN months || chr(160) || (CASE WHEN months = 1 THEN 'kuu' ELSE 'kuud' END) END,
+  CASE WHEN days > 0 THEN days || chr(160) || (CASE WHEN days = 1 THEN 'päev' ELSE 'päeva' END) END) END AS label FROM carried""")
+def merged_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return P.merge_sentences(N.sentences(spark, sf_dir), "person_id")
+
+
+def _sql_release(num: str, den: str) -> str:
+    end = "CAST(start_date + to_months(CAST(12 * y + m AS INTEGER)) AS DATE) + d"
+    least = "date_diff('day', start_date, CAST(start_date + INTERVAL 4 MONTH AS DATE))"
+    part = f"(date_diff('day', start_date, {end}) * {num}) // {den}"
+    there = "y + m + d > 0"
+    return f"""CASE WHEN {there} THEN CAST(date_diff('day', start_date, {end}) AS INTEGER) END AS total_days,
+  CASE WHEN {there} THEN start_date + CAST(greatest({part}, {least}) AS INTEGER) END AS release_date, CASE WHEN {there} THEN {least} > {part} END AS min_applied"""
+
+
+@query(f"""WITH {N.SENTENCES_SQL}, rules AS (SELECT * FROM (VALUES (1, 3), (1, 2), (2, 3)) r(num, den))
+SELECT case_id, num, den, {_sql_release('num', 'den')} FROM sentences, rules""")
+def release_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return P.cross_release_rules(N.sentences(spark, sf_dir)).select("case_id", "num", "den", "total_days", "release_date", "min_applied")
+
+
+_GROUNDS_SQL = ", ".join(f"({n}, {d}, {j}, '{i}', '{g}', {'NULL' if m is None else m}, '{p}')" for n, d, j, i, g, m, p in P.GROUNDS)
+
+
+@query(f"""WITH {N.SENTENCES_SQL}, cases AS (
+  SELECT *, case_id % 3 = 0 AS juvenile, CASE WHEN case_id % 2 = 0 THEN 'intentional' ELSE 'negligent' END AS intent,
+    CASE WHEN (case_id // 2) % 2 = 0 THEN 'I' ELSE 'II' END AS degree, CASE (case_id // 4) % 3 WHEN 0 THEN true WHEN 1 THEN false END AS monitoring FROM sentences
+), grounds AS (SELECT * FROM (VALUES {_GROUNDS_SQL}) g(num, den, j, i, g, mon, provision))
+SELECT case_id, num, den, provision, {_sql_release('num', 'den')} FROM cases JOIN grounds ON juvenile = j AND intent = i AND degree = g AND (mon IS NULL OR coalesce(monitoring, false) = mon)""")
+def applicable_releases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key = F.col("case_id")
+    cases = N.sentences(spark, sf_dir).withColumns({
+        "juvenile": key % 3 == 0,
+        "intent": F.when(key % 2 == 0, "intentional").otherwise("negligent"),
+        "degree": F.when(F.floor(key / 2) % 2 == 0, "I").otherwise("II"),
+        "monitoring": F.when(F.floor(key / 4) % 3 == 0, True).when(F.floor(key / 4) % 3 == 1, False),
+    })
+    return P.applicable_release(cases).select("case_id", "num", "den", "provision", "total_days", "release_date", "min_applied")
+
+
+# registers
+
+
+@query(f"WITH {N.ANNEX_SQL} SELECT *, lpad(CAST(ord AS VARCHAR), 3, '0') AS row_no FROM substances")
+def register_substances(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.numbered_substances(R.substances(N.annex_words(spark, sf_dir), N.annex_rows(spark, sf_dir)))
+
+
+@query(f"""WITH {N.ANNEX_SQL} SELECT doc_id, list_id, count(*) AS n_warnings FROM told WHERE entry = 0 GROUP BY doc_id, list_id""")
+def register_warnings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = R.classified_rows(R.page_events(N.annex_words(spark, sf_dir), N.annex_rows(spark, sf_dir)))
+    return R.merge_continuations(rows)[1].groupBy("doc_id", "list_id").agg(F.count(F.lit(1)).alias("n_warnings"))
+
+
+@query(f"""WITH {N.ANNEX_SQL}, full_lists AS (
+  SELECT e.doc_id, l.list_id, count(s.ord) AS n FROM (SELECT DISTINCT doc_id FROM steps) e CROSS JOIN (SELECT CAST(range AS INTEGER) AS list_id FROM range(1, 7)) l
+  LEFT JOIN substances s ON s.doc_id = e.doc_id AND s.list_id = l.list_id GROUP BY e.doc_id, l.list_id
+), rolled AS (SELECT doc_id, list_id, CAST(sum(n) AS BIGINT) AS n FROM full_lists GROUP BY GROUPING SETS ((doc_id, list_id), (doc_id)))
+SELECT *, n || (CASE WHEN list_id = 6 THEN ' rühma' ELSE ' ainet' END) AS label FROM rolled""")
+def register_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = N.annex_rows(spark, sf_dir)
+    return R.list_counts(R.substances(N.annex_words(spark, sf_dir), rows), rows.select("doc_id"))
+
+
+@query(f"""WITH {N.ANNEX_SQL}, kept AS (SELECT * FROM substances WHERE NOT (doc_id = 'act1' AND list_id IN (2, 5)))
+SELECT e.doc_id, list_sort(list(l.list_id)) AS empty_lists FROM (SELECT DISTINCT doc_id FROM steps) e CROSS JOIN (SELECT CAST(range AS INTEGER) AS list_id FROM range(1, 7)) l
+WHERE NOT EXISTS (SELECT 1 FROM kept s WHERE s.doc_id = e.doc_id AND s.list_id = l.list_id) GROUP BY e.doc_id""")
+def register_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = N.annex_rows(spark, sf_dir)
+    subs = R.substances(N.annex_words(spark, sf_dir), rows).where(~((F.col("doc_id") == "act1") & F.col("list_id").isin(2, 5)))
+    return R.validate_register(R.list_counts(subs, rows.select("doc_id")))
+
+
+def _meta(rows: DataFrame, generated: str) -> DataFrame:
+    return rows.select("doc_id").distinct().select("doc_id", F.lit("annex").alias("source"), F.concat(F.lit("akt/"), "doc_id").alias("act"), F.lit("23.02.2026").alias("effective_date"), F.lit(generated).alias("generated"))
+
+
+@query(f"""WITH {N.ANNEX_SQL} SELECT e.doc_id, l.list_id AS id, l.list_id = 6 AS "isGroups", count(s.ord) AS n, coalesce(string_agg(s.et || '=' || s.en, ';' ORDER BY s.ord), '') AS listed
+FROM (SELECT DISTINCT doc_id FROM steps) e CROSS JOIN (SELECT CAST(range AS INTEGER) AS list_id FROM range(1, 7)) l
+LEFT JOIN substances s ON s.doc_id = e.doc_id AND s.list_id = l.list_id GROUP BY e.doc_id, l.list_id""")
+def nested_registers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = N.annex_rows(spark, sf_dir)
+    nested = R.build_register(R.substances(N.annex_words(spark, sf_dir), rows), _meta(rows, "now")).select("doc_id", F.explode("lists").alias("l"))
+    listed = F.array_join(F.transform("l.substances", lambda s: F.concat(s["et"], F.lit("="), s["en"])), ";")
+    return nested.select("doc_id", "l.id", "l.isGroups", F.size("l.substances").cast("long").alias("n"), listed.alias("listed"))
+
+
+@query("""SELECT DISTINCT 'act' || (p_partkey % 5) AS doc_id, (p_partkey % 5) % 2 = 0 AS changed FROM part""")
+def changed_registers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = N.annex_rows(spark, sf_dir)
+    subs = R.substances(N.annex_words(spark, sf_dir), rows)
+    edited = F.substring("doc_id", 4, 5).cast("int") % 2 == 0
+    later = subs.withColumn("en", F.when(edited & (F.col("ord") == 1), F.concat("en", F.lit("!"))).otherwise(F.col("en")))
+    return publish_plan(R.build_register(later, _meta(rows, "later")), R.build_register(subs, _meta(rows, "before")))
+
+
+_TERMS_SQL = """
+terms AS (SELECT DISTINCT ' ' || lower(p_type) AS q FROM part UNION SELECT DISTINCT upper(p_brand) || ' ' FROM part UNION ALL SELECT 'zzz' UNION ALL SELECT '  '),
+asked AS (SELECT q, trim(lower(q)) AS wanted FROM terms),
+register AS (SELECT CAST(p_partkey % 6 + 1 AS INTEGER) AS list_id, p_partkey AS ord, p_name || ' <' || p_partkey || '>' AS et, p_type || ' & ' || p_brand AS en FROM part)"""
+_ESCAPED = "replace(replace(replace({}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;')"
+_MARKED = "CASE WHEN wanted = '' THEN " + _ESCAPED + " ELSE regexp_replace(" + _ESCAPED + ", '(?i)(' || wanted || ')', '<mark>\\1</mark>', 'g') END"
+
+
+@query(f"""WITH {_TERMS_SQL} SELECT q, list_id, ord, {_MARKED.format('et', 'et')} AS et_html, {_MARKED.format('en', 'en')} AS en_html
+FROM asked, register WHERE wanted = '' OR contains(lower(et), wanted) OR contains(lower(en), wanted)""")
+def register_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    terms = N.search_terms(spark, sf_dir)
+    hits = R.search_register(N.part_substances(spark, sf_dir), terms)
+    return hits.join(F.broadcast(terms), "query_id").select("q", "list_id", "ord", "et_html", "en_html")
+
+
+@query(f"""WITH {_TERMS_SQL}, grid AS (SELECT q, wanted, CAST(range AS INTEGER) AS list_id FROM asked, range(1, 7)),
+seen AS (SELECT g.q, g.wanted, g.list_id, count(r.ord) AS total, count(r.ord) FILTER (wanted = '' OR contains(lower(et), wanted) OR contains(lower(en), wanted)) AS visible
+  FROM grid g LEFT JOIN register r ON r.list_id = g.list_id GROUP BY g.q, g.wanted, g.list_id)
+SELECT q, list_id, visible, total, CASE WHEN wanted <> '' THEN visible || '/' || total ELSE total || (CASE WHEN list_id = 6 THEN ' rühma' ELSE ' ainet' END) END AS badge,
+  wanted <> '' AND visible = 0 AS hidden, CASE WHEN wanted <> '' THEN CAST(sum(visible) OVER (PARTITION BY q) AS BIGINT) || ' tulemust' ELSE '' END AS result_label FROM seen""")
+def search_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    terms = N.search_terms(spark, sf_dir)
+    found = R.search_counts(N.part_substances(spark, sf_dir), terms)
+    return found.join(F.broadcast(terms), "query_id").select("q", "list_id", "visible", "total", "badge", "hidden", "result_label")
+
+
+@query("""WITH t AS (SELECT p_partkey AS k, p_name, p_type FROM part)
+SELECT k AS row_id, CASE WHEN k % 6 = 0 THEN CAST((k // 6) % 6 + 1 AS INTEGER) END AS header, k % 6 = 1 OR k % 6 = 0 AS boilerplate,
+  CASE k % 6 WHEN 0 THEN 'more_et' WHEN 1 THEN 'more_et' WHEN 2 THEN 'new' WHEN 3 THEN 'more_en' WHEN 4 THEN 'new' END AS kind,
+  CASE WHEN k % 6 = 2 THEN p_name || '-' || p_type END AS et FROM t""")
+def cell_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("p_partkey")
+    numeral = F.element_at(F.array(*[F.lit(x) for x in ("I", "II", "III", "IV", "V", "VI")]), (F.floor(k / 6) % 6 + 1).cast("int"))
+    cells = (
+        F.when(k % 6 == 0, F.array(F.concat(numeral, F.lit("  Nimekiri "))))
+        .when(k % 6 == 1, F.array(F.lit("3 / 12"), F.lit(None).cast("string")))
+        .when(k % 6 == 2, F.array(F.concat(F.lit(" "), "p_name", F.lit("-\n"), "p_type"), F.concat("p_type", F.lit("\n\nx"))))
+        .when(k % 6 == 3, F.array(F.lit(""), F.col("p_type")))
+        .when(k % 6 == 4, F.array(F.col("p_name"), F.lit("ab")))
+        .otherwise(F.array(F.lit("ab"), F.lit("cde")))
+    )
+    rows = N.table(spark, sf_dir, "part").select(k.alias("row_id"), cells.alias("cells")).where(R.non_empty_row(F.col("cells")))
+    joined = R.joined_cells(F.col("cells"))
+    said = R.classify_row(F.col("cells"))
+    return rows.select("row_id", R.list_header(joined).alias("header"), R.is_boilerplate(joined).alias("boilerplate"), said["kind"].alias("kind"), F.when(F.col("row_id") % 6 == 2, said["et"]).alias("et"))
+
+
+@query(f"""WITH t AS (SELECT o_orderkey AS k, CAST(o_orderdate AS DATE) AS d FROM orders)
+SELECT k AS act_id, CASE WHEN k % 10 <> 0 THEN '{acts.ACT}' || k || '/blob-xml' END AS blob_url, CASE WHEN k % 10 = 0 THEN '{acts.NO_REVISION}' END AS error,
+  CASE WHEN k % 4 <> 3 AND k % 5 <> 0 THEN '{acts.ANNEX}' || k || '_LISA_1.pdf' END AS annex_url,
+  CASE WHEN k % 4 = 3 THEN '{acts.BROKEN}' WHEN k % 5 = 0 THEN '{acts.NO_ANNEX}' END AS annex_error,
+  CASE k % 4 WHEN 0 THEN strftime(d, '%d.%m.%Y') WHEN 1 THEN 'alates ' || strftime(d, '%d.%m.%Y') WHEN 2 THEN strftime(d, '%d.%m.%Y') END AS effective_date FROM t""")
+def act_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k, d = F.col("o_orderkey"), F.to_date("o_orderdate")
+    key = k.cast("string")
+    body = F.when(k % 10 == 0, F.lit('{"kehtivRedaktsioon": 0}')).otherwise(F.concat(F.lit('{"kehtivRedaktsioon": '), key, F.lit("}")))
+    date = F.when(k % 4 == 1, F.concat(F.lit("alates "), F.date_format(d, "dd.MM.yyyy"))).otherwise(F.date_format(d, "yyyy-MM-dd"))
+    prefix = F.when(k % 4 == 2, F.lit("a:")).otherwise(F.lit(""))
+    space = F.when(k % 4 == 2, F.lit(' xmlns:a="urn:akt"')).otherwise(F.lit(""))
+    named = F.when(k % 5 == 0, F.lit("Lisa 2")).otherwise(F.lit("vt Lisa 1"))
+    xml = F.concat(
+        F.lit("<"), prefix, F.lit("akt"), space, F.lit("><"), prefix, F.lit("kehtivuseAlgus> "), date, F.lit(" </"), prefix, F.lit("kehtivuseAlgus><"), prefix, F.lit("tavatekst>"), named,
+        F.lit("</"), prefix, F.lit("tavatekst><"), prefix, F.lit('fail failNimi="muu.pdf"/><'), prefix, F.lit('fail failNimi="'), key, F.lit('_LISA_1.pdf"/></'), prefix, F.lit("akt"),
+        F.when(k % 4 == 3, F.lit("")).otherwise(F.lit(">")),
+    )
+    rows = N.table(spark, sf_dir, "orders").select(k.alias("act_id"), body.alias("body"), xml.alias("xml"))
+    found = acts.effective_date(acts.annex_url(acts.resolve_revision(rows)))
+    return found.select("act_id", "blob_url", "error", "annex_url", "annex_error", "effective_date")
+
+
+# streams
+
+
+def _streamed(df: DataFrame) -> DataFrame:
+    """df as a stream: written to the shared folder, and read from there file by file."""
+    folder = f"{shared_dir(df.sparkSession)}/arrived-{uuid.uuid4()}"
+    df.write.parquet(folder)
+    return df.sparkSession.readStream.schema(df.schema).parquet(folder)
+
+
+def _drained(stream: DataFrame) -> DataFrame:
+    """What a stream yields for all that has arrived."""
+    spark = stream.sparkSession
+    folder = f"{shared_dir(spark)}/drained-{uuid.uuid4()}"
+    running = stream.writeStream.format("parquet").option("path", folder).option("checkpointLocation", f"{folder}-log").trigger(availableNow=True).start()
+    running.awaitTermination()
+    return spark.read.schema(stream.schema).parquet(folder)
+
+
+@query(f"""WITH {N.LINES_SQL}, {_SIGNED} SELECT doc_id, ord, amount / 100.0::DOUBLE AS amount, 2 AS decimals FROM signed""")
+def streamed_amounts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _drained(S.stream_amounts(_streamed(N.invoice_texts(spark, sf_dir)))).drop("raw")
+
+
+@query(f"""WITH {N.LINES_SQL}, {N.PLAIN_SQL}, revised AS (SELECT *, pos + CAST(9 + doc_id % 4 AS INTEGER) AS now FROM offsets)
+SELECT doc_id, 0 AS revision, ord, raw, pos AS index FROM offsets WHERE line % 3 = 0 UNION ALL
+SELECT doc_id, 1 AS revision, ord, raw, now AS index FROM revised r WHERE EXISTS (SELECT 1 FROM offsets o WHERE o.doc_id = r.doc_id AND o.line % 3 = 0 AND o.raw = r.raw AND abs(o.pos - r.now) <= 10)""")
+def streamed_exclusions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    asked = N.order_lines(spark, sf_dir).where(F.col("line") % 3 == 0).groupBy("doc_id").agg(F.collect_set("ord").alias("excluded"))
+    before = N.plain_texts(spark, sf_dir).join(asked, "doc_id", "left").select("doc_id", F.lit(0).alias("revision"), "text", "excluded")
+    shifted = F.concat(F.repeat(F.lit(" "), (9 + F.col("doc_id") % 4).cast("int")), F.col("text"))
+    after = before.select("doc_id", F.lit(1).alias("revision"), shifted.alias("text"), F.lit(None).cast("array<int>").alias("excluded"))
+    return _drained(S.stream_carry_exclusions(_streamed(before.union(after))))
+
+
+@query("""SELECT DISTINCT 'act' || (p_partkey % 5) AS doc_id, (p_partkey % 5) % 2 = 0 AS replaced FROM part""")
+def streamed_registers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = N.annex_rows(spark, sf_dir)
+    subs = R.substances(N.annex_words(spark, sf_dir), rows)
+    edited = F.substring("doc_id", 4, 5).cast("int") % 2 == 0
+    later = subs.withColumn("en", F.when(edited & (F.col("ord") == 1), F.concat("en", F.lit("!"))).otherwise(F.col("en")))
+    path = f"{shared_dir(spark)}/registers-{uuid.uuid4()}"
+    for step, (entries, made) in enumerate(((subs, "before"), (later, "later"))):
+        S.stream_publish(_streamed(R.build_register(entries, _meta(rows, made))), path, f"{path}-log{step}").awaitTermination()
+    return spark.read.parquet(path).select("doc_id", (F.col("meta.generated") == "later").alias("replaced"))
