@@ -216,6 +216,6 @@ def part_substances(spark: SparkSession, sf_dir: str) -> DataFrame:
 def search_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(query_id, q): types and brands as queries, one that finds nothing, and an empty one."""
     part = table(spark, sf_dir, "part")
-    terms = part.select(F.concat(F.lit(" "), F.lower("p_type")).alias("q")).union(part.select(F.concat(F.upper("p_brand"), F.lit(" ")).alias("q"))).distinct()
+    terms = part.select(F.concat(F.lit(" "), F.lower("p_type")).alias("q")).union(part.select(F.concat(F.upper("p_brand"), F.lit("\u00a0")).alias("q"))).distinct()
     fixed = part.sparkSession.createDataFrame([("zzz",), ("  ",)], "q string")
     return terms.union(fixed).select(F.crc32("q").alias("query_id"), "q")

@@ -261,8 +261,8 @@ def changed_registers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _TERMS_SQL = """
-terms AS (SELECT DISTINCT ' ' || lower(p_type) AS q FROM part UNION SELECT DISTINCT upper(p_brand) || ' ' FROM part UNION ALL SELECT 'zzz' UNION ALL SELECT '  '),
-asked AS (SELECT q, trim(lower(q)) AS wanted FROM terms),
+terms AS (SELECT DISTINCT ' ' || lower(p_type) AS q FROM part UNION SELECT DISTINCT upper(p_brand) || chr(160) FROM part UNION ALL SELECT 'zzz' UNION ALL SELECT '  '),
+asked AS (SELECT q, trim(lower(q), ' ' || chr(160)) AS wanted FROM terms),
 register AS (SELECT CAST(p_partkey % 6 + 1 AS INTEGER) AS list_id, p_partkey AS ord, p_name || ' <' || p_partkey || '>' AS et, p_type || ' & ' || p_brand AS en FROM part)"""
 _ESCAPED = "replace(replace(replace({}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;')"
 _MARKED = "CASE WHEN wanted = '' THEN " + _ESCAPED + " ELSE regexp_replace(" + _ESCAPED + ", '(?i)(' || wanted || ')', '<mark>\\1</mark>', 'g') END"
@@ -363,7 +363,7 @@ def streamed_exclusions(spark: SparkSession, sf_dir: str) -> DataFrame:
     before = N.plain_texts(spark, sf_dir).join(asked, "doc_id", "left").select("doc_id", F.lit(0).alias("revision"), "text", "excluded")
     shifted = F.concat(F.repeat(F.lit(" "), (9 + F.col("doc_id") % 4).cast("int")), F.col("text"))
     after = before.select("doc_id", F.lit(1).alias("revision"), shifted.alias("text"), F.lit(None).cast("array<int>").alias("excluded"))
-    return _drained(S.stream_carry_exclusions(_streamed(before.union(after))))
+    return _drained(S.stream_carry_exclusions(_streamed(before.union(after)), idle_ms=None))
 
 
 @query("""SELECT DISTINCT 'act' || (p_partkey % 5) AS doc_id, (p_partkey % 5) % 2 = 0 AS replaced FROM part""")

@@ -13,7 +13,7 @@ from lexspark.functions import amounts as A
 from lexspark.jobs.publish import publish_if_changed
 
 TOLERANCE = 10
-IDLE_MS = 7 * 24 * 3600 * 1000
+WEEK_MS = 7 * 24 * 3600 * 1000
 
 EXCLUDED = "doc_id long, revision int, ord int, raw string, index int"
 STATE = "revision int, raws array<string>, starts array<int>"
@@ -33,7 +33,7 @@ def _starts(parts: list[str]) -> list[int]:
     return starts
 
 
-def _follow(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+def _follow(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState, idle_ms: int | None) -> Iterator[pd.DataFrame]:
     """The exclusions after each new revision of one document, oldest first; revisions seen before are ignored."""
     if state.hasTimedOut:
         state.remove()
@@ -55,18 +55,25 @@ def _follow(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> It
                 rows.append((key[0], last, n, raw, start))
         held = now
     state.update((last, [r for r, _ in held], [s for _, s in held]))
-    state.setTimeoutDuration(IDLE_MS)
+    if idle_ms:
+        state.setTimeoutDuration(idle_ms)
     yield pd.DataFrame(rows, columns=["doc_id", "revision", "ord", "raw", "index"])
 
 
-def stream_carry_exclusions(stream: DataFrame, mode: str = "eur") -> DataFrame:
+def stream_carry_exclusions(stream: DataFrame, mode: str = "eur", idle_ms: int | None = WEEK_MS) -> DataFrame:
     """Exclusions of each revision (doc_id, revision, text, excluded: the places excluded by hand in it).
 
     A match is excluded if it was asked for, or if an excluded match of the revision before has the same text and began
-    at most ten units away. State holds a document's excluded matches only, and goes after a week without revisions.
+    at most ten units away. State holds a document's excluded matches only, and goes after idle_ms without revisions;
+    None keeps it, which a run over what is available now needs in order to end.
     """
+    timeout = GroupStateTimeout.ProcessingTimeTimeout if idle_ms else GroupStateTimeout.NoTimeout
+
+    def follow(key, frames, state):
+        return _follow(key, frames, state, idle_ms)
+
     cut = stream.select("doc_id", "revision", "excluded", A.segments(F.col("text"), mode).alias("parts"))
-    return cut.groupBy("doc_id").applyInPandasWithState(_follow, EXCLUDED, STATE, "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return cut.groupBy("doc_id").applyInPandasWithState(follow, EXCLUDED, STATE, "append", timeout)
 
 
 def stream_publish(stream: DataFrame, path: str, checkpoint: str):
