@@ -30,6 +30,7 @@ END_ID = 0
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 PIECES_WITH_IDS = PIECES + ", ids array<int>"
 
+
 class WindowTree:
     """Open windows by remaining capacity, under a segment tree that finds the smallest capacity that still fits."""
 
@@ -72,6 +73,7 @@ class WindowTree:
             self._mark(node, False)
         return window, remaining
 
+
 def best_fit_decreasing(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray, int]:
     """For each piece its window and its offset there, and the number of windows."""
     window, offset = np.zeros(len(lengths), np.int64), np.zeros(len(lengths), np.int64)
@@ -87,6 +89,7 @@ def best_fit_decreasing(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray,
         tree.put(found[0], found[1] - length)
     return window, offset, count
 
+
 class TextEncoder:
     """Ids of texts under the byte-level vocabulary, word by word.
 
@@ -144,6 +147,7 @@ class TextEncoder:
         firsts = (ends - lengths)[starts]
         return ids, np.append(firsts, len(ids))
 
+
 def _slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
     """Parts of at most SLICE_BYTES of text, or of one row."""
     sizes = np.asarray(pc.fill_null(pc.binary_length(batch.column(1)), 0), np.int64)
@@ -156,6 +160,7 @@ def _slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
     if begin < batch.num_rows:
         yield batch.slice(begin)
 
+
 def pack(
     docs: DataFrame,
     ranks_path: str | None = None,
@@ -204,6 +209,7 @@ def pack(
     chosen = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return chosen.mapInArrow(run, PIECES_WITH_IDS if with_ids else PIECES)
 
+
 def sequences(pieces: DataFrame, capacity: int = CAPACITY, pad_id: int = END_ID) -> DataFrame:
     """Padded sequences with the ids and documents in them, from pack(..., with_ids=True)."""
     parts = F.array_sort(F.collect_list(F.struct("offset", "doc_id", "length", "ids")))
