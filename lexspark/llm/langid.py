@@ -116,7 +116,7 @@ class CrossParser:
 
     def phrases(self, lanes: np.ndarray, lengths: np.ndarray) -> np.ndarray:
         """[lane, language]: phrases of each lane's first `lengths` codes. Lanes are columns of `lanes`, longest first."""
-        found = np.ones((len(lengths), len(self.starts)), np.int32)
+        found = np.zeros((len(lengths), len(self.starts)), np.int32)
         for k, start in enumerate(self.starts):
             fresh = self.table[start * ALPHABET : (start + 1) * ALPHABET]
             state = np.full(len(lengths), start, np.int32)
@@ -126,12 +126,13 @@ class CrossParser:
                 code = lanes[i, :live]
                 now = state[:live]
                 then = self.table[now * ALPHABET + code]
-                broken = np.nonzero(then < 0)[0]
-                if len(broken):
-                    again = fresh[code[broken]]
-                    # a phrase that has begun ends here; a character no phrase begins with is a phrase of its own
-                    more[broken] += 1
-                    then[broken] = np.where(again < 0, start, again)
+                broken = then < 0
+                # a phrase begins where none is open, or where the open one can't go on
+                more[:live] += broken | (now == start)
+                if broken.any():
+                    at = np.nonzero(broken)[0]
+                    again = fresh[code[at]]
+                    then[at] = np.where(again < 0, start, again)  # a character no phrase begins with is a phrase of its own
                 state[:live] = then
             found[:, k] += more
         return found

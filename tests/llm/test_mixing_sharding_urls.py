@@ -63,7 +63,7 @@ def test_mix_of_nothing(spark):
 def test_mix_sql(spark, rows):
     docs = spark.createDataFrame(rows, DOCS)
     con = duckdb.connect()
-    con.register("documents", docs.select("doc_id", "text", "source").toPandas())
+    con.register("documents", docs.select("doc_id", "text", "source").toArrow())
     want = con.execute(mixing.ORACLE_SQL).fetchall()
     got = [tuple(r) for r in mixing.mix_report(docs).collect()]
     key = lambda r: tuple((x is None, round(x, 6) if x is not None else 0) for x in r)
