@@ -153,7 +153,8 @@ def with_components(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX
     names = linked.groupBy("component").agg(F.min("least").alias("name"))
     named = linked.join(names, "component").select(F.col("fp").alias("_fp"), F.col("name"))
     every = groups.join(named, F.col("fp") == F.col("_fp"), "left").select(F.col("fp").alias("_fp"), F.coalesce("name", "least").alias("component_id"))
-    return rows.join(every, F.col("fp") == F.col("_fp")).select("doc_id", "fp", "component_id")
+    # kept, so that both sides of the last join are plain exchanges and a hot fingerprint's rows can be split
+    return rows.join(checkpointed(every), F.col("fp") == F.col("_fp")).select("doc_id", "fp", "component_id")
 
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX_BITS) -> DataFrame:
