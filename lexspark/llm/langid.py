@@ -143,16 +143,18 @@ def learn_samples(
 ) -> dict[str, str]:
     """Bounded samples of labelled text by language, from documents that are not held out.
 
-    Documents are drawn by a hash of their ids: the ids are ranked first, without texts, and only the drawn texts are
-    read. Languages are as many as labels; their number times the bounds is what the driver holds.
+    About sample_documents of a language are drawn by a hash of their ids, against a threshold that follows from the
+    language's count, so that only counts are gathered and only the drawn texts leave their tasks. Languages are as many
+    as labels; their number times the bounds is what the driver holds.
     """
-    labelled = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (id_bucket(F.col("doc_id"), HELD_OUT_OF) != HELD_OUT))
+    labelled = docs.where(F.col("lang").isNotNull() & (id_bucket(F.col("doc_id"), HELD_OUT_OF) != HELD_OUT))
+    counts = {r["lang"]: r["count"] for r in labelled.groupBy("lang").count().collect()}
+    if not counts:
+        return {}
+    most = {k: min((1 << 63) - 1, (sample_documents << 64) // n - (1 << 63)) for k, n in counts.items()}
+    last = F.element_at(F.create_map(*[F.lit(x) for k, n in most.items() for x in (k, n)]), F.col("lang"))
     draw = F.xxhash64(F.lit(7), F.col("doc_id"))
-    order = Window.partitionBy("lang").orderBy("_draw", "doc_id")
-    ids = labelled.select("lang", "doc_id", draw.alias("_draw")).withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= sample_documents)
-    bound = ids.groupBy("lang").agg(F.max("_draw").alias("_last")).select(F.col("lang").alias("_lang"), "_last")
-    texts = labelled.select("lang", "doc_id", draw.alias("_draw"), F.substring("text", 1, document_chars).alias("_part"))
-    drawn = texts.join(bound, (F.col("lang") == F.col("_lang")) & (F.col("_draw") <= F.col("_last")))
+    drawn = labelled.withColumn("_draw", draw).where((F.col("_draw") <= last) & F.col("text").isNotNull()).select("lang", "doc_id", "_draw", F.substring("text", 1, document_chars).alias("_part"))
     samples: dict[str, str] = {}
     parts = drawn.withColumn("_rank", F.row_number().over(Window.partitionBy("lang").orderBy("_draw", "doc_id", "_part"))).where(F.col("_rank") <= sample_documents)
     for row in parts.select("lang", "_part").orderBy("lang", "_rank").collect():
