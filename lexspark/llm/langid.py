@@ -152,7 +152,7 @@ def learn_samples(
     if not counts:
         return {}
     most = {k: min((1 << 63) - 1, (sample_documents << 64) // n - (1 << 63)) for k, n in counts.items()}
-    last = F.element_at(F.create_map(*[F.lit(x) for k, n in most.items() for x in (k, n)]), F.col("lang"))
+    last = F.element_at(F.create_map(*[x for k, n in most.items() for x in (F.lit(k), F.lit(n).cast("long"))]), F.col("lang"))
     draw = F.xxhash64(F.lit(7), F.col("doc_id"))
     drawn = labelled.withColumn("_draw", draw).where((F.col("_draw") <= last) & F.col("text").isNotNull()).select("lang", "doc_id", "_draw", F.substring("text", 1, document_chars).alias("_part"))
     samples: dict[str, str] = {}
