@@ -71,7 +71,9 @@ def document_totals(docs: DataFrame, exclusions: DataFrame | None = None, mode:
     Amounts are added inside their row, left to right. A document's exclusions come to it as one array, so that only
     they are grouped, and the documents meet them in one join. A blank text reads "0", "0".
     """
-    rows = with_amounts(docs.select("doc_id", "text"), mode)
+    blank = F.coalesce(F.col("text"), F.lit("")).rlike(f"^[{BLANK}]*$")
+    # the text goes before the join: only amounts are moved
+    rows = docs.select("doc_id", A.extract_amounts(F.col("text"), mode).alias("matches"), blank.alias("blank"))
     if exclusions is None:
         rows = rows.withColumn("active", F.col("matches"))
     else:
@@ -79,10 +81,9 @@ def document_totals(docs: DataFrame, exclusions: DataFrame | None = None, mode:
         joined = rows.join(own, "doc_id", "left")
         kept = F.filter("matches", lambda m: ~F.array_contains(F.coalesce(F.col("ords"), F.array().cast("array<int>")), m["ord"]))
         rows = joined.withColumn("active", kept)
-    blank = F.coalesce(F.col("text"), F.lit("")).rlike(f"^[{BLANK}]*$")
     n_active, n_total = F.size("active"), F.size("matches")
     total, decimals = A.total_amount(F.col("active")), A.max_decimals(F.col("active"))
-    figured = rows.select("doc_id", "active", blank.alias("blank"), total.alias("total"), decimals.alias("max_decimals"), n_active.alias("n_active"), n_total.alias("n_total"))
+    figured = rows.select("doc_id", "active", "blank", total.alias("total"), decimals.alias("max_decimals"), n_active.alias("n_active"), n_total.alias("n_total"))
     shown = A.format_value(F.col("total"), F.col("max_decimals"), mode)
     return figured.select(
         "doc_id", F.round("total", 10).alias("total"), "max_decimals", "n_active", "n_total",
