@@ -8,7 +8,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexspark.operators.register import changed_registers
+from lexspark.operators.register import build_register, changed_registers, list_counts, validate_register
 
 
 def _snapshot(spark: SparkSession, path: str) -> DataFrame | None:
@@ -51,3 +51,10 @@ def publish_if_changed(new: DataFrame, path: str) -> bool:
 def publish_plan(new: DataFrame, old: DataFrame) -> DataFrame:
     """(doc_id, changed) without writing."""
     return changed_registers(new, old).select("doc_id", F.col("changed"))
+
+
+def publish_valid(subs: DataFrame, meta: DataFrame, path: str) -> tuple[bool, DataFrame]:
+    """publish_if_changed for the editions whose six lists all hold something, and (doc_id, empty_lists) of the others."""
+    failed = validate_register(list_counts(subs, meta.select("doc_id")))
+    good = meta.join(failed, "doc_id", "left_anti")
+    return publish_if_changed(build_register(subs.join(good.select("doc_id"), "doc_id", "left_semi"), good), path), failed

@@ -1,9 +1,9 @@
 from pyspark.sql import functions as F
 
-from lexspark.jobs.publish import publish_if_changed
+from lexspark.jobs.publish import publish_if_changed, publish_valid
 from lexspark.operators import register as R
 from lexspark.sources import acts
-from lexspark.sources.documents import flatten_register, read_register
+from lexspark.sources.documents import flatten_register, read_documents, read_register
 
 CELLS = [
     ["X", "Y"], ["I  nimekiri", None], ["Eestikeelne nimetus", "Ingliskeelne"], ["jätk", ""], ["Beeta-\naine", "Beta\nagent"], ["", "salt"], ["Alfa", "Al"],
@@ -84,3 +84,20 @@ def test_acts(spark):
     bodies = spark.createDataFrame([('{"kehtivRedaktsioon": 12}',), ("{}",), ("no json",), ('{"kehtivRedaktsioon": ""}',)], "body string")
     found = [(r["blob_url"], r["error"]) for r in acts.resolve_revision(bodies).collect()]
     assert found[0][0].endswith("/akt/12/blob-xml") and all(f == (None, acts.NO_REVISION) for f in found[1:])
+
+
+def test_only_whole_registers_are_published(spark, tmp_path):
+    rows = [("good", n, 1, f"aine {n}", "x") for n in range(1, 7)] + [("bad", 1, 1, "aine", "x")]
+    subs = spark.createDataFrame(rows, "doc_id string, list_id int, ord int, et string, en string")
+    meta = spark.createDataFrame([(d, "s", "a", None, "1") for d in ("good", "bad", "none")], "doc_id string, source string, act string, effective_date string, generated string")
+    done, failed = publish_valid(subs, meta, str(tmp_path / "out"))
+    assert done and {r["doc_id"]: r["empty_lists"] for r in failed.collect()} == {"bad": [2, 3, 4, 5, 6], "none": [1, 2, 3, 4, 5, 6]}
+    assert [r["doc_id"] for r in spark.read.parquet(str(tmp_path / "out")).collect()] == ["good"]
+
+
+def test_reading_documents(spark, tmp_path):
+    (tmp_path / "a.txt").write_text("10 €\nja 20 €", encoding="utf-8")
+    docs = read_documents(spark, str(tmp_path / "*.txt"), "text")
+    assert [r["text"] for r in docs.collect()] == ["10 €\nja 20 €"]
+    docs.write.parquet(str(tmp_path / "p"))
+    assert read_documents(spark, str(tmp_path / "p")).columns == ["doc_id", "text"]
