@@ -19,7 +19,9 @@ def known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return simhash.keep_one(docs)
+    # shingles of two words and five bits find near copies that change a few words; the texts then decide, by shingles
+    # of five words, so that documents which only sound alike all stay
+    return simhash.keep_one(docs, shingle=2, max_bits=5, min_similarity=0.8)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

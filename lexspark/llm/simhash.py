@@ -22,12 +22,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lexspark.llm.common import checkpointed
+from lexspark.llm.common import SPACE, checkpointed, small_side, text_or_empty
 
 SHINGLE = 4
 MAX_BITS = 4
 SEED = 42
 BITS = 64
+VERIFY_WORDS = 5
 
 
 def fingerprint_bits(text: str | None, shingle: int = SHINGLE) -> int:
@@ -144,12 +145,42 @@ def components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
     return leaves.union(leaves.select(F.col("component").alias("node"), "component").distinct())
 
 
-def with_components(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX_BITS) -> DataFrame:
-    """doc_id, fp, component_id for every row of docs."""
+def _shingle_set(text: Column, words: int) -> Column:
+    """The distinct hashes of a text's lower-cased word shingles; of the whole sequence if it has fewer words."""
+    w = F.filter(F.split(F.lower(text_or_empty(text)), SPACE), lambda x: x != "")
+    starts = F.sequence(F.lit(0), F.greatest(F.size(w) - words, F.lit(0)))
+    return F.array_distinct(F.transform(starts, lambda i: F.xxhash64(F.array_join(F.slice(w, i + 1, words), " "))))
+
+
+def similar_links(pairs: DataFrame, docs: DataFrame, groups: DataFrame, shingle: int, min_similarity: float, words: int = VERIFY_WORDS) -> DataFrame:
+    """The pairs of fingerprints whose texts' word shingles have a Jaccard similarity of at least min_similarity.
+
+    A fingerprint is held by the text of its least id. Only fingerprints in pairs are looked up; their list goes to the
+    documents by broadcast while it is short, and by shuffle beyond.
+    """
+    pairs = checkpointed(pairs)
+    linked = pairs.select(F.col("a").alias("_fp")).union(pairs.select("b")).distinct()
+    wanted = small_side(groups.join(linked, F.col("fp") == F.col("_fp")).select("_fp", F.col("least").alias("_least")))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(wanted, F.col("doc_id").eqNullSafe(F.col("_least")))
+    own = texts.where(fingerprint(F.col("text"), shingle) == F.col("_fp")).dropDuplicates(["_fp"])  # ids may repeat
+    sets = checkpointed(own.select("_fp", _shingle_set(F.col("text"), words).alias("_set")))
+    a, b = (sets.select(F.col("_fp").alias(f"_{k}"), F.col("_set").alias(f"_set_{k}")) for k in "ab")
+    both = pairs.join(a, F.col("a") == F.col("_a")).join(b, F.col("b") == F.col("_b"))
+    shared = F.size(F.array_intersect("_set_a", "_set_b"))
+    similarity = shared / (F.size("_set_a") + F.size("_set_b") - shared)
+    return both.where(similarity >= min_similarity).select("a", "b")
+
+
+def with_components(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX_BITS, min_similarity: float | None = None) -> DataFrame:
+    """doc_id, fp, component_id for every row of docs. With min_similarity, links between different fingerprints also
+    need texts that are so similar by shingles of five words."""
     rows = checkpointed(docs.select(F.col("doc_id").cast("long").alias("doc_id"), fingerprint(F.col("text"), shingle).alias("fp")))
     groups = rows.groupBy("fp").agg(F.min("doc_id").alias("least"))
+    pairs = links(groups, max_bits)
+    if min_similarity is not None:
+        pairs = similar_links(pairs, docs, groups, shingle, min_similarity)
     # components over fingerprints, then the least id among all fingerprints of a component
-    linked = components(links(groups, max_bits)).join(groups, F.col("node") == F.col("fp")).select("fp", "component", "least")
+    linked = components(pairs).join(groups, F.col("node") == F.col("fp")).select("fp", "component", "least")
     names = linked.groupBy("component").agg(F.min("least").alias("name"))
     named = linked.join(names, "component").select(F.col("fp").alias("_fp"), F.col("name"))
     every = groups.join(named, F.col("fp") == F.col("_fp"), "left").select(F.col("fp").alias("_fp"), F.coalesce("name", "least").alias("component_id"))
@@ -157,15 +188,15 @@ def with_components(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX
     return rows.join(checkpointed(every), F.col("fp") == F.col("_fp")).select("doc_id", "fp", "component_id")
 
 
-def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX_BITS) -> DataFrame:
+def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX_BITS, min_similarity: float | None = None) -> DataFrame:
     """doc_id, fingerprint (16 hex digits) and component_id (the least doc_id reachable over links)."""
-    found = with_components(docs, shingle, max_bits)
+    found = with_components(docs, shingle, max_bits, min_similarity)
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX_BITS) -> DataFrame:
+def keep_one(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX_BITS, min_similarity: float | None = None) -> DataFrame:
     """The rows of docs that name their component, one of each: the row with the least doc_id."""
-    names = with_components(docs, shingle, max_bits).select(F.col("component_id").alias("_name")).distinct()
+    names = with_components(docs, shingle, max_bits, min_similarity).select(F.col("component_id").alias("_name")).distinct()
     kept = docs.join(names, F.col("doc_id").eqNullSafe(F.col("_name")), "left_semi")
     # repeated rows share an id: a group of them leaves one row
     again = Window.partitionBy("doc_id").orderBy(F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns]))

@@ -22,7 +22,13 @@ def corpus():
         rows.append((i, text, "en", rnd.choice(["a", "b"]), len(text)))
         labels.append((i, int(i % 5 != 4), 0))
     copies = [(200 + k, rows[k % 3][1], "en", "a", 0) for k in range(60)]
-    return rows + copies + [(300, None, None, None, None), (301, "", "en", "a", 0), (302, "12345 67890 " * 9, "en", "a", 0)], labels
+    near = [(400 + k, rows[k][1].replace("the", "another", 1), "en", "b", 0) for k in range(40) if k % 5 != 4]
+    return rows + copies + near + [(300, None, None, None, None), (301, "", "en", "a", 0), (302, "12345 67890 " * 9, "en", "a", 0)], labels
+
+
+def shingles(text):
+    words = text.lower().split()
+    return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))}
 
 
 def test_stages_take_effect_and_agree_with_brute_force(spark, tmp_path):
@@ -45,8 +51,10 @@ def test_stages_take_effect_and_agree_with_brute_force(spark, tmp_path):
             told = {r["doc_id"]: r["lang_pred"] for r in langid.report(given).collect()}
             assert ids == sorted(i for i, p in told.items() if p != "und")
         if k == 2:
-            fps = {r["doc_id"]: simhash.fingerprint_bits(r["text"]) for r in before}
-            near = {i: {j for j, f in fps.items() if ((f ^ g) % 2**64).bit_count() <= 4} for i, g in fps.items()}
+            fps = {r["doc_id"]: simhash.fingerprint_bits(r["text"], 2) for r in before}
+            holds = {f: shingles(min((r["doc_id"], r["text"]) for r in before if fps[r["doc_id"]] == f)[1]) for f in fps.values()}
+            alike = lambda f, g: f == g or ((f ^ g) % 2**64).bit_count() <= 5 and len(holds[f] & holds[g]) >= 0.8 * len(holds[f] | holds[g])
+            near = {i: {j for j, f in fps.items() if alike(f, g)} for i, g in fps.items()}
             groups, left = [], set(fps)
             while left:
                 group, edge = set(), {min(left)}
