@@ -24,7 +24,6 @@ from pyspark.sql import functions as F
 CAPACITY = 1024
 BLOCK_PIECES = 16_384
 SLICE_BYTES = 4 << 20
-CACHE_WORDS = 300_000
 END_ID = 0
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -90,15 +89,18 @@ def best_fit_decreasing(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray,
     return window, offset, count
 
 
+BLANK = r"\s\x85\x1c-\x1f\x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
+
+
 class TextEncoder:
-    """Ids of texts under the byte-level vocabulary, word by word.
+    """Ids of texts under the byte-level vocabulary, each different word of a slice encoded once.
 
     A single space after a non-space always starts a new token of this vocabulary's splitting pattern, so the words of
-    a text can be encoded apart and kept in a bounded cache. Texts in which a space follows other white space are
-    encoded whole. Their special strings count as ordinary text.
+    a text can be encoded apart. Texts in which a space follows other white space are encoded whole. Their special
+    strings count as ordinary text.
     """
 
-    UNSAFE = r"[\s\x85\x1c-\x1f\x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}] "
+    UNSAFE = f"[{BLANK}] "
 
     def __init__(self, ranks_path: str, pattern: str):
         import tiktoken
@@ -106,15 +108,34 @@ class TextEncoder:
         with open(ranks_path, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.encode = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
-        self.cache: dict[str, list[int]] = {}
-
-    def word(self, word: str) -> list[int]:
-        ids = self.cache.get(word)
-        if ids is None:
-            ids = self.encode(" " + word)
-            if len(self.cache) < CACHE_WORDS and len(word) <= 32:
-                self.cache[word] = ids
-        return ids
+        self.token_bytes = np.zeros(max(ranks.values()) + 1, np.int64)
+        self.token_bytes[list(ranks.values())] = [len(t) for t in ranks]
+
+    def words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the words, each after a space, one after another, and how many each has.
+
+        The words are encoded as one text, and the tokens dealt out by their bytes. A word that is empty or ends in white
+        space would run into the next one, and is encoded alone.
+        """
+        alone = np.asarray(pc.or_(pc.equal(words, ""), pc.not_equal(pc.utf8_rtrim_whitespace(words), words)))
+        together = words.filter(pa.array(~alone))
+        joined = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(together)], pa.int32()), together), " ")[0].as_py()
+        ids = np.array(self.encode(" " + joined) if len(together) else [], np.uint32)
+        ends = np.cumsum(np.asarray(pc.binary_length(together), np.int64) + 1)
+        token_ends = np.cumsum(self.token_bytes[ids])
+        last = np.searchsorted(token_ends, ends)
+        if len(ends) and not np.array_equal(token_ends[last], ends):
+            raise ValueError("a token runs over the end of a word")
+        sizes = np.zeros(len(words), np.int64)
+        sizes[~alone] = np.diff(last + 1, prepend=0)
+        if not alone.any():
+            return ids, sizes
+        parts = np.split(ids, last[:-1] + 1) if len(together) else []
+        given, own = iter(parts), []
+        for i, single in enumerate(alone.tolist()):
+            own.append(np.array(self.encode(" " + words[i].as_py()), np.uint32) if single else next(given))
+            sizes[i] = len(own[-1])
+        return np.concatenate(own), sizes
 
     def encode_texts(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids one after another, and each text's first position (with the end as a last entry)."""
@@ -124,22 +145,18 @@ class TextEncoder:
             heads[i] = self.encode(texts[i].as_py())
         split = pc.split_pattern(pc.if_else(pa.array(unsafe), "", texts), " ")
         starts = np.asarray(split.offsets, np.int64)[:-1]
-        starts = starts - (starts[0] if len(starts) else 0)
-        coded = split.flatten().dictionary_encode()
-        codes = np.asarray(coded.indices, np.int64)
-        is_head = np.zeros(len(codes), bool)
+        words = split.flatten()
+        for i in np.nonzero(~unsafe)[0].tolist():  # a text's first word has no space before it
+            heads[i] = self.encode(words[int(starts[i])].as_py())
+        is_head = np.zeros(len(words), bool)
         is_head[starts] = True
-        dictionary = coded.dictionary.to_pylist()
-        used = np.zeros(len(dictionary), bool)
-        used[codes[~is_head]] = True
-        table = [self.word(w) if u else [] for w, u in zip(dictionary, used.tolist(), strict=True)]
-        for i, code in enumerate(codes[starts].tolist()):  # a text's first word has no space before it
-            if not unsafe[i]:
-                heads[i] = self.encode(dictionary[code])
-        codes[starts] = len(table) + np.arange(len(starts))
-        table += heads
-        sizes = np.fromiter(map(len, table), np.int64, len(table))
-        flat = np.fromiter((x for ids in table for x in ids), np.uint32, int(sizes.sum()))
+        coded = words.filter(pa.array(~is_head)).dictionary_encode()
+        word_ids, word_sizes = self.words(coded.dictionary)
+        codes = np.empty(len(words), np.int64)
+        codes[~is_head] = np.asarray(coded.indices, np.int64)
+        codes[starts] = len(word_sizes) + np.arange(len(starts))
+        flat = np.concatenate([word_ids, np.array([x for ids in heads for x in ids], np.uint32)])
+        sizes = np.concatenate([word_sizes, np.array([len(ids) for ids in heads], np.int64)])
         begins = np.cumsum(sizes) - sizes
         lengths = sizes[codes]
         ends = np.cumsum(lengths)
