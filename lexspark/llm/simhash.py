@@ -29,6 +29,7 @@ MAX_BITS = 4
 SEED = 42
 BITS = 64
 VERIFY_WORDS = 5
+NO_ID = -(1 << 63)
 
 
 def fingerprint_bits(text: str | None, shingle: int = SHINGLE) -> int:
@@ -196,8 +197,10 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX
 
 def keep_one(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX_BITS, min_similarity: float | None = None) -> DataFrame:
     """The rows of docs that name their component, one of each: the row with the least doc_id."""
-    names = with_components(docs, shingle, max_bits, min_similarity).select(F.col("component_id").alias("_name")).distinct()
-    kept = docs.join(names, F.col("doc_id").eqNullSafe(F.col("_name")), "left_semi")
+    key = lambda c: F.coalesce(F.col(c).cast("long"), F.lit(NO_ID))
+    names = with_components(docs, shingle, max_bits, min_similarity).select(key("component_id").alias("_name")).distinct()
+    # one key for the join and the window, so that texts are moved once
+    kept = docs.withColumn("_key", key("doc_id")).join(names, F.col("_key") == F.col("_name"), "left_semi")
     # repeated rows share an id: a group of them leaves one row
-    again = Window.partitionBy("doc_id").orderBy(F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns]))
+    again = Window.partitionBy("_key").orderBy(F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns]))
     return kept.withColumn("_again", F.row_number().over(again)).where(F.col("_again") == 1).select(*docs.columns)
