@@ -156,7 +156,7 @@ def annex_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     cells = (
         F.when(step % 83 == 82, F.array(F.lit("Dilämmastikoksiid  (N2O)"), F.lit("dilämmastikoksiid\n(N2O)")))
         .when(k == 6, F.array(F.lit(None).cast("string"), F.col("p_type")))
-        .when(k == 7, F.array(F.col("p_brand"), F.lit("")))
+        .when((k == 7) | ((step < 60) & (step % 20 == 0)), F.array(F.col("p_brand"), F.lit("")))
         .when(k == 8, F.array(F.lit("Eestikeelne nimetus"), F.lit("Ingliskeelne nimetus")))
         .when(k == 9, F.array(name, F.lit("ab")))
         .otherwise(F.array(name, F.concat("p_brand", F.lit("\n"), "p_type")))
@@ -186,10 +186,10 @@ steps AS (
 ), cells AS (
   SELECT doc_id, step,
     CAST(CASE WHEN step >= 10 * (step // 10) THEN (step // 10) % 6 + 1 END AS INTEGER) AS list_id,
-    CASE WHEN step % 83 = 82 THEN 'new' WHEN step % 10 = 6 THEN 'more_en' WHEN step % 10 = 7 THEN 'more_et' WHEN step % 10 = 8 THEN NULL ELSE 'new' END AS kind,
-    CASE WHEN step % 83 = 82 THEN 'Dilämmastikoksiid (N2O)' WHEN step % 10 = 6 THEN '' WHEN step % 10 = 7 THEN p_brand
+    CASE WHEN step % 83 = 82 THEN 'new' WHEN step % 10 = 6 THEN 'more_en' WHEN step % 10 = 7 OR (step < 60 AND step % 20 = 0) THEN 'more_et' WHEN step % 10 = 8 THEN NULL ELSE 'new' END AS kind,
+    CASE WHEN step % 83 = 82 THEN 'Dilämmastikoksiid (N2O)' WHEN step % 10 = 6 THEN '' WHEN step % 10 = 7 OR (step < 60 AND step % 20 = 0) THEN p_brand
       ELSE array_to_string(list_transform(string_split(p_name, ' '), lambda w: upper(w[1]) || lower(w[2:])), ' ') || '-' || tail END AS et,
-    CASE WHEN step % 83 = 82 THEN 'dilämmastikoksiid (N2O)' WHEN step % 10 = 6 THEN p_type WHEN step % 10 = 7 THEN '' WHEN step % 10 = 9 THEN '' ELSE p_brand || ' ' || p_type END AS en
+    CASE WHEN step % 83 = 82 THEN 'dilämmastikoksiid (N2O)' WHEN step % 10 = 6 THEN p_type WHEN step % 10 = 7 OR (step < 60 AND step % 20 = 0) THEN '' WHEN step % 10 = 9 THEN '' ELSE p_brand || ' ' || p_type END AS en
   FROM steps
 ), told AS (
   SELECT *, sum(CASE WHEN kind = 'new' THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id, list_id ORDER BY step ROWS UNBOUNDED PRECEDING) AS entry
