@@ -146,11 +146,16 @@ def components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
     return leaves.union(leaves.select(F.col("component").alias("node"), "component").distinct())
 
 
-def _shingle_set(text: Column, words: int) -> Column:
-    """The distinct hashes of a text's lower-cased word shingles; of the whole sequence if it has fewer words."""
-    w = F.filter(F.split(F.lower(text_or_empty(text)), SPACE), lambda x: x != "")
-    starts = F.sequence(F.lit(0), F.greatest(F.size(w) - words, F.lit(0)))
-    return F.array_distinct(F.transform(starts, lambda i: F.xxhash64(F.array_join(F.slice(w, i + 1, words), " "))))
+def _shingle_sets(texts: DataFrame, words: int) -> DataFrame:
+    """(_fp, _set): the distinct hashes of a text's lower-cased word shingles; of all its words if they are fewer.
+
+    The words are a column of their own before a lambda looks into them, so that a text is split once.
+    """
+    w = F.filter(F.split(F.lower(text_or_empty(F.col("text"))), SPACE), lambda x: x != "")
+    split = texts.select("_fp", w.alias("_w"))
+    starts = F.sequence(F.lit(0), F.greatest(F.size("_w") - words, F.lit(0)))
+    hashes = F.transform(starts, lambda i: F.xxhash64(*[F.coalesce(F.get(F.col("_w"), i + k), F.lit("")) for k in range(words)]))
+    return split.select("_fp", F.array_distinct(hashes).alias("_set"))
 
 
 def similar_links(pairs: DataFrame, docs: DataFrame, groups: DataFrame, shingle: int, min_similarity: float, words: int = VERIFY_WORDS) -> DataFrame:
@@ -164,7 +169,7 @@ def similar_links(pairs: DataFrame, docs: DataFrame, groups: DataFrame, shingle:
     wanted = small_side(groups.join(linked, F.col("fp") == F.col("_fp")).select("_fp", F.col("least").alias("_least")))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(wanted, F.col("doc_id").eqNullSafe(F.col("_least")))
     own = texts.where(fingerprint(F.col("text"), shingle) == F.col("_fp")).dropDuplicates(["_fp"])  # ids may repeat
-    sets = checkpointed(own.select("_fp", _shingle_set(F.col("text"), words).alias("_set")))
+    sets = checkpointed(_shingle_sets(own, words))
     a, b = (sets.select(F.col("_fp").alias(f"_{k}"), F.col("_set").alias(f"_set_{k}")) for k in "ab")
     both = pairs.join(a, F.col("a") == F.col("_a")).join(b, F.col("b") == F.col("_b"))
     shared = F.size(F.array_intersect("_set_a", "_set_b"))
