@@ -3,7 +3,9 @@
 Base statistics come from the whole text inside one row. Documents that pass the base rules are then held against a
 minimum-covariance-determinant estimate of their own language and source: four transformed statistics, a start from
 medians and quartile ranges, concentration steps on the `SUPPORT` share of the documents nearest to the estimate, a
-reweighting step, and rejection beyond a high chi-square quantile of the squared Mahalanobis distance.
+reweighting step, and rejection beyond a high chi-square quantile of the squared Mahalanobis distance. `SUPPORT` is one
+half (the maximal breakdown), so that junk may hold nearly half of a group and is still rejected; the reweighting step
+then estimates from all the documents that are near.
 
 Every step is one map-side aggregation by group and a join of the group's few figures back to the rows. The covariance
 has a fixed floor on its diagonal (a regularised estimate), so that groups in which most documents share a value, or a
@@ -28,7 +30,7 @@ from lexspark.llm.common import checkpointed, small_side, text_or_empty, words_o
 WINDOW = 5
 MIN_WORDS = 10
 MAX_REPEAT_PERCENT = 20
-SUPPORT = 0.75
+SUPPORT = 0.5
 STEPS = 3
 REWEIGHT, REJECT = 0.975, 0.99999
 MIN_GROUP = 50

@@ -276,6 +276,17 @@ def test_outliers(spark):
     assert all(got[i]["kept"] for i in range(400)) and all(got[4000 + i]["kept"] for i in range(150))
 
 
+def test_a_third_of_a_group_as_copies(spark):
+    rnd = random.Random(12)
+    clean = lambda: "\n".join(sentence(rnd, VOCABULARIES["bb"], 12) for _ in range(6))
+    junk, good = " ".join(sentence(rnd, "abcdefgh", 5).replace(" ", "") + "###" for _ in range(60)), clean()
+    rows = [(i, clean(), "en", "junk") for i in range(200)] + [(1000 + i, junk, "en", "junk") for i in range(100)]
+    rows += [(2000 + i, clean(), "en", "good") for i in range(200)] + [(3000 + i, good, "en", "good") for i in range(100)]
+    got = {r["doc_id"]: r["kept"] for r in outliers.judge(table(spark, rows)).collect()}
+    assert sum(not kept for i, kept in got.items() if 1000 <= i < 2000) == 100
+    assert all(kept for i, kept in got.items() if not 1000 <= i < 2000)
+
+
 def test_estimates_are_the_brute_force_s(spark):
     rnd = np.random.default_rng(3)
     points = np.vstack([rnd.normal(size=(300, 4)) * [1, 2, 0.5, 1] + [0, 1, 2, 3], rnd.normal(size=(30, 4)) + 25])
