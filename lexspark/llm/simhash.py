@@ -158,17 +158,29 @@ def _shingle_sets(texts: DataFrame, words: int) -> DataFrame:
     return split.select("_fp", F.array_distinct(hashes).alias("_set"))
 
 
-def similar_links(pairs: DataFrame, docs: DataFrame, groups: DataFrame, shingle: int, min_similarity: float, words: int = VERIFY_WORDS) -> DataFrame:
+#: What tells rows apart: whether the id is null, the id, and two digests of the whole row; in the order of survival.
+ROW_KEY = ["_key_null", "_key_id", "_key_1", "_key_2"]
+
+
+def _row_key(docs: DataFrame) -> list[Column]:
+    """The columns ROW_KEY of docs; equal rows share them. A digest skips nulls, so that their places are digested too."""
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    digests = [F.xxhash64(F.lit(k), *columns, *[c.isNull() for c in columns]) for k in (1, 2)]
+    made = [F.col("doc_id").isNull(), F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)), *digests]
+    return [c.alias(n) for c, n in zip(made, ROW_KEY, strict=True)]
+
+
+def similar_links(pairs: DataFrame, docs: DataFrame, groups: DataFrame, min_similarity: float, words: int = VERIFY_WORDS) -> DataFrame:
     """The pairs of fingerprints whose texts' word shingles have a Jaccard similarity of at least min_similarity.
 
-    A fingerprint is held by the text of its least id. Only fingerprints in pairs are looked up; their list goes to the
-    documents by broadcast while it is short, and by shuffle beyond.
+    A fingerprint is held by the text of its least row, which groups names by id and digest, so that rows without an id
+    or with a shared one are told apart. Only fingerprints in pairs are looked up; their list goes to the documents by
+    broadcast while it is short, and by shuffle beyond.
     """
     pairs = checkpointed(pairs)
     linked = pairs.select(F.col("a").alias("_fp")).union(pairs.select("b")).distinct()
-    wanted = small_side(groups.join(linked, F.col("fp") == F.col("_fp")).select("_fp", F.col("least").alias("_least")))
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(wanted, F.col("doc_id").eqNullSafe(F.col("_least")))
-    own = texts.where(fingerprint(F.col("text"), shingle) == F.col("_fp")).dropDuplicates(["_fp"])  # ids may repeat
+    wanted = small_side(groups.join(linked, F.col("fp") == F.col("_fp")).select("_fp", "first.*"))
+    own = docs.select("text", *_row_key(docs)).join(wanted, ROW_KEY).dropDuplicates(["_fp"])  # equal rows share a key
     sets = checkpointed(_shingle_sets(own, words))
     a, b = (sets.select(F.col("_fp").alias(f"_{k}"), F.col("_set").alias(f"_set_{k}")) for k in "ab")
     both = pairs.join(a, F.col("a") == F.col("_a")).join(b, F.col("b") == F.col("_b"))
@@ -180,11 +192,12 @@ def similar_links(pairs: DataFrame, docs: DataFrame, groups: DataFrame, shingle:
 def with_components(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX_BITS, min_similarity: float | None = None) -> DataFrame:
     """doc_id, fp, component_id for every row of docs. With min_similarity, links between different fingerprints also
     need texts that are so similar by shingles of five words."""
-    rows = checkpointed(docs.select(F.col("doc_id").cast("long").alias("doc_id"), fingerprint(F.col("text"), shingle).alias("fp")))
-    groups = rows.groupBy("fp").agg(F.min("doc_id").alias("least"))
+    told = [] if min_similarity is None else _row_key(docs)
+    rows = checkpointed(docs.select(F.col("doc_id").cast("long").alias("doc_id"), fingerprint(F.col("text"), shingle).alias("fp"), *told))
+    groups = rows.groupBy("fp").agg(F.min("doc_id").alias("least"), *[F.min(F.struct(*ROW_KEY)).alias("first") for _ in told[:1]])
     pairs = links(groups, max_bits)
     if min_similarity is not None:
-        pairs = similar_links(pairs, docs, groups, shingle, min_similarity)
+        pairs = similar_links(pairs, docs, groups, min_similarity)
     # components over fingerprints, then the least id among all fingerprints of a component
     linked = components(pairs).join(groups, F.col("node") == F.col("fp")).select("fp", "component", "least")
     names = linked.groupBy("component").agg(F.min("least").alias("name"))
@@ -201,11 +214,20 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX
 
 
 def keep_one(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX_BITS, min_similarity: float | None = None) -> DataFrame:
-    """The rows of docs that name their component, one of each: the row with the least doc_id."""
-    key = lambda c: F.coalesce(F.col(c).cast("long"), F.lit(NO_ID))
-    names = with_components(docs, shingle, max_bits, min_similarity).select(key("component_id").alias("_name")).distinct()
+    """One row of docs for every component: the one with the least doc_id, and of several with it that of the least digest.
+
+    Rows without an id come last. The survivor is chosen within its component and found again by ROW_KEY, so that texts
+    without an id, or different texts with one id, don't stand for each other.
+    """
+    rows = checkpointed(docs.select(fingerprint(F.col("text"), shingle).alias("fp"), *_row_key(docs)))
+    groups = checkpointed(rows.groupBy("fp").agg(F.min(F.struct(*ROW_KEY)).alias("first")))
+    pairs = links(groups, max_bits)
+    if min_similarity is not None:
+        pairs = similar_links(pairs, docs, groups, min_similarity)
+    named = groups.join(components(pairs), F.col("fp") == F.col("node"), "left")
+    firsts = named.groupBy(F.coalesce("component", "fp").alias("_component")).agg(F.min("first").alias("first")).select("first.*")
     # one key for the join and the window, so that texts are moved once
-    kept = docs.withColumn("_key", key("doc_id")).join(names, F.col("_key") == F.col("_name"), "left_semi")
-    # repeated rows share an id: a group of them leaves one row
-    again = Window.partitionBy("_key").orderBy(F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns]))
+    kept = docs.select("*", *_row_key(docs)).join(firsts, ROW_KEY, "left_semi")
+    # equal rows share the key: a group of them leaves one row
+    again = Window.partitionBy(*ROW_KEY).orderBy("_key_1")
     return kept.withColumn("_again", F.row_number().over(again)).where(F.col("_again") == 1).select(*docs.columns)

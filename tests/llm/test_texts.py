@@ -155,6 +155,17 @@ def test_one_of_each_stays(spark):
     assert kept.columns == docs.columns and sorted(r["doc_id"] for r in kept.collect()) == sorted(names)
 
 
+@pytest.mark.parametrize("min_similarity", [None, 0.8])
+def test_one_of_each_stays_without_ids_of_their_own(spark, min_similarity):
+    rnd = random.Random(13)
+    texts = [sentence(rnd, VOCABULARIES["bb"], 60) for _ in range(12)]
+    rows = [(None, t, "en", "s") for t in texts[:4]] + [(7, t, "en", "s") for t in texts[4:8]] + [(20 + i, t, "en", "s") for i, t in enumerate(texts[8:])]
+    copies = [(None, texts[8], "en", "s"), (None, texts[0], "en", "s"), (30, texts[3], "en", "s"), (7, texts[9], "en", "s"), (40, None, "x", "s"), (None, None, "s", "x")]
+    kept = simhash.keep_one(table(spark, rows + copies), min_similarity=min_similarity)
+    want = dict(zip(texts, [None] * 3 + [30] + [7] * 4 + [20, 7, 22, 23], strict=True)) | {None: 40}
+    assert sorted(((r["text"] or "", r["doc_id"]) for r in kept.collect()), key=str) == sorted(((t or "", i) for t, i in want.items()), key=str)
+
+
 # languages
 
 
