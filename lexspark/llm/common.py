@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -13,15 +14,23 @@ SPACE = r"[\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder the cluster names in spark.checkpoint.dir; a new temporary one where none is set (tests)."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named
-    current = spark.sparkContext.getCheckpointDir()
-    if not current:
-        current = "file://" + tempfile.mkdtemp(prefix="spark-")
-        spark.sparkContext.setCheckpointDir(current)
-    return current
+    """The shared folder the cluster names in spark.checkpoint.dir. Where none is set, a temporary one in local mode
+    (tests), and an error on a cluster, whose machines would not see each other's files."""
+    context = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if not named:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        named = "file://" + tempfile.mkdtemp(prefix="spark-")
+    if not context.getCheckpointDir():
+        context.setCheckpointDir(named)
+    return named.rstrip("/")
+
+
+def remove_folder(spark: SparkSession, folder: str) -> None:
+    """Deletes an intermediate folder of the shared store, if it is there."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
@@ -30,6 +39,29 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def carried(docs: DataFrame, **columns: Column) -> DataFrame:
+    """docs as one column _row beside the given columns, so that its own columns, of whatever names, clash with none;
+    select("_row.*") brings them back."""
+    return docs.select(F.struct("*").alias("_row"), *[c.alias(name) for name, c in columns.items()])
+
+
+#: What tells rows apart: whether the id is null, the id, and two digests of the whole row; in the order of survival.
+ROW_KEY = ["_key_null", "_key_id", "_key_1", "_key_2"]
+NO_ID = -(1 << 63)
+
+
+def row_key(docs: DataFrame) -> dict[str, Column]:
+    """The columns ROW_KEY of docs; equal rows share them. A digest skips nulls, so that their places are digested too."""
+    columns = []
+    for field in docs.schema.fields:
+        name = "`" + field.name.replace("`", "``") + "`"
+        # maps can't be hashed
+        columns.append(F.to_json(F.struct(name)) if "map<" in field.dataType.simpleString() else F.col(name))
+    digests = [F.xxhash64(F.lit(k), *columns, *[c.isNull() for c in columns]) for k in (1, 2)]
+    made = [F.col("doc_id").isNull(), F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)), *digests]
+    return dict(zip(ROW_KEY, made, strict=True))
+
+
 def text_or_empty(text: Column) -> Column:
     return F.coalesce(text, F.lit(""))
 

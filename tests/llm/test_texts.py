@@ -5,6 +5,7 @@ import random
 import unicodedata
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -186,34 +187,69 @@ def test_languages_by_held_out_rows(spark):
     assert {r["doc_id"] for r in langid.keep_identified(table(spark, rows)).collect()} == set(truth) | {903, 904}
 
 
-def phrases_plainly(text, sample, block):
-    count = 0
-    for b in range(0, len(text), block):
-        part, at = text[b : b + block], 0
-        while at < len(part):
-            n = 1
-            while at + n < len(part) and part[at : at + n + 1] in sample:
-                n += 1
-            at += n
-            count += 1
+def phrases_plainly(text, sample):
+    count = at = 0
+    while at < len(text):
+        n = 1
+        while at + n < len(text) and text[at : at + n + 1] in sample:
+            n += 1
+        at += n
+        count += 1
     return count
 
 
-def test_phrases_are_the_longest_matches():
-    samples = {lang: sentence(random.Random(9), words, 400) for lang, words in VOCABULARIES.items()}
-    parser = langid.CrossParser(samples)
-    texts = [sentence(random.Random(k), VOCABULARIES[lang], 70) + " zzz жж" for k, lang in enumerate(["aa", "bb", "cc", "aa"])]
-    lanes = [parser.encode(langid.normalise(t)) for t in texts]
-    order = sorted(range(len(lanes)), key=lambda k: -len(lanes[k]))
-    lengths = np.array([len(lanes[k]) for k in order])
-    grid = np.zeros((lengths.max(), len(lanes)), np.uint8)
-    for column, k in enumerate(order):
-        grid[: len(lanes[k]), column] = lanes[k]
-    got = parser.phrases(grid, lengths)
-    clean = lambda t: "".join(map(chr, langid.normalise(t).tolist()))
-    for column, k in enumerate(order):
-        want = [phrases_plainly(clean(texts[k]), clean(samples[lang]), 10**9) for lang in parser.languages]
-        assert got[column].tolist() == want
+def clean(text):
+    return "".join(map(chr, langid.normalise(text).tolist()))
+
+
+@pytest.mark.parametrize(("block", "extra"), [(1, 1), (7, 1), (16, 5), (512, 48)])
+def test_phrases_are_the_longest_matches_whatever_the_blocks(block, extra):
+    rnd = random.Random(block)
+    for alphabet in ("ab", "abc ", "abcdжя "):
+        samples = {x: "".join(rnd.choice(alphabet) for _ in range(n)) for x, n in (("p", 300), ("q", 40))}
+        texts = ["".join(rnd.choice(alphabet + "zщ") for _ in range(rnd.choice([0, 1, 7, 100, 700]))) for _ in range(15)]
+        texts += [x * 300 for x in ("ab", "a", "abc ")] + [samples["p"] * 3 + samples["q"]]  # parses that never meet, and phrases longer than blocks
+        parser = langid.CrossParser(samples)
+        got = parser.phrases([parser.encode(langid.normalise(t)) for t in texts], block, extra)
+        assert got.tolist() == [[phrases_plainly(clean(t), clean(samples[x])) for x in parser.languages] for t in texts]
+
+
+def test_every_letter_of_the_samples_counts():
+    scripts = {"cyrl": range(0x410, 0x450), "grek": range(0x3B1, 0x3CA), "hani": range(0x4E00, 0x5200), "latn": range(0x61, 0x7B)}
+    rnd = random.Random(3)
+    said = lambda letters: " ".join("".join(chr(rnd.choice(letters)) for _ in range(4)) for _ in range(500))
+    samples = {k: said(v) for k, v in scripts.items()}
+    names, scores = langid.predictions(pa.array([samples[k][200:400] for k in scripts] + [None, "1"]), samples)
+    assert names == [*scripts, "und", "und"] and min(scores[:4]) > 0.5
+
+
+def test_parsers_are_told_apart_by_content_alone(spark):
+    class SameId(dict):
+        pass
+
+    first, second = SameId(aa="abc abd"), SameId(zz="xyz xyy")
+    assert langid.parser_of(first).languages == ["aa"] and langid.parser_of(second).languages == ["zz"]
+    first.clear()
+    first["bb"] = "kkk"  # the same object with other content
+    assert langid.parser_of(first).languages == ["bb"]
+    docs = table(spark, [(i, "abc xyz kkk", None, "s") for i in range(40)]).repartition(4)
+    for k in range(12):  # corpora with languages of their own, other Python jobs between
+        if k % 3 == 0:
+            docs.select(F.pandas_udf(lambda t: t.str.len(), "long")("text")).collect()
+        assert {r["lang_pred"] for r in langid.identify(docs, {f"l{k}": "abc", f"m{k}": "zzz"}).collect()} == {f"l{k}"}
+
+
+def test_passages_are_drawn_from_whole_documents(spark):
+    rows = [(i, f"start{i} " + "mid " * 5_000 + f"end{i}", "aa", "s") for i in range(40)] + [(None, "x " * 500, "bb", "s")] * 3
+    got = langid.learn_samples(table(spark, rows), sample_passages=60, passage_chars=100)
+    assert 30 * 100 < len(got["aa"]) <= 60 * 101 and set(got) <= {"aa", "bb"} and got["aa"].count("mid") > 700
+
+
+def test_languages_with_columns_of_clashing_names(spark):
+    rows = [(i, "the ing ion" if i % 2 else "1", "bb", i, 6) for i in range(12)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, _language int, `a.b` int")
+    kept = langid.keep_identified(docs)
+    assert kept.columns == docs.columns and sorted(tuple(r) for r in kept.collect()) == [r for r in rows if r[0] % 2]
 
 
 # quality
