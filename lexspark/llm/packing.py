@@ -25,6 +25,8 @@ CAPACITY = 1024
 BLOCK_PIECES = 16_384
 SLICE_BYTES = 4 << 20
 END_ID = 0
+#: Fixed value: the vocabulary's special strings; what they cover is cut out of a text before anything else.
+SPECIALS = {"<|endoftext|>": 50256}
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 PIECES_WITH_IDS = PIECES + ", ids array<int>"
@@ -96,18 +98,19 @@ class TextEncoder:
     """Ids of texts under the byte-level vocabulary, each different word of a slice encoded once.
 
     A single space after a non-space always starts a new token of this vocabulary's splitting pattern, so the words of
-    a text can be encoded apart. Texts in which a space follows other white space are encoded whole. Their special
-    strings count as ordinary text.
+    a text can be encoded apart. Texts in which a space follows other white space, or which hold a special string, are
+    encoded whole: a special string is one id, and what lies before and after it is encoded apart.
     """
 
-    UNSAFE = f"[{BLANK}] "
-
-    def __init__(self, ranks_path: str, pattern: str):
+    def __init__(self, ranks_path: str, pattern: str, specials: dict[str, int]):
         import tiktoken
 
         with open(ranks_path, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        self.encode = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+        encoding = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens=specials)
+        self.encode = encoding.encode_ordinary
+        self.encode_whole = lambda text: encoding.encode(text, allowed_special="all")
+        self.unsafe = "|".join([f"[{BLANK}] ", *("\\Q" + x + "\\E" for x in specials)])
         self.token_bytes = np.zeros(max(ranks.values()) + 1, np.int64)
         self.token_bytes[list(ranks.values())] = [len(t) for t in ranks]
 
@@ -139,10 +142,10 @@ class TextEncoder:
 
     def encode_texts(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids one after another, and each text's first position (with the end as a last entry)."""
-        unsafe = np.asarray(pc.match_substring_regex(texts, self.UNSAFE))
+        unsafe = np.asarray(pc.match_substring_regex(texts, self.unsafe))
         heads: list[list[int]] = [[]] * len(texts)
         for i in np.nonzero(unsafe)[0].tolist():
-            heads[i] = self.encode(texts[i].as_py())
+            heads[i] = self.encode_whole(texts[i].as_py())
         split = pc.split_pattern(pc.if_else(pa.array(unsafe), "", texts), " ")
         starts = np.asarray(split.offsets, np.int64)[:-1]
         words = split.flatten()
@@ -184,11 +187,12 @@ def pack(
     capacity: int = CAPACITY,
     block_pieces: int = BLOCK_PIECES,
     with_ids: bool = False,
+    specials: dict[str, int] | None = None,
 ) -> DataFrame:
     """One row per piece of a document, with its sequence and its place there; with_ids adds the ids themselves.
 
     ranks_path names the vocabulary's rank file (default: the installed public byte-level one of 50,257 ids); it must
-    exist on every executor. sequence_id counts from the task's number times 2**32.
+    exist on every executor, and specials its special strings. sequence_id counts from the task's number times 2**32.
     """
     import public_tokenizers
 
@@ -205,7 +209,7 @@ def pack(
         return pa.RecordBatch.from_arrays(columns, names), done + count
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = TextEncoder(path, pattern)
+        encoder = TextEncoder(path, pattern, SPECIALS if specials is None else specials)
         done = TaskContext.get().partitionId() << 32
         block: list[tuple] = []
         for batch in batches:
@@ -228,9 +232,11 @@ def pack(
 
 
 def sequences(pieces: DataFrame, capacity: int = CAPACITY, pad_id: int = END_ID) -> DataFrame:
-    """Padded sequences with the ids and documents in them, from pack(..., with_ids=True)."""
+    """Sequences with the ids and documents in them, from pack(..., with_ids=True); padded to the capacity, but for
+    those whose length is a power of two."""
     parts = F.array_sort(F.collect_list(F.struct("offset", "doc_id", "length", "ids")))
     whole = pieces.groupBy("sequence_id").agg(parts.alias("parts"))
     ids = F.flatten(F.col("parts.ids"))
-    padded = F.concat(ids, F.array_repeat(F.lit(pad_id), F.greatest(F.lit(0), F.lit(capacity) - F.size(ids))))
+    missing = F.when(F.bit_count(F.size(ids)) == 1, 0).otherwise(F.greatest(F.lit(0), F.lit(capacity) - F.size(ids)))
+    padded = F.concat(ids, F.array_repeat(F.lit(pad_id), missing))
     return whole.select("sequence_id", padded.alias("input_ids"), F.col("parts.doc_id").alias("doc_ids"), F.col("parts.length").alias("lengths"))

@@ -2,6 +2,7 @@ import zlib
 from array import array
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -16,7 +17,6 @@ def ids_of(texts):
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    tokenizer.encode_special_tokens = True
     return [x.ids + [0] for x in tokenizer.encode_batch([t or "" for t in texts], add_special_tokens=False)]
 
 
@@ -58,7 +58,21 @@ def test_sequences_are_gapless_and_within_capacity(packed):
 def test_padded_sequences(spark, packed):
     pieces = spark.createDataFrame(packed, packing.PIECES_WITH_IDS)
     rows = packing.sequences(pieces).collect()
-    assert all(len(r["input_ids"]) == packing.CAPACITY and sum(r["lengths"]) <= packing.CAPACITY for r in rows)
+    for r in rows:
+        own = sum(r["lengths"])
+        assert own <= packing.CAPACITY and len(r["input_ids"]) == (own if own & (own - 1) == 0 else packing.CAPACITY)
+    short = packing.sequences(packing.pack(spark.createDataFrame([(1, "a b c", 7, "x")], SCHEMA), with_ids=True)).first()
+    assert len(short["input_ids"]) == 4
+
+
+@settings(max_examples=80, deadline=None)
+@given(st.lists(st.lists(st.sampled_from(["<|endoftext|>", "<|endof", "text|>", " ", "\n", "a", " the", "é", "12", "'s", "\u00a0"]), max_size=12).map("".join), min_size=1, max_size=5))
+def test_ids_of_texts_with_special_strings(texts):
+    import public_tokenizers
+
+    encoder = packing.TextEncoder(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, packing.SPECIALS)
+    ids, firsts = encoder.encode_texts(pa.array(texts, pa.string()))
+    assert [[*ids[a:b].tolist(), 0] for a, b in zip(firsts, firsts[1:], strict=False)] == ids_of(texts)
 
 
 def test_empty_table(spark):
