@@ -5,9 +5,10 @@ response, the others are revisits of it without the payload. Each task writes fi
 and returns their names; only the names that Spark committed, kept as a manifest beside them, are read, so what a lost or
 repeated task leaves behind is never seen.
 
-Reading: files are cut into byte ranges. A task scans its range for gzip magic, takes a candidate as a member if its
-first bytes inflate to a WARC header, and then follows member after member; it owns the records that start inside its
-range, and reads past the range's end only to finish the last one.
+Reading: files are cut into byte ranges, one range a task. A task scans its range for gzip magic, takes a candidate as a
+member if its first bytes inflate to a WARC header, and then follows member after member; it owns the records that start
+inside its range, and reads past the range's end only to finish the last one. A response's length and digest are those
+of the payload as read, and `intact` says whether its header states the same.
 
 Defined cases: a null html is an empty payload; records of rows repeated whole, id included, are all alike; rows that
 share the largest id of a payload are all responses; payloads below `min_revisit_bytes` are never revisits; a null id is
@@ -28,17 +29,17 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexspark.llm.common import shared_dir
+from lexspark.llm.common import checkpointed, remove_folder, shared_dir, small_side
 
 MAGIC = b"\x1f\x8b\x08"
 VERSION = b"WARC/1.1\r\n"
-RANGE_BYTES = 8 << 20
+RANGE_BYTES = 8 << 20  # a task reads so much; fewer, larger ranges suit larger stores
 FILE_BYTES = 256 << 20
 CHUNK_BYTES = 1 << 18
 DATE = "1970-01-01T00:00:00Z"  # pages carry no time of capture
 
 MANIFEST = "path string, records long, bytes long"
-RECORDS = "path string, start long, page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string, payload binary"
+RECORDS = "path string, start long, page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, intact boolean, url string, payload binary"
 
 
 def digest_of(payload: bytes) -> str:
@@ -91,14 +92,18 @@ def parse_record(data: bytes) -> dict:
 
 
 def with_revisits(pages: DataFrame, min_revisit_bytes: int = 0) -> DataFrame:
-    """page_id, url, html (binary, never null) and refers_to, the id to revisit; null for responses."""
+    """page_id, url, html (binary, never null) and refers_to, the id to revisit; null for responses.
+
+    Only digests and ids are grouped; the digests that occur under several ids come to the pages by broadcast while they
+    are few, so that payloads stay where they are, and by a join on the digest beyond.
+    """
     payload = F.coalesce(F.col("html").cast("binary"), F.lit(b""))
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), payload.alias("html"))
-    keyed = rows.withColumn("_key", F.sha2("html", 256))
-    # only payloads that occur under several ids are joined; the largest id is found map-side first
-    largest = keyed.where(F.length("html") >= min_revisit_bytes).groupBy("_key").agg(F.max("page_id").alias("_last"), F.min("page_id").alias("_first"))
-    repeated = largest.where(F.col("_first") < F.col("_last")).select(F.col("_key").alias("_repeated"), "_last")
-    joined = keyed.join(repeated, F.col("_key") == F.col("_repeated"), "left")
+    key = F.unhex(F.sha2("html", 256))
+    light = rows.where(F.length("html") >= min_revisit_bytes).select(key.alias("_repeated"), "page_id")
+    largest = light.groupBy("_repeated").agg(F.max("page_id").alias("_last"), F.min("page_id").alias("_first"))
+    repeated = small_side(largest.where(F.col("_first") < F.col("_last")).select("_repeated", "_last"))
+    joined = rows.withColumn("_key", key).join(repeated, F.col("_key") == F.col("_repeated"), "left")
     return joined.select("page_id", "url", "html", F.when(F.coalesce(F.col("page_id"), F.col("_last") - 1) < F.col("_last"), F.col("_last")).alias("refers_to"))
 
 
@@ -202,11 +207,11 @@ def read_archives(files: DataFrame, range_bytes: int = RANGE_BYTES, payloads: bo
     """One row per record of the files (path, bytes), read range by range."""
     starts = F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.lit(0).cast("long"), F.col("bytes") - 1), F.lit(range_bytes).cast("long")))
     ranges = files.where(F.col("bytes") > 0).select("path", F.col("bytes").alias("size"), starts.alias("begin"))
-    # ranges are a few bytes each; dealing them out spreads the reading over all tasks
-    spread = ranges.repartition("path", "begin")
+    # a stated number of partitions is never coalesced; by range, as a hash would put several into one
+    spread = ranges.repartitionByRange(max(1, ranges.count()), "path", "begin")
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.binary())
+        kinds = (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.bool_(), pa.string(), pa.binary())
         names = [x.split(" ")[0] for x in RECORDS.split(", ")]
         for batch in batches:
             for path, size, begin in zip(*(c.to_pylist() for c in batch.columns), strict=True):
@@ -217,8 +222,10 @@ def read_archives(files: DataFrame, range_bytes: int = RANGE_BYTES, payloads: bo
                     for start, data in records_in(file, size, begin, min(begin + range_bytes, size)):
                         x = parse_record(data)
                         number = lambda k: int(x[k]) if x.get(k) else None  # noqa: B023, E731
-                        length = int(x["http"].get("content-length", len(x["payload"])))
-                        rows.append((path, start, number("x-page-id"), length, x.get("warc-payload-digest", "").removeprefix("sha1:"), x.get("warc-type"), number("x-refers-to-page-id"), x.get("warc-target-uri"), x["payload"] if payloads else None))
+                        stated = (int(x["http"].get("content-length", len(x["payload"]))), x.get("warc-payload-digest", "").removeprefix("sha1:"))
+                        # a revisit holds no payload: what its header says is all there is
+                        found = stated if x.get("warc-type") == "revisit" else (len(x["payload"]), digest_of(x["payload"]))
+                        rows.append((path, start, number("x-page-id"), *found, x.get("warc-type"), number("x-refers-to-page-id"), found == stated, x.get("warc-target-uri"), x["payload"] if payloads else None))
                         held += len(data) if payloads else 200
                         if held > 8 << 20:
                             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names)
@@ -230,7 +237,16 @@ def read_archives(files: DataFrame, range_bytes: int = RANGE_BYTES, payloads: bo
 
 
 def round_trip(spark: SparkSession, pages: DataFrame, min_revisit_bytes: int = 0, folder: str | None = None) -> DataFrame:
-    """Writes pages as archives into a new shared folder, and reads back what their records say."""
-    folder = folder or f"{shared_dir(spark).rstrip('/')}/warc-{uuid.uuid4()}"
-    manifest = write_archives(pages, folder, min_revisit_bytes)
-    return read_archives(manifest, payloads=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    """Writes pages as archives, and reads back what their records say.
+
+    The archives go into the given folder, which the caller owns, or else into a new shared one, which is deleted when
+    the records' figures have been read.
+    """
+    own = folder or f"{shared_dir(spark)}/warc-{uuid.uuid4()}"
+    manifest = write_archives(pages, own, min_revisit_bytes)
+    read = read_archives(manifest, payloads=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "intact")
+    if folder:
+        return read
+    kept = checkpointed(read)
+    remove_folder(spark, own)
+    return kept
