@@ -1,17 +1,24 @@
 """Near-duplicates by SimHash, found through deletion-variant signatures.
 
-A 64-bit fingerprint is cut into three segments. Two fingerprints that differ in at most four bits differ in at most
-one bit of some segment, so in that segment they share a variant with the same one bit wildcarded. Distinct
+A 64-bit fingerprint is cut into three segments. Two fingerprints that differ in at most four (or five) bits differ in at
+most one bit of some segment, so in that segment they share a variant with the same one bit wildcarded. Distinct
 fingerprints are indexed under all 64 such variants, joined by equality, and verified on the full 64 bits in the join
 itself, where each pair is kept at its first shared variant only. Components come from alternating large-star and
 small-star rounds over the links, each round kept in the shared folder.
 
-Copies count once: documents are grouped by fingerprint before anything is joined, so a group of copies of any size is
-one node. The index is spread by variant, and skewed variants are split by adaptive execution.
+Copies count once: documents are grouped by fingerprint (or by text) before anything is joined, so a group of copies of
+any size is one node. The index is spread by variant, and skewed variants are split by adaptive execution.
+
+`keep_one` with a similarity works on distinct texts. A text has several fingerprints of its distinct words, made with
+hashes of their own, and two texts are candidates if one of them differs in few bits; the five-word shingles of every
+candidate pair then decide. So that a large group of near copies doesn't bring all its pairs, each text is first held
+against the least text in its segments (a star); what that leaves apart is then searched in full, but pairs that are
+in one component already never leave the join. The components are the same as over all pairs.
 
 Defined cases: null, empty and blank texts have fingerprint zero and link to whatever lies within the distance of zero;
 texts with fewer words than a shingle are one shingle; repeated rows share everything; a null doc_id belongs to its
-component but is never its name unless all its ids are null; an empty table gives no rows; other columns are ignored.
+component but is never its name unless all its ids are null; an empty table gives no rows; other columns, of whatever
+names, are ignored by `near_duplicates` and carried along by `keep_one`.
 """
 
 from __future__ import annotations
@@ -22,39 +29,59 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lexspark.llm.common import SPACE, checkpointed, small_side, text_or_empty
+from lexspark.llm.common import ROW_KEY, SPACE, carried, checkpointed, row_key, small_side, text_or_empty
 
 SHINGLE = 4
 MAX_BITS = 4
 SEED = 42
 BITS = 64
 VERIFY_WORDS = 5
-NO_ID = -(1 << 63)
+#: A fingerprint with more than one row in so many is hot; so there are never more hot ones than this.
+HOT_SHARE = 20_000
+
 
+def _mixed(hashes: np.ndarray) -> np.ndarray:
+    """Other hashes of the same things, by a one-to-one function of the hash."""
+    h = hashes ^ (hashes >> np.uint64(31))
+    h = h * np.uint64(0x9E3779B97F4A7C15)
+    h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    return h ^ (h >> np.uint64(32))
 
-def fingerprint_bits(text: str | None, shingle: int = SHINGLE) -> int:
-    """A bit is set if it is set in over half the XXH64 values of the text's word shingles (signed 64-bit result)."""
+
+def fingerprints_of(text: str | None, shingle: int = SHINGLE, distinct: bool = False, count: int = 1) -> list[int]:
+    """Fingerprints of a text, signed. A bit is set if it is set in over half the hashes of the text's word shingles,
+    repeats included unless distinct: XXH64 values for the first fingerprint, mixed ones for the others."""
     import xxhash
 
     words = text.encode("utf-8", "replace").lower().split() if text else []  # of bytes: ASCII letters and white space only
     if not words:
-        return 0
+        return [0] * count
+    if distinct and shingle == 1:
+        words = list(dict.fromkeys(words))
     joined = b" ".join(words)
     ends = np.cumsum([len(w) + 1 for w in words]) - 1
     starts = np.concatenate(([0], ends[:-1] + 1))
     last = max(len(words) - shingle + 1, 1)
     digest = xxhash.xxh64_intdigest
     hashes = np.array([digest(joined[s:e], SEED) for s, e in zip(starts[:last].tolist(), ends[min(shingle, len(words)) - 1 :].tolist(), strict=True)], dtype="<u8")
-    set_in = np.zeros(BITS, np.int64)
-    for part in np.array_split(hashes, len(hashes) // 65_536 + 1):
-        set_in += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * set_in > len(hashes), bitorder="little").view("<i8")[0])
-
-
-def fingerprint(text: Column, shingle: int = SHINGLE) -> Column:
-    @F.pandas_udf("long")
+    if distinct:
+        hashes = np.unique(hashes)
+    found = []
+    for k in range(count):
+        hashes = _mixed(hashes).astype("<u8") if k else hashes
+        set_in = np.zeros(BITS, np.int64)
+        for part in np.array_split(hashes, len(hashes) // 65_536 + 1):
+            set_in += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        found.append(int(np.packbits(2 * set_in > len(hashes), bitorder="little").view("<i8")[0]))
+    return found
+
+
+def fingerprints(text: Column, shingle: int = SHINGLE, distinct: bool = False, count: int = 1) -> Column:
+    """The array of a text's fingerprints."""
+
+    @F.pandas_udf("array<long>")
     def of(texts: pd.Series) -> pd.Series:
-        return pd.Series([fingerprint_bits(t, shingle) for t in texts], dtype="int64")
+        return pd.Series([fingerprints_of(t, shingle, distinct, count) for t in texts], dtype=object)
 
     return of(text)
 
@@ -71,15 +98,16 @@ def _mask(first: int, bits: int) -> int:
     return mask - (1 << 64) if mask >> 63 else mask
 
 
-def _variants(fp: Column, max_bits: int) -> Column:
-    """Array of signatures: the wildcarded bit's number in the high half, its segment without that bit in the low half."""
+def _variants(fp: Column, max_bits: int, tag: Column | None = None) -> Column:
+    """Array of signatures: the segment without the wildcarded bit in the low half, the bit's number above it, and a
+    small tag from bit 40 on."""
     made = []
     for first, bits in segments_for(max_bits):
         for bit in range(first, first + bits):
             mask = _mask(first, bits) & ~_mask(bit, 1)
             segment = F.shiftrightunsigned(fp.bitwiseAND(F.lit(mask).cast("long")), first)
             made.append(segment.bitwiseOR(F.lit(bit << 32).cast("long")))
-    return F.array(*made)
+    return F.array(*[m if tag is None else m.bitwiseOR(F.shiftleft(tag.cast("long"), 40)) for m in made])
 
 
 def _first_shared(different: Column, max_bits: int) -> Column:
@@ -96,13 +124,21 @@ def _first_shared(different: Column, max_bits: int) -> Column:
 
 
 def links(fingerprints: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
-    """(a, b), a < b: pairs of distinct values of column fp that differ in at most max_bits bits, each once."""
-    index = fingerprints.select("fp", F.explode(_variants(F.col("fp"), max_bits)).alias("signature"))
+    """(a, b), a < b: pairs of distinct values of column fp that differ in at most max_bits bits, each once.
+
+    With a column tag, values meet under the same tag only, and it is returned too; with a column component, pairs of
+    the same component are left out (of a null one, never).
+    """
+    tagged = "tag" in fingerprints.columns
+    index = fingerprints.withColumn("signature", F.explode(_variants(F.col("fp"), max_bits, F.col("tag") if tagged else None)))
     a, b = index.alias("a"), index.alias("b")
     different = F.col("a.fp").bitwiseXOR(F.col("b.fp"))
-    verified = (F.bit_count(different) <= max_bits) & (F.shiftright("a.signature", 32) == _first_shared(different, max_bits))
-    on = (F.col("a.signature") == F.col("b.signature")) & (F.col("a.fp") < F.col("b.fp")) & verified
-    return a.join(b, on).select(F.col("a.fp").alias("a"), F.col("b.fp").alias("b"))
+    variant = F.shiftright("a.signature", 32).bitwiseAND(F.lit(255).cast("long"))
+    on = (F.col("a.signature") == F.col("b.signature")) & (F.col("a.fp") < F.col("b.fp"))
+    if "component" in fingerprints.columns:
+        on = on & F.coalesce(F.col("a.component") != F.col("b.component"), F.lit(True))
+    on = on & (F.bit_count(different) <= max_bits) & (variant == _first_shared(different, max_bits))
+    return a.join(b, on).select(*([F.col("a.tag").alias("tag")] if tagged else []), F.col("a.fp").alias("a"), F.col("b.fp").alias("b"))
 
 
 def components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
@@ -158,76 +194,108 @@ def _shingle_sets(texts: DataFrame, words: int) -> DataFrame:
     return split.select("_fp", F.array_distinct(hashes).alias("_set"))
 
 
-#: What tells rows apart: whether the id is null, the id, and two digests of the whole row; in the order of survival.
-ROW_KEY = ["_key_null", "_key_id", "_key_1", "_key_2"]
-
+def similar(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, min_similarity: float, words: int = VERIFY_WORDS) -> DataFrame:
+    """The pairs (a, b) of nodes whose texts' word shingles have a Jaccard similarity of at least min_similarity.
 
-def _row_key(docs: DataFrame) -> list[Column]:
-    """The columns ROW_KEY of docs; equal rows share them. A digest skips nulls, so that their places are digested too."""
-    columns = [F.col(f"`{c}`") for c in docs.columns]
-    digests = [F.xxhash64(F.lit(k), *columns, *[c.isNull() for c in columns]) for k in (1, 2)]
-    made = [F.col("doc_id").isNull(), F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)), *digests]
-    return [c.alias(n) for c, n in zip(made, ROW_KEY, strict=True)]
-
-
-def similar_links(pairs: DataFrame, docs: DataFrame, groups: DataFrame, min_similarity: float, words: int = VERIFY_WORDS) -> DataFrame:
-    """The pairs of fingerprints whose texts' word shingles have a Jaccard similarity of at least min_similarity.
-
-    A fingerprint is held by the text of its least row, which groups names by id and digest, so that rows without an id
-    or with a shared one are told apart. Only fingerprints in pairs are looked up; their list goes to the documents by
+    A node's text is that of its first row. Only nodes in pairs are looked up; their list goes to the documents by
     broadcast while it is short, and by shuffle beyond.
     """
-    pairs = checkpointed(pairs)
-    linked = pairs.select(F.col("a").alias("_fp")).union(pairs.select("b")).distinct()
-    wanted = small_side(groups.join(linked, F.col("fp") == F.col("_fp")).select("_fp", "first.*"))
-    own = docs.select("text", *_row_key(docs)).join(wanted, ROW_KEY).dropDuplicates(["_fp"])  # equal rows share a key
-    sets = checkpointed(_shingle_sets(own, words))
+    linked = pairs.select(F.col("a").alias("_node")).union(pairs.select("b")).distinct()
+    wanted = small_side(nodes.join(linked, F.col("node") == F.col("_node")).select(F.col("node").alias("_fp"), "first.*"))
+    own = docs.select("text", *[c.alias(k) for k, c in row_key(docs).items()]).join(wanted, ROW_KEY)
+    sets = checkpointed(_shingle_sets(own, words).dropDuplicates(["_fp"]))  # equal rows share a key
     a, b = (sets.select(F.col("_fp").alias(f"_{k}"), F.col("_set").alias(f"_set_{k}")) for k in "ab")
-    both = pairs.join(a, F.col("a") == F.col("_a")).join(b, F.col("b") == F.col("_b"))
+    # a star's least node is a: the sets that differ from pair to pair come first
+    both = pairs.join(b, F.col("b") == F.col("_b")).join(a, F.col("a") == F.col("_a"))
     shared = F.size(F.array_intersect("_set_a", "_set_b"))
     similarity = shared / (F.size("_set_a") + F.size("_set_b") - shared)
-    return both.where(similarity >= min_similarity).select("a", "b")
-
-
-def with_components(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX_BITS, min_similarity: float | None = None) -> DataFrame:
-    """doc_id, fp, component_id for every row of docs. With min_similarity, links between different fingerprints also
-    need texts that are so similar by shingles of five words."""
-    told = [] if min_similarity is None else _row_key(docs)
-    rows = checkpointed(docs.select(F.col("doc_id").cast("long").alias("doc_id"), fingerprint(F.col("text"), shingle).alias("fp"), *told))
-    groups = rows.groupBy("fp").agg(F.min("doc_id").alias("least"), *[F.min(F.struct(*ROW_KEY)).alias("first") for _ in told[:1]])
-    pairs = links(groups, max_bits)
-    if min_similarity is not None:
-        pairs = similar_links(pairs, docs, groups, min_similarity)
+    return checkpointed(both.where(similarity >= min_similarity).select("a", "b"))
+
+
+def stars(nodes: DataFrame, max_bits: int, count: int) -> DataFrame:
+    """(a, b), a < b: every node of (node, fps) with the least node that has one of its segments in the same place, if
+    one of their fingerprints differs in at most max_bits bits. No more rows than a node has segments."""
+    keys = []
+    for k in range(count):
+        for n, (first, bits) in enumerate(segments_for(max_bits)):
+            segment = F.shiftrightunsigned(F.get("fps", F.lit(k)).bitwiseAND(F.lit(_mask(first, bits)).cast("long")), first)
+            keys.append(segment.bitwiseOR(F.lit((k * BITS + n) << 32).cast("long")))
+    held = nodes.select("node", "fps", F.explode(F.array(*keys)).alias("key"))
+    least = held.groupBy("key").agg(F.min(F.struct("node", "fps")).alias("least"))
+    near = F.exists(F.zip_with("fps", "least.fps", lambda x, y: F.bit_count(x.bitwiseXOR(y)) <= max_bits), lambda t: t)
+    return held.join(least, "key").where((F.col("node") > F.col("least.node")) & near).select(F.col("least.node").alias("a"), F.col("node").alias("b")).distinct()
+
+
+def apart(nodes: DataFrame, found: DataFrame, max_bits: int) -> DataFrame:
+    """(a, b), a < b: all pairs of nodes with a fingerprint that differs in at most max_bits bits, but for those of one
+    component in found (node, component)."""
+    own = found.select(F.col("node").alias("_node"), "component")
+    placed = nodes.join(own, F.col("node") == F.col("_node"), "left").select("node", F.coalesce("component", "node").alias("component"), F.posexplode("fps").alias("tag", "fp"))
+    placed = checkpointed(placed)
+    classes = placed.groupBy("tag", "fp").agg(F.min("component").alias("low"), F.max("component").alias("high"))
+    classes = checkpointed(classes)
+    near = links(classes.select("tag", "fp", F.when(F.col("low") == F.col("high"), F.col("low")).alias("component")), max_bits)
+    # texts that share a fingerprint are near each other too
+    mixed = classes.where(F.col("low") < F.col("high")).select("tag", F.col("fp").alias("a"), F.col("fp").alias("b"))
+    a, b = (placed.select(F.col("tag").alias(f"_tag_{k}"), F.col("fp").alias(f"_fp_{k}"), F.col("node").alias(f"node_{k}"), F.col("component").alias(f"component_{k}")) for k in "ab")
+    met = near.union(mixed).join(a, (F.col("tag") == F.col("_tag_a")) & (F.col("a") == F.col("_fp_a")))
+    met = met.join(b, (F.col("tag") == F.col("_tag_b")) & (F.col("b") == F.col("_fp_b")) & (F.col("component_a") != F.col("component_b")))
+    return met.select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")).distinct()
+
+
+def similar_components(docs: DataFrame, nodes: DataFrame, max_bits: int, count: int, min_similarity: float) -> DataFrame:
+    """(node, component) of the nodes that are linked: near by a fingerprint, and similar by shingles."""
+    close = similar(checkpointed(stars(nodes, max_bits, count)), docs, nodes, min_similarity)
+    found = components(close)
+    rest = similar(checkpointed(apart(nodes, found, max_bits)), docs, nodes, min_similarity)
+    return components(close.union(rest))
+
+
+def with_components(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX_BITS) -> DataFrame:
+    """doc_id, fp, component_id for every row of docs."""
+    fp = F.get(fingerprints(F.col("text"), shingle), F.lit(0))
+    rows = checkpointed(docs.select(F.col("doc_id").cast("long").alias("doc_id"), fp.alias("fp")))
+    groups = checkpointed(rows.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("size")))
     # components over fingerprints, then the least id among all fingerprints of a component
-    linked = components(pairs).join(groups, F.col("node") == F.col("fp")).select("fp", "component", "least")
+    linked = components(links(groups.select("fp"), max_bits)).join(groups, F.col("node") == F.col("fp")).select("fp", "component", "least")
     names = linked.groupBy("component").agg(F.min("least").alias("name"))
     named = linked.join(names, "component").select(F.col("fp").alias("_fp"), F.col("name"))
-    every = groups.join(named, F.col("fp") == F.col("_fp"), "left").select(F.col("fp").alias("_fp"), F.coalesce("name", "least").alias("component_id"))
-    # kept, so that both sides of the last join are plain exchanges and a hot fingerprint's rows can be split
-    return rows.join(checkpointed(every), F.col("fp") == F.col("_fp")).select("doc_id", "fp", "component_id")
+    every = checkpointed(groups.join(named, F.col("fp") == F.col("_fp"), "left").select(F.col("fp").alias("_fp"), "size", F.coalesce("name", "least").alias("component_id")))
+    # rows of hot fingerprints, of which there are at most HOT_SHARE, stay where they are; the others meet by shuffle
+    hot = F.col("size") > max(1, groups.agg(F.sum("size")).first()[0] or 0) / HOT_SHARE
+    of_hot = F.broadcast(every.where(hot).select(F.col("_fp").alias("_hot"), F.col("component_id").alias("_hot_id")))
+    met = rows.join(of_hot, F.col("fp") == F.col("_hot"), "left")
+    cold = met.where(F.col("_hot").isNull()).select("doc_id", "fp").join(every.where(~hot), F.col("fp") == F.col("_fp"))
+    return met.where(F.col("_hot").isNotNull()).select("doc_id", "fp", F.col("_hot_id").alias("component_id")).union(cold.select("doc_id", "fp", "component_id"))
 
 
-def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX_BITS, min_similarity: float | None = None) -> DataFrame:
+def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX_BITS) -> DataFrame:
     """doc_id, fingerprint (16 hex digits) and component_id (the least doc_id reachable over links)."""
-    found = with_components(docs, shingle, max_bits, min_similarity)
+    found = with_components(docs, shingle, max_bits)
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX_BITS, min_similarity: float | None = None) -> DataFrame:
+def keep_one(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX_BITS, min_similarity: float | None = None, distinct: bool = False, count: int = 1) -> DataFrame:
     """One row of docs for every component: the one with the least doc_id, and of several with it that of the least digest.
 
+    Without min_similarity, nodes are fingerprints and links are near fingerprints. With it, nodes are texts, told apart
+    by a 128-bit digest, and links are texts near by one of count fingerprints whose five-word shingles are so similar.
     Rows without an id come last. The survivor is chosen within its component and found again by ROW_KEY, so that texts
     without an id, or different texts with one id, don't stand for each other.
     """
-    rows = checkpointed(docs.select(fingerprint(F.col("text"), shingle).alias("fp"), *_row_key(docs)))
-    groups = checkpointed(rows.groupBy("fp").agg(F.min(F.struct(*ROW_KEY)).alias("first")))
-    pairs = links(groups, max_bits)
+    text = text_or_empty(F.col("text").cast("string"))
+    node = F.unhex(F.md5(text)) if min_similarity is not None else F.lit(None).cast("binary")
+    rows = docs.select(fingerprints(text, shingle, distinct, count).alias("fps"), node.alias("digest"), *[c.alias(k) for k, c in row_key(docs).items()])
+    grouped = rows.groupBy("fps", "digest").agg(F.min(F.struct(*ROW_KEY)).alias("first"))
+    nodes = checkpointed(grouped.withColumn("node", F.monotonically_increasing_id()))
     if min_similarity is not None:
-        pairs = similar_links(pairs, docs, groups, min_similarity)
-    named = groups.join(components(pairs), F.col("fp") == F.col("node"), "left")
-    firsts = named.groupBy(F.coalesce("component", "fp").alias("_component")).agg(F.min("first").alias("first")).select("first.*")
+        found = similar_components(docs, nodes, max_bits, count, min_similarity)
+    else:
+        found = components(apart(nodes, nodes.select("node", F.col("node").alias("component")), max_bits))
+    named = nodes.join(found.withColumnRenamed("node", "_node"), F.col("node") == F.col("_node"), "left")
+    firsts = named.groupBy(F.coalesce("component", "node").alias("_component")).agg(F.min("first").alias("first")).select("first.*")
     # one key for the join and the window, so that texts are moved once
-    kept = docs.select("*", *_row_key(docs)).join(firsts, ROW_KEY, "left_semi")
+    kept = carried(docs, **row_key(docs)).join(firsts, ROW_KEY, "left_semi")
     # equal rows share the key: a group of them leaves one row
     again = Window.partitionBy(*ROW_KEY).orderBy("_key_1")
-    return kept.withColumn("_again", F.row_number().over(again)).where(F.col("_again") == 1).select(*docs.columns)
+    return kept.withColumn("_again", F.row_number().over(again)).where(F.col("_again") == 1).select("_row.*")
