@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from lexspark.llm import langid, mixing, packing, quality, simhash
-from lexspark.llm.common import shared_dir
+from lexspark.llm.common import remove_folder, shared_dir
 
 
 def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -19,9 +19,9 @@ def known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    # shingles of two words and five bits find near copies that change a few words; the texts then decide, by shingles
-    # of five words, so that documents which only sound alike all stay
-    return simhash.keep_one(docs, shingle=2, max_bits=5, min_similarity=0.8)
+    # three fingerprints of a text's different words find nearly all near copies; the texts then decide, by shingles of
+    # five words, so that documents which only sound alike all stay
+    return simhash.keep_one(docs, shingle=1, max_bits=5, min_similarity=0.8, distinct=True, count=3)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,10 +45,15 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The packed pieces of documents; what each stage returns is written to the shared folder and read again."""
+    """The packed pieces of documents; what each stage returns is written to the shared folder and read again.
+
+    A stage's rows are deleted when the next one's are written. Those that the result is computed from stay.
+    """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    folder = f"{shared_dir(spark).rstrip('/')}/pipeline-{uuid.uuid4()}"
+    folder = f"{shared_dir(spark)}/pipeline-{uuid.uuid4()}"
     for k, (_, stage) in enumerate(STAGES[:-1]):
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}")
         docs = spark.read.parquet(f"{folder}/{k}")
+        if k:
+            remove_folder(spark, f"{folder}/{k - 1}")
     return STAGES[-1][1](spark, docs, sf_dir)
