@@ -75,7 +75,12 @@ def words_of(text: Column) -> Column:
     return F.filter(F.split(text_or_empty(text), SPACE), lambda w: w != "")
 
 
+def bounded(df: DataFrame, rows: int, most_rows: int = 100_000) -> DataFrame:
+    """df, which has at most so many rows, marked for broadcast if these are few enough; beyond that joins shuffle."""
+    return F.broadcast(df) if rows <= most_rows else df
+
+
 def small_side(df: DataFrame, most_rows: int = 100_000) -> DataFrame:
     """df, checkpointed, and marked for broadcast only if it has few enough rows; beyond that it is joined by shuffle."""
     kept = checkpointed(df)
-    return F.broadcast(kept) if kept.count() <= most_rows else kept
+    return bounded(kept, kept.count(), most_rows)

@@ -1,6 +1,7 @@
 """Fingerprints, near-duplicates, languages, quality and outliers, against brute force and held-out labels."""
 
 import hashlib
+import itertools
 import random
 import unicodedata
 
@@ -334,27 +335,44 @@ def test_a_third_of_a_group_as_copies(spark):
     assert all(kept for i, kept in got.items() if not 1000 <= i < 2000)
 
 
-def test_estimates_are_the_brute_force_s(spark):
+def regularised(points):
+    return outliers.consistency(outliers.SUPPORT) * np.cov(points.T, bias=True) + np.diag(np.square(outliers.FLOORS))
+
+
+def test_least_determinants_are_the_brute_force_s(spark):
+    """Against every subset of half the points, of groups with a third of junk, near and far, tight and wide."""
+    rnd = np.random.default_rng(2)
+    groups = {}
+    for k in range(16):
+        clean = rnd.normal(size=(9, 4)) * [1, 0.5, 2, 1]
+        junk = rnd.normal(size=(5, 4)) * (0.1 if k % 2 else 5) + (0, 8, 15, -20)[k % 4]
+        groups[f"g{k}"] = np.vstack([clean, junk])
+    rows = spark.createDataFrame([(g, *map(float, p)) for g, points in groups.items() for p in points], "_group string, x0 double, x1 double, x2 double, x3 double")
+    sizes = rows.groupBy("_group").agg(F.count(F.lit(1)).alias("n"))
+    got = {r["_group"]: r["log_det"] for r in outliers.least_determinants(rows, sizes, 16).collect()}
+    subsets = [list(c) for c in itertools.combinations(range(14), 7)]
+    above = [got[g] - min(np.linalg.slogdet(regularised(points[c]))[1] for c in subsets) for g, points in groups.items()]
+    assert min(above) > -1e-6  # all are subsets' determinants
+    assert sum(x < 1e-6 for x in above) >= 8 and max(above) < 2.5, above  # mostly the least of all 3,432, else near it
+
+
+def test_estimates_reweight_from_all_near_points(spark):
     rnd = np.random.default_rng(3)
-    points = np.vstack([rnd.normal(size=(300, 4)) * [1, 2, 0.5, 1] + [0, 1, 2, 3], rnd.normal(size=(30, 4)) + 25])
+    points = np.vstack([rnd.normal(size=(300, 4)) * [1, 2, 0.5, 1] + [0, 1, 2, 3], rnd.normal(size=(140, 4)) * 0.2 + 25])
     rows = spark.createDataFrame([("g", *map(float, p)) for p in points], "_group string, x0 double, x1 double, x2 double, x3 double")
-    got = outliers.estimates(rows).first()
-    floor = np.diag(np.square(outliers.FLOORS))
-
-    def refit(near, factor):
-        return near.mean(axis=0), factor * np.cov(near.T, bias=True) + floor
-
-    def distance(mean, cov):
-        return np.einsum("ij,jk,ik->i", points - mean, np.linalg.inv(cov), points - mean)
-
-    low, mean, high = np.quantile(points, [0.25, 0.5, 0.75], axis=0)
-    cov = np.diag(np.maximum((high - low) / 1.349, outliers.FLOORS) ** 2)
-    for _ in range(outliers.STEPS):
-        d = distance(mean, cov)
-        mean, cov = refit(points[d <= np.quantile(d, outliers.SUPPORT)], outliers.consistency(outliers.SUPPORT))
-    mean, cov = refit(points[distance(mean, cov) <= outliers.chi2_quantile(outliers.REWEIGHT)], outliers.consistency(outliers.REWEIGHT))
-    assert np.allclose([got[f"m{i}"] for i in range(4)], mean, atol=0.05)
-    assert np.allclose([got[f"l{i}_{j}"] for i in range(4) for j in range(i + 1)], np.linalg.cholesky(cov)[np.tril_indices(4)], atol=0.08)
+    got = outliers.estimates(rows)[0].first()
+    assert got["n"] == 440 and np.allclose([got[f"m{i}"] for i in range(4)], points[:300].mean(axis=0), atol=0.2)
+    want = np.cov(points[:300].T, bias=True) + np.diag(np.square(outliers.FLOORS))
+    assert np.allclose([got[f"c{i}_{j}"] for i, j in outliers.PAIRS], [want[i, j] for i, j in outliers.PAIRS], atol=0.5)
+
+
+def test_small_groups_lean_on_their_language(spark):
+    rnd = random.Random(14)
+    plain = lambda words: "\n".join(sentence(rnd, words, 12) for _ in range(6))
+    rows = [(i, plain(VOCABULARIES["bb"]), "en", "a") for i in range(200)]
+    rows += [(1000, plain(VOCABULARIES["bb"]), "en", "tiny"), (1001, plain(VOCABULARIES["bb"]).replace(" ", "#### "), "en", "tiny"), (1002, plain(VOCABULARIES["bb"]), None, None)]
+    got = {r["doc_id"]: r for r in outliers.judge(table(spark, rows)).collect()}
+    assert got[1000]["kept"] and not got[1001]["kept"] and got[1002]["kept"] and all(got[i]["kept"] for i in range(200))
 
 
 def test_chi2():
