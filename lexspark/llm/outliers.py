@@ -40,6 +40,8 @@ REWEIGHT, REJECT = 0.975, 0.99999
 #: Starts are tried on so many rows of a group, so many of them drawn, and so many go on over all rows.
 START_ROWS, ELEMENTAL, KEPT_STARTS = 300, 20, 2
 PRIOR = 200
+#: Summaries and vectors, which are small beside the texts they come from, lie in partitions of about so many rows.
+SUMMARY_ROWS, VECTOR_ROWS = 10_000, 10_000
 ACCURACY = 5_000
 #: Least standard deviations of the transformed statistics: log mean word length, and roots of the rates of symbols,
 #: of lines that repeat, and of words in windows that repeat.
@@ -156,7 +158,7 @@ def starts(rows: DataFrame, groups: int) -> DataFrame:
     their hyperbolic tangents."""
     quartiles = rows.groupBy("_group").agg(*[F.percentile_approx(f"x{i}", [0.25, 0.5, 0.75], ACCURACY).alias(f"q{i}") for i in range(P)])
     spread = [F.greatest((F.col(f"q{i}")[2] - F.col(f"q{i}")[0]) / 1.349, F.lit(FLOORS[i])) for i in range(P)]
-    figures = bounded(checkpointed(quartiles.select("_group", *_names("q"), *[spread[i].alias(f"s{i}") for i in range(P)])), groups)
+    figures = bounded(_summary(quartiles.select("_group", *_names("q"), *[spread[i].alias(f"s{i}") for i in range(P)]), groups), groups)
     ranges = lambda name, k: figures.select(
         "_group", F.lit(name).alias("start"), *[F.col(f"q{i}")[k].alias(f"m{i}") for i in range(P)],
         *[(F.col(f"s{i}") ** 2 if i == j else F.lit(0.0)).alias(f"c{i}_{j}") for i, j in PAIRS],
@@ -175,6 +177,11 @@ def starts(rows: DataFrame, groups: int) -> DataFrame:
     return ranges("middle", 1).union(ranges("low", 0)).union(ranges("high", 2)).union(bent("sign")).union(bent("tanh"))
 
 
+def _summary(df: DataFrame, rows: int) -> DataFrame:
+    """df, which has at most so many rows, kept in few files."""
+    return checkpointed(df.coalesce(-(-max(1, rows) // SUMMARY_ROWS)))
+
+
 KEYS, STATE = ["_group", "start"], [*CENTRE, *COVARIANCE, *FACTOR, "log_det"]
 
 
@@ -193,7 +200,7 @@ def _concentrated(rows: DataFrame, now: DataFrame, count: int) -> DataFrame:
     cuts = bounded(measured.groupBy(*KEYS).agg(F.percentile_approx("_d", SUPPORT, ACCURACY).alias("_cut")), count)
     near = measured.join(cuts, KEYS).where(F.col("_d") <= F.col("_cut"))
     after = _factored(_moments(near, KEYS, consistency(SUPPORT))).select(*KEYS, F.struct(*STATE).alias("_after"))
-    return checkpointed(after.join(now.select(*KEYS, F.struct(*STATE).alias("_before")), KEYS))
+    return _summary(after.join(now.select(*KEYS, F.struct(*STATE).alias("_before")), KEYS), count)
 
 
 def least_determinants(rows: DataFrame, sizes: DataFrame, groups: int) -> DataFrame:
@@ -205,10 +212,11 @@ def least_determinants(rows: DataFrame, sizes: DataFrame, groups: int) -> DataFr
     """
     drawn = rows.withColumn("_draw", F.xxhash64(F.monotonically_increasing_id())).join(bounded(sizes, groups), "_group")
     sample = checkpointed(drawn.where(F.pmod("_draw", F.lit(1 << 20)) < F.lit(START_ROWS << 20) / F.col("n")).select("_group", "_draw", *_names("x")))
-    fresh = lambda df: checkpointed(_factored(df).withColumn("log_det", F.lit(float("inf"))).select(*KEYS, *STATE))
+    tried = groups * (ELEMENTAL + 5)
+    fresh = lambda df: _summary(_factored(df).withColumn("log_det", F.lit(float("inf"))).select(*KEYS, *STATE), tried)
     now = fresh(starts(sample, groups).union(elemental(sample)))
     for _ in range(2):
-        now = _concentrated(sample, now, groups * (ELEMENTAL + 5)).select(*KEYS, "_after.*")
+        now = _concentrated(sample, now, tried).select(*KEYS, "_after.*")
     best = Window.partitionBy("_group").orderBy("log_det", "start")
     now = fresh(now.withColumn("_rank", F.row_number().over(best)).where(F.col("_rank") <= KEPT_STARTS).select(*KEYS, *CENTRE, *COVARIANCE))
     settled = None
@@ -223,16 +231,18 @@ def least_determinants(rows: DataFrame, sizes: DataFrame, groups: int) -> DataFr
     else:
         raise RuntimeError(f"concentration did not settle in {MAX_STEPS} steps")
     least = settled.groupBy("_group").agg(F.min_by(F.struct(*STATE), F.struct("log_det", "start")).alias("_best"))
-    return checkpointed(least.select("_group", "_best.*"))
+    return _summary(least.select("_group", "_best.*"), groups)
 
 
 def estimates(rows: DataFrame) -> tuple[DataFrame, int]:
-    """Per _group of the vectors x0..x3: n (its rows), centre and covariance after reweighting; and the number of groups."""
-    sizes = checkpointed(rows.groupBy("_group").agg(F.count(F.lit(1)).alias("n")))
+    """Per _group of the vectors x0..x3: n (its rows), centre and covariance after reweighting; and the number of groups.
+    A column _parent of rows is kept, which is the same for all of a group."""
+    told = [F.first(c).alias(c) for c in rows.columns if c == "_parent"]
+    sizes = checkpointed(rows.groupBy("_group").agg(F.count(F.lit(1)).alias("n"), *told))
     groups = sizes.count()
     raw = bounded(least_determinants(rows, sizes, groups), groups)
     near = rows.join(raw, "_group").where(_distance() <= chi2_quantile(REWEIGHT)).select("_group", *_names("x"))
-    return checkpointed(_moments(near, ["_group"], consistency(REWEIGHT)).drop("n").join(sizes, "_group")), groups
+    return _summary(_moments(near, ["_group"], consistency(REWEIGHT)).drop("n").join(bounded(sizes, groups), "_group"), groups), groups
 
 
 def _group(level: int) -> Column:
@@ -260,14 +270,11 @@ def judge(docs: DataFrame) -> DataFrame:
         *[v.alias(f"x{i}") for i, v in enumerate(vector())],
     )
     rows = checkpointed(made)
-    tried = rows.where(~F.col("base_failed")).select(F.explode(F.array(*[_group(k) for k in range(3)])).alias("_group"), *_names("x"))
-    found, groups = estimates(tried)
-    level = lambda k: found.where(F.col("_group.level") == k)
-    none = F.lit(None).cast("string")
-    every = F.struct(F.lit(0).alias("level"), none.alias("lang"), none.alias("source"))
-    language = F.struct(F.lit(1).alias("level"), F.col("_group.lang").alias("lang"), none.alias("source"))
-    languages = leaned(level(1).withColumn("_parent", every), level(0))
-    known = bounded(checkpointed(_factored(leaned(level(2).withColumn("_parent", language), languages))), groups)
+    narrow = rows.where(~F.col("base_failed")).coalesce(-(-max(1, rows.count()) // VECTOR_ROWS))
+    levels = F.array(*[F.struct(_group(k).alias("_group"), _group(max(0, k - 1)).alias("_parent")) for k in range(3)])
+    found, groups = estimates(narrow.select(F.explode(levels).alias("_l"), *_names("x")).select("_l.*", *_names("x")))
+    level = lambda k: bounded(found.where(F.col("_group.level") == k), groups)
+    known = bounded(_summary(_factored(leaned(level(2), leaned(level(1), level(0)))), groups), groups)
     far = rows.withColumn("_own", _group(2)).join(known, F.col("_own") == F.col("_group"), "left")
     distance = F.when(~F.col("base_failed"), _distance())
     kept = ~F.col("base_failed") & (F.coalesce(distance, F.lit(0.0)) <= chi2_quantile(REJECT))
