@@ -4,18 +4,20 @@ Each document of a source has the same expected number of copies, target / sourc
 expectations run over a source's documents in an order by size level, so that the words taken come near the target;
 one random offset is added, and a document is emitted once for each integer boundary its step crosses.
 
-A source's documents are ordered by (size level, spread bucket, size, doc_id). Counts per (source, level, bucket) are
-aggregated map-side and their running sums, a table bounded by sources x levels x buckets, give each bucket its first
-rank; ranks inside a bucket come from a window over that bucket alone. A hot source is thereby spread over hundreds of
-buckets, and so are many documents of one size.
+A source's documents are ordered by (size level, a hash of the doc_id, size, doc_id). Sizes are counted once and kept
+with the ids, and all ranks come from these rows: counts by (source, level, leading bits of the hash) are running-summed
+to give each such bucket its first rank, and ranks inside a bucket come from a window over that bucket alone. There are
+so many buckets that each holds about `BUCKET_ROWS` rows, whatever the size of the input; the order doesn't depend on
+their number. `mix` then finds its rows again by a key of their own, so that texts are moved once and no bucket holds them.
 
 Defined cases: null and empty texts have size 0 and are never counted in words; null sources form one source, ordered
 last; a source without words has target 0; repeated rows are separate documents; an empty table gives no rows; other
-columns are carried along by `mix` and ignored by `plan`.
+columns, of whatever names, are carried along by `mix` and ignored by `plan`.
 """
 
 from __future__ import annotations
 
+import math
 import random
 from collections.abc import Sequence
 
@@ -23,13 +25,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lexspark.llm.common import WORD
+from lexspark.llm.common import ROW_KEY, WORD, bounded, carried, checkpointed, row_key
 
 WEIGHTS = (3, 1, 2)
 SHARE = 1.5
 MAX_REPEAT = 2
 SEED = 20_231
-SPREAD = 16
+BUCKET_ROWS = 20_000
+HASH_BITS = 24
 
 
 def offset_of(seed: int) -> float:
@@ -41,12 +44,12 @@ def size_of(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def _sized(docs: DataFrame, spread: int) -> DataFrame:
-    """docs, with _size and the columns that order and bucket a source's documents."""
+def _sized(docs: DataFrame, told: dict[str, Column]) -> DataFrame:
+    """doc_id, source, _size, the columns that order a source's documents, and the columns told; kept."""
     bits = F.bin("_size")
-    hashed = F.conv(F.substring(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), 1, 6), 16, 10).cast("int")
-    sized = docs.withColumn("_size", size_of(F.col("text")))
-    return sized.withColumns({"_level": F.length(bits), "_sublevel": F.substring(bits, 1, 4), "_spread": hashed % spread})
+    hashed = F.conv(F.substring(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), 1, HASH_BITS // 4), 16, 10).cast("int")
+    sized = docs.select("doc_id", F.col("source").alias("_source"), size_of(F.col("text")).alias("_size"), *[c.alias(k) for k, c in told.items()])
+    return checkpointed(sized.withColumns({"_level": F.length(bits), "_sublevel": F.substring(bits, 1, 4), "_hash": hashed}))
 
 
 def source_targets(
@@ -77,34 +80,44 @@ def plan(
     share: float = SHARE,
     max_repeat: float = MAX_REPEAT,
     seed: int = SEED,
-    spread: int = SPREAD,
+    bucket_rows: int = BUCKET_ROWS,
+    told: dict[str, Column] | None = None,
 ) -> DataFrame:
-    """docs, with size, source_size, target and copies: how often the mix takes each document."""
-    # joined columns get names of their own, so that columns of docs may have any name
-    sized = _sized(docs, spread)
-    key = [F.col("source").alias("_source"), "_level", "_sublevel", "_spread"]
-    counts = sized.groupBy(*key).agg(F.count(F.lit(1)).alias("_n"), F.sum("_size").alias("_words"))
-    before = Window.partitionBy("_source").orderBy("_level", "_sublevel", "_spread").rowsBetween(Window.unboundedPreceding, -1)
-    firsts = counts.withColumn("_first", F.coalesce(F.sum("_n").over(before), F.lit(0)))
-    targets = source_targets(counts.groupBy(F.col("_source").alias("source")).agg(F.sum("_words").alias("source_size")), weights, share, max_repeat)
+    """doc_id, _size, _source_size, _target and _copies (how often the mix takes each document), and the columns told."""
+    sized = _sized(docs, told or {})
+    # the most numerous stratum decides how finely the hash is cut
+    strata = sized.groupBy("_source", "_level", "_sublevel").agg(F.count(F.lit(1)).alias("_n"), F.sum("_size").alias("_words"))
+    most = strata.agg(F.max("_n")).first()[0] or 0
+    cut = min(HASH_BITS, max(0, math.ceil(math.log2(max(1, most / bucket_rows)))))
+    sized = sized.withColumn("_bucket", F.struct("_source", "_level", "_sublevel", F.shiftright("_hash", HASH_BITS - cut).alias("_part")))
+    counts = checkpointed(sized.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_n"), F.sum("_size").alias("_words")))
+    within_stratum = Window.partitionBy("_bucket._source").orderBy("_bucket._level", "_bucket._sublevel", "_bucket._part").rowsBetween(Window.unboundedPreceding, -1)
+    firsts = counts.select(F.col("_bucket").alias("_bucket_key"), F.coalesce(F.sum("_n").over(within_stratum), F.lit(0)).alias("_first"))
+    targets = source_targets(counts.groupBy(F.col("_bucket._source").alias("source")).agg(F.sum("_words").alias("source_size")), weights, share, max_repeat)
     targets = targets.select(F.col("source").alias("_target_source"), F.col("source_size").alias("_source_size"), F.col("target").alias("_target"))
-    firsts = firsts.join(targets, F.col("_source").eqNullSafe(F.col("_target_source"))).select(
-        F.struct("_source", "_level", "_sublevel", "_spread").alias("_bucket_key"), "_first", "_source_size", "_target"
-    )
-    within = Window.partitionBy("_bucket").orderBy("_size", "doc_id")
-    ranked = sized.withColumn("_bucket", F.struct(*key)).withColumn("_rank", F.row_number().over(within))
-    joined = ranked.join(firsts, F.col("_bucket") == F.col("_bucket_key"))
+    figures = firsts.join(targets, F.col("_bucket_key._source").eqNullSafe(F.col("_target_source"))).drop("_target_source")
+    within = Window.partitionBy("_bucket").orderBy("_hash", "_size", "doc_id")
+    ranked = sized.withColumn("_rank", F.row_number().over(within))
+    joined = ranked.join(bounded(figures, counts.count()), F.col("_bucket") == F.col("_bucket_key"))
     step = F.when(F.col("_source_size") > 0, F.col("_target") / F.col("_source_size")).otherwise(F.lit(0.0))
     last = F.col("_first") + F.col("_rank")
     crossed = F.floor(last * step + F.lit(offset_of(seed))) - F.floor((last - 1) * step + F.lit(offset_of(seed)))
     copies = F.least(crossed, F.lit(int(-(-max_repeat // 1))).cast("long"))
-    return joined.select(*docs.columns, F.col("_size"), "_source_size", "_target", copies.alias("_copies"))
+    return joined.select("doc_id", *(told or {}), "_size", "_source_size", "_target", copies.alias("_copies"))
 
 
 def mix(docs: DataFrame, **options) -> DataFrame:
-    """The mixed corpus: each row of docs as often as the mix takes it, with the columns of docs."""
-    planned = plan(docs, **options).where(F.col("_copies") > 0)
-    return planned.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).select(*docs.columns)
+    """The mixed corpus: each row of docs as often as the mix takes it, with the columns of docs.
+
+    Equal rows share what the mix takes of them all.
+    """
+    planned = plan(docs, told=row_key(docs), **options)
+    shares = planned.groupBy(*ROW_KEY).agg(F.sum("_copies").alias("_copies"), F.count(F.lit(1)).alias("_equal")).where(F.col("_copies") > 0)
+    rows = carried(docs, **row_key(docs)).join(shares, ROW_KEY)
+    place = F.row_number().over(Window.partitionBy(*ROW_KEY).orderBy("_copies"))
+    own = F.floor(F.col("_copies") / F.col("_equal")) + F.when(place <= F.col("_copies") % F.col("_equal"), 1).otherwise(0)
+    taken = rows.withColumn("_own", own.cast("int")).where(F.col("_own") > 0)
+    return taken.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_own")))).select("_row.*")
 
 
 def mix_report(docs: DataFrame, **options) -> DataFrame:
@@ -125,7 +138,7 @@ WITH sized AS (
   FROM documents
 ), keyed AS (
   SELECT *, length(bin(size)) AS lv, substr(bin(size), 1, 4) AS sublv,
-    CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 6) AS BIGINT) % {SPREAD} AS spread
+    CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, {HASH_BITS // 4}) AS BIGINT) AS spread
   FROM sized
 ), sources AS (
   SELECT source, CAST(sum(size) AS BIGINT) AS source_size,

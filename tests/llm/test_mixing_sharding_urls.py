@@ -60,12 +60,27 @@ def test_mix_of_nothing(spark):
     assert {r["target"] for r in mixing.mix_report(spark.createDataFrame([(1, "", "en", "a", 0, 1.0, "x"), (2, None, "en", None, 0, 1.0, "x")], DOCS)).collect()} == {0.0}
 
 
-def test_mix_sql(spark, rows):
+def test_mix_of_columns_with_clashing_names(spark, rows):
+    docs = spark.createDataFrame([(*r[:4], i, {"k": 1}, "y") for i, r in enumerate(rows)], "doc_id long, text string, lang string, source string, _level long, `a.b` map<string,int>, _copies string")
+    got = mixing.mix(docs)
+    assert got.columns == docs.columns
+    known = {tuple(map(str, r)) for r in docs.collect()}
+    assert {tuple(map(str, r)) for r in got.collect()} <= known
+
+
+def test_equal_rows_share_their_copies(spark):
+    docs = spark.createDataFrame([(1, "w w", "en", "a", 0, 1.0, "x")] * 40 + [(2, "w w", "en", "b", 0, 1.0, "x")] * 40, DOCS)
+    taken = sum(r["taken"] for r in mixing.mix_report(docs).collect())
+    assert mixing.mix(docs).count() * 2 == taken == 240
+
+
+@pytest.mark.parametrize("bucket_rows", [3, 20_000])
+def test_mix_sql(spark, rows, bucket_rows):
     docs = spark.createDataFrame(rows, DOCS)
     con = duckdb.connect()
     con.register("documents", docs.select("doc_id", "text", "source").toArrow())
     want = con.execute(mixing.ORACLE_SQL).fetchall()
-    got = [tuple(r) for r in mixing.mix_report(docs).collect()]
+    got = [tuple(r) for r in mixing.mix_report(docs, bucket_rows=bucket_rows).collect()]
     key = lambda r: tuple((x is None, round(x, 6) if x is not None else 0) for x in r)
     assert sorted(map(key, got)) == sorted(map(key, want))
 
