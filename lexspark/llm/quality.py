@@ -24,7 +24,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexspark.llm.common import checkpointed, id_bucket, text_or_empty, words_of
+from lexspark.llm.common import carried, checkpointed, id_bucket, text_or_empty, words_of
 
 HELD_OUT_OF, HELD_OUT = 5, 0
 THRESHOLD = 0.3
@@ -64,7 +64,8 @@ class RuleModel:
 
 
 def with_statistics(docs: DataFrame) -> DataFrame:
-    """docs with a column _q_<name> for each of STATS, in rates that don't grow with the text, but for log_chars."""
+    """docs with a column _q_<name> for each of STATS, in rates that don't grow with the text, but for log_chars. Names
+    beginning with _q_ are this function's; rows that may have any are carried as one column."""
     text = text_or_empty(F.col("text"))
     a = docs.withColumns({"_q_text": text, "_q_words": words_of(F.col("text")), "_q_lines": F.filter(F.split(text, "\n"), lambda x: F.trim(x) != "")})
     chars, words, lines = F.greatest(F.length("_q_text"), F.lit(1)), F.greatest(F.size("_q_words"), F.lit(1)), F.greatest(F.size("_q_lines"), F.lit(1))
@@ -142,4 +143,4 @@ def score(docs: DataFrame, model: RuleModel) -> DataFrame:
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of docs whose score reaches the threshold."""
     model = fit(docs, labels)
-    return with_statistics(docs).where(model.score() >= threshold).select(*docs.columns)
+    return with_statistics(carried(docs, text=F.col("text"))).where(model.score() >= threshold).select("_row.*")

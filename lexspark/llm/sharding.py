@@ -13,6 +13,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -77,5 +78,9 @@ def assign(docs: DataFrame, shards: int = SHARDS, grown: int | None = None) -> D
 
 def write_shards(docs: DataFrame, path: str, shards: int = SHARDS) -> None:
     """All of docs as Parquet, in one folder per shard; a shard may have many files."""
-    shard_of = F.pandas_udf(lambda keys: __import__("pandas").Series(jump_hash(keys.fillna(0).to_numpy(np.int64), shards).astype(np.int32)), "int")
-    docs.withColumn("shard", shard_of(F.col("doc_id").cast("long"))).write.partitionBy("shard").parquet(path)
+
+    @F.pandas_udf("int")
+    def shard_of(keys: pd.Series) -> pd.Series:
+        return pd.Series(jump_hash(keys.fillna(0).to_numpy(np.int64), shards).astype(np.int32))
+
+    docs.withColumn("shard", shard_of(F.coalesce(F.col("doc_id").cast("long"), F.lit(0)))).write.partitionBy("shard").parquet(path)

@@ -2,8 +2,10 @@
 
 import hashlib
 import itertools
+import math
 import random
 import unicodedata
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -283,6 +285,48 @@ def test_quality_by_held_out_rows(spark):
     assert kept.columns == docs.columns and kept.where("doc_id < 9000").count() == sum(r["predicted"] for i, r in got.items() if i < 9000)
 
 
+def quality_statistics_plainly(text):
+    text = text or ""
+    words = [w for w in text.translate({c: 32 for c in (9, 10, 11, 12, 13)}).split(" ") if w]
+    lines = [x for x in text.split("\n") if x.strip(" ")]
+    w, c, n = max(1, len(words)), max(1, len(text)), max(1, len(lines))
+    kind = lambda *k: sum(unicodedata.category(x) in k for x in text)
+    among = lambda chars: sum(x in chars for x in text)
+    return {
+        "log_chars": math.log1p(len(text)), "mean_word": len(text) / w, "long_word": sum(len(x) > 15 for x in words) / w, "short_words": sum(len(x) <= 3 for x in words) / w,
+        "distinct_words": len(set(words)) / w, "symbols": among("#*$%&<>") / c, "upper": kind("Lu") / c, "digits": kind("Nd") / c, "marks": among("!?;:") / w, "pipes": among("|{}[]") / w,
+        "stops": among(".,") / w, "repeated_lines": max(0.0, 1 - len(set(lines)) / n), "line_words": math.log1p(len(words) / n),
+    }
+
+
+def test_scores_are_the_brute_force_s(spark):
+    rows, labels = quality_rows(200)
+    rows += [(9000 + i, t, "en", "s") for i, t in enumerate([None, "", " \n", "A1 b2|{} É日本\nA1\nA1", "z" * 40_000, "a\tb\x0bc\u00a0d"])]
+    docs = table(spark, rows)
+    model = quality.fit(docs, spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
+    got = {r["doc_id"]: r for r in quality.score(docs, model).collect()}
+    assert model.rules
+    for i, text, _, _ in rows:
+        stats = quality_statistics_plainly(text)
+        fits = lambda rule: all(stats[s] <= t if most else stats[s] > t for s, most, t in rule.conditions)  # noqa: B023, E731
+        want = 1 / (1 + math.exp(-model.intercept - sum(r.weight for r in model.rules if fits(r))))
+        assert got[i]["score"] == pytest.approx(want) and got[i]["predicted"] == (want >= 0.3), text
+        assert got[i]["held_out"] == (zlib.crc32(str(i).encode()) % 5 == 0)
+
+
+def test_quality_keeps_columns_of_clashing_names(spark):
+    rows, labels = quality_rows(60)
+    docs = spark.createDataFrame([(i, t, "q", 1) for i, t, _, _ in rows], "doc_id long, text string, _q_text string, `a.b` int")
+    kept = quality.keep_good(docs, spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
+    assert kept.columns == docs.columns and {r["_q_text"] for r in kept.collect()} == {"q"}
+
+
+def test_near_duplicates_keep_columns_of_clashing_names(spark):
+    docs = spark.createDataFrame([(1, "a b", "n", 1), (2, "a b", "n", 1), (3, "c d e f g", "n", 1)], "doc_id long, text string, _name string, `fps.x` int")
+    kept = simhash.keep_one(docs, shingle=1, min_similarity=0.8, distinct=True, count=2)
+    assert kept.columns == docs.columns and sorted(r["doc_id"] for r in kept.collect()) == [1, 3]
+
+
 def test_quality_without_labels_of_both_kinds(spark):
     docs = table(spark, [(i, "a b", "en", "s") for i in range(9)])
     for labels in ([], [(i, 1) for i in range(9)]):
