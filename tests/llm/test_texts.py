@@ -70,6 +70,18 @@ def test_shared_digests_are_told_apart(spark, monkeypatch):
     rows = table(spark, [(i, f"text {i % 40}", "en", "s") for i in range(80)])
     got = {r["doc_id"]: r["fingerprint"] for r in fingerprints.fingerprints(rows).collect()}
     assert len(set(got.values())) == 40 and all(got[i] == got[i + 40] for i in range(40))
+    # edited forms are told apart from each other's and from other texts, too
+    rows = [(i, f"text {i % 13} of them" if i % 3 else f"Text  {i % 13} OF them", "en", "s") for i in range(60)] + [(70, "ab", "en", "s"), (71, "ab", "en", "s")]
+    order = sorted(((i, t) for i, t, _, _ in rows), reverse=True)
+    forms = {}
+    for k, (i, t) in enumerate(order):
+        third = len(t) // 3
+        forms[i] = (canonical(t), canonical(t[: len(t) - third] + order[(k + 1) % len(order)][1][:third]))
+    seen = {}
+    for r in fingerprints.compare_edited(table(spark, rows)).collect():
+        for form, name in zip(forms[r["doc_id"]], (r["fingerprint"], r["edited_fingerprint"]), strict=True):
+            assert seen.setdefault(form, name) == name
+    assert len(set(seen.values())) == len(seen) > 20
 
 
 def test_no_documents(spark):
