@@ -1,8 +1,9 @@
 """Judging urls by host and path rules and by a weighted vocabulary.
 
 A url's terms are counted in one Aho-Corasick pass over its lower-cased text; a hit counts only between boundaries,
-where the characters beside it are not letters or digits. One strict term, or `soft_limit` distinct soft terms, rejects
-a url that no rule decides.
+where the characters beside it are not letters or digits. Every term has a weight, and a url that no rule decides is
+rejected if the weights of its distinct terms reach the limit: a strict term weighs that much by itself, soft terms do so
+together. `load_vocabulary` reads the terms from a table; the built-in ones are a small sample.
 
 Defined cases: a null url, or one without "://", has an empty host and path, and no rule fits it; a null url holds no
 term and is allowed; repeated rows are judged alike; an empty table gives no rows; of the other columns only the key
@@ -11,8 +12,10 @@ is kept.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import math
+from collections.abc import Mapping, Sequence
 from functools import reduce
+from types import MappingProxyType
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -35,6 +38,10 @@ SOFT_TERMS = (
     "jackpot", "keygen", "loan", "nude", "pills", "poker", "popup", "promo", "slots", "torrent", "track", "win",
 )
 SOFT_LIMIT = 2
+#: What the weights of a rejected url's terms add up to. Built-in soft terms weigh 1.
+LIMIT = float(SOFT_LIMIT)
+VOCABULARY = {t: 1.0 for t in SOFT_TERMS} | {t: LIMIT for t in STRICT_TERMS}
+MAX_TERMS = 1_000_000
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 HOST = r"(?s)^.*?://([^/?#]*)"
@@ -60,32 +67,48 @@ def rule_of(host: Column, path: Column, rules: Sequence[tuple[str, str, str]] =
     return F.coalesce(*chosen) if chosen else F.lit(None).cast("struct<rule:string,verdict:string>")
 
 
-def term_hits(strict: Sequence[str] = STRICT_TERMS, soft: Sequence[str] = SOFT_TERMS):
-    """A column function: struct(strict, soft), the numbers of distinct terms found between boundaries."""
-    strict_terms, terms = set(strict), sorted({*strict, *soft})
+def load_vocabulary(table: DataFrame, max_terms: int = MAX_TERMS) -> dict[str, float]:
+    """Weights by term of a table (term, weight): terms lower-cased, the largest weight of a repeated one.
+
+    Null or empty terms and weights that are null or not above zero are left out. The vocabulary goes to every worker as
+    one automaton, so that more than max_terms terms are an error.
+    """
+    usable = table.where((F.coalesce(F.col("term"), F.lit("")) != "") & (F.col("weight") > 0))
+    terms = usable.groupBy(F.lower("term").alias("term")).agg(F.max("weight").cast("double").alias("weight"))
+    rows = terms.limit(max_terms + 1).collect()
+    if len(rows) > max_terms:
+        raise ValueError(f"a vocabulary of more than {max_terms} terms")
+    return {r["term"]: r["weight"] for r in rows}
+
+
+def term_hits(vocabulary: Mapping[str, float], limit: float = LIMIT):
+    """A column function: struct(strict, soft, weight), of the distinct terms found between boundaries: how many reach
+    the limit alone, how many don't, and the weight of all."""
     automata: list = []
 
-    @F.pandas_udf("strict int, soft int")
+    @F.pandas_udf("strict int, soft int, weight double")
     def hits(urls: pd.Series) -> pd.DataFrame:
         import ahocorasick
 
         if not automata:
             automaton = ahocorasick.Automaton()
-            for term in terms:
+            for term in vocabulary:
                 automaton.add_word(term, term)
             automaton.make_automaton()
             automata.append(automaton)
         counts = []
         for url in urls:
             found = set()
-            if url and terms:
+            if url and vocabulary:
                 lowered = url.lower()
                 for end, term in automata[0].iter(lowered):
                     begin = end - len(term) + 1
                     if (begin == 0 or not lowered[begin - 1].isalnum()) and not lowered[end + 1 : end + 2].isalnum():
                         found.add(term)
-            counts.append((len(found & strict_terms), len(found - strict_terms)))
-        return pd.DataFrame(counts, columns=["strict", "soft"], dtype="int32")
+            weights = [vocabulary[t] for t in sorted(found)]
+            strict = sum(w >= limit for w in weights)
+            counts.append((strict, len(weights) - strict, math.fsum(weights)))
+        return pd.DataFrame(counts, columns=["strict", "soft", "weight"]).astype({"strict": "int32", "soft": "int32", "weight": "float64"})
 
     return hits
 
@@ -93,15 +116,13 @@ def term_hits(strict: Sequence[str] = STRICT_TERMS, soft: Sequence[str] = SOFT_T
 def judge(
     pages: DataFrame,
     rules: Sequence[tuple[str, str, str]] = RULES,
-    strict: Sequence[str] = STRICT_TERMS,
-    soft: Sequence[str] = SOFT_TERMS,
-    soft_limit: int = SOFT_LIMIT,
+    vocabulary: Mapping[str, float] = MappingProxyType(VOCABULARY),
+    limit: float = LIMIT,
 ) -> DataFrame:
     """page_id, host, path, rule, verdict, and the numbers of strict and soft terms found."""
     parts = pages.select("page_id", F.col("url").alias("_url"), host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
-    ruled = parts.withColumns({"_rule": rule_of(F.col("host"), F.col("path"), rules), "_hits": term_hits(strict, soft)(F.col("_url"))})
-    rejected = (F.col("_hits.strict") >= 1) | (F.col("_hits.soft") >= soft_limit)
-    verdict = F.coalesce(F.col("_rule.verdict"), F.when(rejected, F.lit("block")).otherwise(F.lit("allow")))
+    ruled = parts.withColumns({"_rule": rule_of(F.col("host"), F.col("path"), rules), "_hits": term_hits(dict(vocabulary), limit)(F.col("_url"))})
+    verdict = F.coalesce(F.col("_rule.verdict"), F.when(F.col("_hits.weight") >= limit, F.lit("block")).otherwise(F.lit("allow")))
     return ruled.select(
         "page_id", "host", "path", F.col("_rule.rule").alias("rule"), verdict.alias("verdict"),
         F.col("_hits.strict").cast("long").alias("strict_terms"), F.col("_hits.soft").cast("long").alias("soft_terms"),

@@ -140,3 +140,15 @@ def test_urls_against_rules_and_sql(spark):
     assert said(3) == ("net/es/", "block") and said(5) == (None, "allow") and said(7) == (None, "allow") and said(8) == (None, "allow")
     assert said(11) == (None, "block") and said(12) == (None, "allow") and said(13) == (None, "block") and said(14)[1] == said(15)[1] == "allow"
     assert got[0]["host"] == "www.example.com" and got[9]["host"] == got[9]["path"] == ""
+
+
+def test_vocabulary_of_a_table(spark):
+    table = spark.createDataFrame([("Grape", 0.8), ("fig", 0.4), ("fig", 0.7), ("plum", 2.0), (None, 5.0), ("", 5.0), ("zero", 0.0), ("none", None)], "term string, weight double")
+    terms = urlfilter.load_vocabulary(table)
+    assert terms == {"grape": 0.8, "fig": 0.7, "plum": 2.0}
+    with pytest.raises(ValueError):
+        urlfilter.load_vocabulary(table, max_terms=2)
+    urls = ["http://a.org/fig", "http://a.org/FIG-grape", "http://a.org/fig/fig/fig", "http://a.org/plum", "http://a.org/plums"]
+    pages = spark.createDataFrame([(i, u) for i, u in enumerate(urls)], "page_id long, url string")
+    got = {r["page_id"]: (r["verdict"], r["strict_terms"], r["soft_terms"]) for r in urlfilter.judge(pages, (), terms, limit=1.5).collect()}
+    assert got == {0: ("allow", 0, 1), 1: ("block", 0, 2), 2: ("allow", 0, 1), 3: ("block", 1, 0), 4: ("allow", 0, 0)}
