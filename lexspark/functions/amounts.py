@@ -6,10 +6,10 @@ one array of structs, in text order, and no row leaves its task.
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexspark.functions.text import BLANK, NBSP
+from lexspark.functions.text import BLANK, NBSP, utf16_length
 
 #: What a number, a sign and a unit look like.
 NUMBER = r"(?>[-\x{2212}]?[0-9](?:[0-9 .,\x{00A0}]*[0-9])?)"  # atomic: a shorter number is followed by a digit, never by a unit
@@ -92,6 +92,31 @@ def segments(text: Column, mode: str) -> Column:
     return F.split(F.regexp_replace(clean, amount_pattern(mode), f"{OPEN}$0{OPEN}"), OPEN, -1)
 
 
+#: Prefix sums are taken over chunks of so many parts, and inside a chunk.
+CHUNK = 64
+
+
+def with_places(df: DataFrame, mode: str, text: str = "text") -> DataFrame:
+    """df with places, array<struct<ord, raw, index, match_len>>: the matches in text order, in UTF-16 units.
+
+    All inside the row: the text is cut around its matches, and a part's start is the sum of the chunks before its own
+    and of the parts before it there.
+    """
+    add = lambda xs: F.aggregate(xs, F.lit(0), lambda a, x: a + x)
+    cut = df.withColumn("_parts", F.when(may_hold(F.col(text), mode), segments(F.col(text), mode)))
+    sized = cut.withColumn("_sizes", F.transform("_parts", utf16_length))
+    chunks = F.sequence(F.lit(0), F.floor((F.size("_sizes") - 1) / CHUNK).cast("int"))
+    summed = sized.withColumn("_sums", F.when(F.size("_sizes") > 0, F.transform(chunks, lambda c: add(F.slice("_sizes", c * CHUNK + 1, F.lit(CHUNK))))))
+    begun = summed.withColumn("_starts", F.transform("_sums", lambda _, c: add(F.slice("_sums", F.lit(1), c))))
+    own = lambda i: F.floor(i / CHUNK).cast("int")
+    start = lambda i: F.get("_starts", own(i)) + add(F.slice("_sizes", own(i) * CHUNK + 1, i % CHUNK))
+    place = lambda i: F.struct(F.floor(i / 2).cast("int").alias("ord"), F.get("_parts", i).alias("raw"), start(i).alias("index"), F.get("_sizes", i).alias("match_len"))
+    # _starts is named outside the lambda too: a column named once would be put in its place, and made for every match
+    found = F.when((F.size("_parts") > 1) & F.col("_starts").isNotNull(), F.transform(F.sequence(F.lit(1), F.size("_parts") - 1, F.lit(2)), place))
+    none = F.array().cast("array<struct<ord:int,raw:string,index:int,match_len:int>>")
+    return begun.withColumn("places", F.coalesce(found, none)).drop("_parts", "_sizes", "_sums", "_starts")
+
+
 # formatting
 
 
@@ -100,21 +125,38 @@ def _grouped(digits: Column) -> Column:
     return F.when(F.length(digits) < 5, digits).otherwise(F.regexp_replace(digits, r"(?<=[0-9])(?=(?:[0-9]{3})+$)", NBSP))
 
 
+#: From here on doubles are whole and have no more digits than their exponent asks for.
+LARGE = 1e16
+
+
+def _large_digits(value: Column) -> Column:
+    """All digits of a large double: those that tell it apart, and zeros."""
+    size = F.abs(value)
+    # the fewest digits that read back as the same double; a cast to string may give more
+    written = [F.format_string(f"%.{n}e", size) for n in (14, 15, 16)]
+    text = F.coalesce(*[F.when(w.try_cast("double") == size, w) for w in written[:2]], written[2])  # 1.25000000000000e+20
+    digits = F.replace(F.substring_index(text, "e", 1), F.lit("."), F.lit(""))
+    return F.rpad(digits, F.substring_index(text, "e", -1).try_cast("int") + 1, F.lit("0"))
+
+
 def format_numeric(value: Column, decimals: Column | int | None, mode: str) -> Column:
     """The number in Estonian notation: decimal comma, no-break spaces between groups, U+2212 as minus.
 
     Euros have two decimals; other modes up to `decimals` (10 at most, and 10 if not given), without trailing zeros.
     """
     places = F.lit(10) if decimals is None else (F.lit(decimals) if isinstance(decimals, int) else F.least(decimals, F.lit(10)))
-    exact = value.try_cast("decimal(38,12)")
+    exact = F.when(F.abs(value) < LARGE, value).try_cast("decimal(38,12)")
     if mode_of(mode) == "eur":
-        text = F.round(exact, 2).cast("decimal(38,2)").cast("string")
+        text, tail = F.round(exact, 2).cast("decimal(38,2)").cast("string"), ",00"
     else:
         rounded = F.coalesce(*[F.when(places == n, F.round(exact, n).cast("decimal(38,10)")) for n in range(11)])
-        text = F.regexp_replace(F.regexp_replace(rounded.cast("decimal(38,10)").cast("string"), "0+$", ""), r"[.]$", "")
+        text, tail = F.regexp_replace(F.regexp_replace(rounded.cast("decimal(38,10)").cast("string"), "0+$", ""), r"[.]$", ""), ""
     whole, part = F.regexp_extract(text, "^-?([0-9]+)", 1), F.regexp_extract(text, "[.]([0-9]+)$", 1)
     sign = F.when(value < 0, F.when(F.regexp_replace(text, "[-0.]", "") != "", F.lit("\u2212")).otherwise(F.lit(""))).otherwise(F.lit(""))
-    return F.concat(sign, _grouped(whole), F.when(part != "", F.concat(F.lit(","), part)).otherwise(F.lit("")))
+    small = F.concat(sign, _grouped(whole), F.when(part != "", F.concat(F.lit(","), part)).otherwise(F.lit("")))
+    minus = F.when(value < 0, F.lit("\u2212")).otherwise(F.lit(""))
+    large = F.when(F.isnan(value), F.lit("NaN")).when(F.abs(value) == float("inf"), F.concat(minus, F.lit("\u221e"))).otherwise(F.concat(minus, _grouped(_large_digits(value)), F.lit(tail)))
+    return F.when(F.abs(value) < LARGE, small).when(value.isNotNull(), large)
 
 
 def unit_short(mode: str) -> str:

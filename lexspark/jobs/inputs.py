@@ -86,6 +86,28 @@ def gram_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _texts(order_lines(spark, sf_dir), F.concat(number, unit), "Akt ", " ja ")
 
 
+def record_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, text): each order's quantities as plain numbers, among dates, times and case numbers."""
+    lines = order_lines(spark, sf_dir)
+    number = F.concat(F.floor(F.col("tenths") / 10).cast("long").cast("string"), F.when(F.col("tenths") % 10 > 0, F.concat(F.lit(","), (F.col("tenths") % 10).cast("string"))).otherwise(F.lit(",0")))
+    date = F.concat((F.col("part") % 28 + 1).cast("string"), F.lit("."), F.lpad((F.col("part") % 12 + 1).cast("string"), 2, "0"), F.lit(".2024"))
+    other = (
+        F.when(F.col("part") % 3 == 0, date)
+        .when(F.col("part") % 3 == 1, F.concat((F.col("part") % 24).cast("string"), F.lit(":05")))
+        .otherwise(F.concat(F.lit("3-"), F.col("part").cast("string"), F.lit("/22")))
+    )
+    texts = _texts(lines, F.concat(other, F.lit(" kogus "), number, F.lit(" tk")), "Asi 1-", " ja ")
+    return texts.withColumn("text", F.regexp_replace("text", "^(Asi 1-[0-9]+):", "$1/7:"))
+
+
+def large_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, number): numbers of many digits; every third is negative."""
+    key = F.col("o_orderkey")
+    digits = F.concat((key % 100_000).cast("string"), F.lit("5"), F.repeat(F.lit("0"), (16 + key % 25).cast("int")))
+    number = F.concat(F.when(key % 3 == 0, F.lit("-")).otherwise(F.lit("")), digits)
+    return table(spark, sf_dir, "orders").select(key.alias("doc_id"), number.alias("number"))
+
+
 def id_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(person_id, code, dob, ref_date): codes from order dates, some wrong in checksum, month, length or century."""
     key, born = F.col("o_orderkey"), F.to_date("o_orderdate")
@@ -144,13 +166,14 @@ sentences AS (
   FROM orders
 )"""
 
-EDITIONS = 5
+#: Parts are cut into editions of so many, so that editions grow with the table and each stays small.
+EDITION, PAGE = 100, 40
 
 
 def annex_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Table rows of five annex editions, from parts: entries, continuations, boilerplate, doubles and a wrong name."""
+    """Table rows of annex editions, from parts: entries, continuations, boilerplate, doubles and a wrong name."""
     p = F.col("p_partkey")
-    step = F.floor(p / EDITIONS)
+    step = p % EDITION
     k = step % 10
     name = F.concat(F.initcap("p_name"), F.lit("-\n"), (p % 97).cast("string"))
     cells = (
@@ -162,27 +185,27 @@ def annex_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
         .otherwise(F.array(name, F.concat("p_brand", F.lit("\n"), "p_type")))
     )
     return table(spark, sf_dir, "part").select(
-        F.concat(F.lit("act"), (p % EDITIONS).cast("string")).alias("doc_id"), F.floor(step / 100).cast("int").alias("page"), F.lit(0).alias("table_idx"),
-        (step % 100).cast("int").alias("row_idx"), F.lit(10.0).alias("tbl_top"), cells.alias("cells"),
+        F.concat(F.lit("act"), F.floor(p / EDITION).cast("string")).alias("doc_id"), F.floor(step / PAGE).cast("int").alias("page"), F.lit(0).alias("table_idx"),
+        (step % PAGE).cast("int").alias("row_idx"), F.lit(10.0).alias("tbl_top"), cells.alias("cells"),
     )
 
 
 def annex_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Headings as words: before every tenth row, and other words on lines of their own. Tops end in a half or a little more."""
     p = F.col("p_partkey")
-    step = F.floor(p / EDITIONS)
+    step = p % EDITION
     numeral = F.element_at(F.array(*[F.lit(x) for x in ("I", "II", "iii", "IV", "V", "VI")]), (F.floor(step / 10) % 6 + 1).cast("int"))
     heading = F.when(step % 10 == 0, F.array(numeral, F.lit("nimekiri"))).otherwise(F.array(F.col("p_brand"), F.col("p_type")))
     rows = table(spark, sf_dir, "part").where(step % 10 < 2).select(
-        F.concat(F.lit("act"), (p % EDITIONS).cast("string")).alias("doc_id"), F.floor(step / 100).cast("int").alias("page"),
-        (10.0 + step % 100 + F.when(step % 20 == 0, 0.5).otherwise(0.2)).alias("top"), F.posexplode(heading).alias("word_idx", "text"),
+        F.concat(F.lit("act"), F.floor(p / EDITION).cast("string")).alias("doc_id"), F.floor(step / PAGE).cast("int").alias("page"),
+        (10.0 + step % PAGE + F.when(step % 20 == 0, 0.5).otherwise(0.2)).alias("top"), F.posexplode(heading).alias("word_idx", "text"),
     )
     return rows.select("doc_id", "page", "word_idx", "text", "top")
 
 
 ANNEX_SQL = f"""
 steps AS (
-  SELECT 'act' || (p_partkey % {EDITIONS}) AS doc_id, p_partkey // {EDITIONS} AS step, p_partkey % 97 AS tail, p_name, p_brand, p_type FROM part
+  SELECT 'act' || (p_partkey // {EDITION}) AS doc_id, p_partkey % {EDITION} AS step, p_partkey % 97 AS tail, p_name, p_brand, p_type FROM part
 ), cells AS (
   SELECT doc_id, step,
     CAST(CASE WHEN step >= 10 * (step // 10) THEN (step // 10) % 6 + 1 END AS INTEGER) AS list_id,

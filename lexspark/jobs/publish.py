@@ -9,42 +9,47 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexspark.operators.register import build_register, changed_registers, list_counts, validate_register
+from lexspark.sources.folders import remove_folder
 
 
-def _snapshot(spark: SparkSession, path: str) -> DataFrame | None:
+def read_published(spark: SparkSession, path: str) -> DataFrame | None:
+    """The registers (doc_id, meta, lists) that are out: of each edition the one with the highest version. None if there
+    are none yet."""
     try:
-        return spark.read.parquet(path)
-    except AnalysisException:  # none yet, or none that can be read: everything counts as changed
+        versions = spark.read.parquet(path)
+    except AnalysisException:  # nothing there, or nothing that can be read: everything counts as changed
         return None
+    return versions.groupBy("doc_id").agg(F.max_by(F.struct("meta", "lists"), "version").alias("r")).select("doc_id", "r.meta", "r.lists")
 
 
-def _swap(spark: SparkSession, new: str, path: str) -> None:
-    """Puts the folder `new` in the place of `path`."""
+def _version(spark: SparkSession, folder: str, path: str) -> bool:
+    """Makes the folder the next version under path, by one rename; False if another publisher was first."""
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
-    target, fresh, aside = hadoop(path), hadoop(new), hadoop(f"{path}.old-{uuid.uuid4()}")
-    store = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if store.exists(target):
-        store.rename(target, aside)
-    store.rename(fresh, target)
-    if store.exists(aside):
-        store.delete(aside, True)
+    root = hadoop(path)
+    store = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    known = [s.getPath().getName() for s in store.listStatus(root)]
+    numbers = [int(n.removeprefix("version=")) for n in known if n.startswith("version=")]
+    target = hadoop(f"{path}/version={max(numbers, default=0) + 1}")
+    return not store.exists(target) and store.rename(hadoop(folder), target)
 
 
 def publish_if_changed(new: DataFrame, path: str) -> bool:
-    """Writes the registers (doc_id, meta, lists) over the snapshot at path if any differs from it; whether it did.
+    """Publishes the registers (doc_id, meta, lists) that differ from what is out at path; whether there were any.
 
-    Editions that didn't change, or that new doesn't hold, stay as they were published.
+    Only changed editions are written, into a hidden folder that becomes the next version by one rename: readers see all
+    of it or none, and what a lost job leaves behind is never read. Editions that didn't change, or that new doesn't
+    hold, stay as they were published.
     """
     spark = new.sparkSession
-    old = _snapshot(spark, path)
-    marked = changed_registers(new, old)
-    changed = marked.where("changed").drop("changed")
-    if changed.isEmpty():
+    marked = changed_registers(new, read_published(spark, path))
+    fresh = f"{path}/_new-{uuid.uuid4()}"
+    marked.where("changed").drop("changed").write.parquet(fresh)
+    if spark.read.schema(new.schema).parquet(fresh).isEmpty():
+        remove_folder(spark, fresh)
         return False
-    merged = changed if old is None else changed.unionByName(old.join(changed.select("doc_id"), "doc_id", "left_anti"))
-    fresh = f"{path}.new-{uuid.uuid4()}"
-    merged.write.parquet(fresh)
-    _swap(spark, fresh, path)
+    if not _version(spark, fresh, path):
+        remove_folder(spark, fresh)
+        raise RuntimeError(f"another publisher was first at {path}")
     return True
 
 

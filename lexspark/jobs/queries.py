@@ -6,15 +6,17 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from lexspark.functions import calendar as C
 from lexspark.functions import idcode as I
 from lexspark.jobs import inputs as N
-from lexspark.jobs.publish import publish_plan
+from lexspark.jobs.publish import publish_plan, read_published
 from lexspark.operators import amounts as A
 from lexspark.operators import people as P
 from lexspark.operators import register as R
 from lexspark.sources import acts
+from lexspark.sources.documents import read_documents, read_register
 from lexspark.sources.folders import shared_dir
 from lexspark.streaming import amounts as S
 
@@ -88,6 +90,55 @@ def number_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.document_totals(N.table(spark, sf_dir, "documents"), mode="n")
 
 
+@query(f"""WITH {N.LINES_SQL}, sums AS (SELECT doc_id, CAST(sum(tenths) AS BIGINT) AS t, count(*) AS n, string_agg(({_sql_grouped('CAST(tenths // 10 AS BIGINT)')}) || (CASE WHEN tenths % 10 > 0 THEN ',' || (tenths % 10) ELSE '' END), chr(10) ORDER BY ord) AS amount_list FROM lines GROUP BY doc_id)
+SELECT doc_id, round(t / 10.0::DOUBLE, 10) AS total, 1 AS max_decimals, CAST(n AS INTEGER) AS n_active, CAST(n AS INTEGER) AS n_total,
+  ({_sql_grouped('CAST(t // 10 AS BIGINT)')}) || (CASE WHEN t % 10 > 0 THEN ',' || (t % 10) ELSE '' END) AS sum_label, CAST(n AS VARCHAR) AS count_label, amount_list FROM sums""")
+def record_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Plain numbers among dates, times and case numbers, which are none."""
+    return A.document_totals(N.record_texts(spark, sf_dir), mode="n")
+
+
+_LARGE_SQL = "rtrim(reverse(regexp_replace(reverse(digits), '([0-9]{3})', '\\1' || chr(160), 'g')), chr(160))"
+
+
+@query(f"""WITH large AS (SELECT o_orderkey AS doc_id, ltrim((o_orderkey % 100000) || '5', '0') || repeat('0', CAST(16 + o_orderkey % 25 AS INTEGER)) AS digits FROM orders),
+shown AS (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN chr(8722) ELSE '' END || ltrim({_LARGE_SQL}, chr(160)) AS label FROM large)
+SELECT doc_id, label || ',00' || chr(160) || '€' AS euros, label || chr(160) || 'g' AS grams, label AS plain FROM shown""")
+def large_amounts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Amounts beyond what doubles count singly, in all three modes."""
+    numbers = N.large_numbers(spark, sf_dir)
+    said = lambda mode, unit, name: A.document_totals(numbers.select("doc_id", F.concat("number", F.lit(unit)).alias("text")), mode=mode).select("doc_id", F.col("sum_label").alias(name))
+    return said("eur", " €", "euros").join(said("g", " g", "grams"), "doc_id").join(said("n", "", "plain"), "doc_id")
+
+
+@query(f"""WITH {N.LINES_SQL}, {_SIGNED} SELECT doc_id, ord, amount / 100.0::DOUBLE AS amount, CAST(ord + 1 AS INTEGER) AS place FROM signed""")
+def ordered_amounts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each amount's place within its document in the order of the whole result."""
+    found = A.order_matches(A.matches(N.invoice_texts(spark, sf_dir))).withColumn("_at", F.monotonically_increasing_id())
+    return found.select("doc_id", "ord", "amount", F.row_number().over(Window.partitionBy("doc_id").orderBy("_at")).alias("place"))
+
+
+@query(f"""WITH {N.LINES_SQL}, {_SIGNED}, sums AS (SELECT doc_id, CAST(sum(amount) AS BIGINT) AS total, count(*) AS n FROM signed GROUP BY doc_id)
+SELECT doc_id, round(total / 100.0::DOUBLE, 10) AS total, CAST(n AS INTEGER) AS n_total FROM sums""")
+def stored_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Totals of documents written as Parquet and read again."""
+    folder = f"{shared_dir(spark)}/documents-{uuid.uuid4()}"
+    N.invoice_texts(spark, sf_dir).write.parquet(folder)
+    return A.document_totals(read_documents(spark, folder)).select("doc_id", "total", "n_total")
+
+
+@query("""WITH own AS (SELECT n_nationkey AS k, s_suppkey AS s FROM supplier JOIN nation ON s_nationkey = n_nationkey)
+SELECT s AS file_id, CAST(2 * s + 0.5 AS DOUBLE) AS total, 2 AS n_total FROM own""")
+def stored_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Totals of text files, one document a file, whose path is its id."""
+    folder = f"{shared_dir(spark)}/texts-{uuid.uuid4()}"
+    key = F.col("s_suppkey")
+    text = F.concat(F.lit("Leping\n"), key.cast("string"), F.lit(",50 € ja\n"), key.cast("string"), F.lit(" eurot"))
+    N.table(spark, sf_dir, "supplier").select(key.alias("supplier"), text.alias("value")).write.partitionBy("supplier").text(folder)
+    found = A.document_totals(read_documents(spark, f"{folder}/supplier=*", "text"))
+    return found.select(F.regexp_extract("doc_id", "supplier=([0-9]+)", 1).cast("long").alias("file_id"), "total", "n_total")
+
+
 @query(f"""WITH {N.LINES_SQL}, {N.PLAIN_SQL}
 SELECT doc_id, ord, raw, cents / 100.0::DOUBLE AS amount, 2 AS decimals, pos AS index, CAST(length(raw) AS INTEGER) AS match_len FROM offsets""")
 def amount_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -131,13 +182,12 @@ def numbered_amounts(spark: SparkSession, sf_dir: str) -> DataFrame:
   SELECT *, list_sum(list_transform(range(1, 11), lambda i: CAST(ten[i] AS INTEGER) * ([1,2,3,4,5,6,7,8,9,1])[i])) % 11 AS r1,
     list_sum(list_transform(range(1, 11), lambda i: CAST(ten[i] AS INTEGER) * ([3,4,5,6,7,8,9,1,2,3])[i])) % 11 AS r2 FROM said
 ) SELECT person_id, kind = 'fine' AS valid,
-  CASE kind WHEN 'length' THEN '{I.WRONG_LENGTH}' WHEN 'century' THEN '{I.WRONG_CENTURY}' WHEN 'date' THEN '{I.WRONG_DATE}' END AS error,
+  CASE kind WHEN 'length' THEN 'Isikukood peab olema 11 numbrit' WHEN 'century' THEN 'Esimene number peab olema 1–6' WHEN 'date' THEN 'Isikukoodi kuupäev on vigane' END AS error,
   CASE WHEN kind = 'fine' THEN person_id % 7 <> 0 END AS checksum_ok, CASE WHEN kind = 'fine' THEN d END AS born,
-  CASE kind WHEN 'length' THEN CASE WHEN person_id % 5 = 0 THEN '4 numbrit puudu' ELSE '3 numbrit puudu' END WHEN 'century' THEN '{I.WRONG_CENTURY}' WHEN 'date' THEN '{I.WRONG_DATE}'
-    ELSE CASE WHEN person_id % 7 <> 0 THEN '{I.CHECKED}' ELSE '{I.UNCHECKED}' END END AS status FROM weighed""")
+  CASE kind WHEN 'length' THEN CASE WHEN person_id % 5 = 0 THEN '4 numbrit puudu' ELSE '3 numbrit puudu' END WHEN 'century' THEN 'Esimene number peab olema 1–6' WHEN 'date' THEN 'Isikukoodi kuupäev on vigane'
+    ELSE CASE WHEN person_id % 7 <> 0 THEN 'Kontrollnumber korrektne' ELSE 'Kontrollnumber vale' END END AS status FROM weighed""")
 def id_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = N.id_codes(spark, sf_dir).withColumn("p", I.parse_id_code(I.normalise_code(F.col("code"))))
-    return rows.select("person_id", "p.valid", "p.error", "p.checksum_ok", "p.born", I.id_code_status(F.col("code")).alias("status"))
+    return I.with_id_code(N.id_codes(spark, sf_dir)).select("person_id", "parsed.valid", "parsed.error", "parsed.checksum_ok", "parsed.born", "status")
 
 
 @query(f"""WITH {N.IDS_SQL}, born AS (
@@ -150,7 +200,7 @@ def id_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
   SELECT *, ref >= b AS fine, month(b) = month(ref) AND day(b) = day(ref) AS today,
     make_date(year(ref), month(b), 1) + CAST(day(b) - 1 AS INTEGER) AS this_year FROM full_months
 ), nexts AS (SELECT *, year(ref) + CASE WHEN today OR this_year <= ref THEN 1 ELSE 0 END AS ny FROM noted)
-SELECT person_id, b AS born, CASE WHEN ref < b THEN '{C.TOO_EARLY}' WHEN b IS NOT NULL THEN 'ok' END AS status,
+SELECT person_id, b AS born, CASE WHEN ref < b THEN '// arvutuskuupäev on enne sünnikuupäeva' WHEN b IS NOT NULL THEN 'ok' END AS status,
   CASE WHEN fine THEN (mm // 12) || chr(160) || (CASE WHEN mm // 12 = 1 THEN 'aasta' ELSE 'aastat' END) || '  ' || (mm % 12) || chr(160) || (CASE WHEN mm % 12 = 1 THEN 'kuu' ELSE 'kuud' END)
     || '  ' || date_diff('day', CAST(b + to_months(CAST(mm AS INTEGER)) AS DATE), ref) || chr(160) || (CASE WHEN date_diff('day', CAST(b + to_months(CAST(mm AS INTEGER)) AS DATE), ref) = 1 THEN 'päev' ELSE 'päeva' END) END AS age_label,
   CASE WHEN fine THEN today END AS is_birthday, CASE WHEN fine THEN strftime(b, '%d.%m.') || ny END AS next_label,
@@ -160,6 +210,15 @@ def person_ages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("person_id", "born", "status", "age_label", "birthday.is_birthday", "birthday.next_label", "birthday.days_until")
 
 
+@query("""WITH t AS (SELECT o_orderkey AS k, CAST(o_orderdate AS DATE) AS d FROM orders)
+SELECT k AS case_id, strftime(d, '%d.%m.%Y') AS written, CAST(d + to_months(CAST(k % 50 AS INTEGER)) AS DATE) AS later,
+  CAST(date_diff('day', d, CAST(d + to_months(CAST(k % 50 AS INTEGER)) AS DATE)) AS INTEGER) AS apart FROM t""")
+def shifted_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    dates = N.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("case_id"), F.to_date("o_orderdate").alias("d"))
+    later = dates.withColumn("later", C.add_months_clamped(F.col("d"), (F.col("case_id") % 50).cast("int")))
+    return later.select("case_id", C.fmt_dmy(F.col("d")).alias("written"), "later", C.days_between(F.col("d"), F.col("later")).alias("apart"))
+
+
 @query(f"""WITH {N.SENTENCES_SQL}, sums AS (SELECT person_id, sum(y) AS y, sum(m) AS m, sum(d) AS d FROM sentences GROUP BY person_id),
 carried AS (SELECT person_id, CAST(y + (m + d // 30) // 12 AS BIGINT) AS years, CAST((m + d // 30) % 12 AS BIGINT) AS months, CAST(d % 30 AS BIGINT) AS days FROM sums)
 SELECT *, CASE WHEN years + months + days = 0 THEN '—' ELSE concat_ws(' ',
@@ -174,7 +233,7 @@ def _sql_release(num: str, den: str) -> str:
     end = "CAST(start_date + to_months(CAST(12 * y + m AS INTEGER)) AS DATE) + d"
     least = "date_diff('day', start_date, CAST(start_date + INTERVAL 4 MONTH AS DATE))"
     part = f"(date_diff('day', start_date, {end}) * {num}) // {den}"
-    there = "y + m + d > 0"
+    there = f"y + m + d > 0 AND {num} IS NOT NULL"
     return f"""CASE WHEN {there} THEN CAST(date_diff('day', start_date, {end}) AS INTEGER) END AS total_days,
   CASE WHEN {there} THEN start_date + CAST(greatest({part}, {least}) AS INTEGER) END AS release_date, CASE WHEN {there} THEN {least} > {part} END AS min_applied"""
 
@@ -185,14 +244,19 @@ def release_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.cross_release_rules(N.sentences(spark, sf_dir)).select("case_id", "num", "den", "total_days", "release_date", "min_applied")
 
 
-_GROUNDS_SQL = ", ".join(f"({n}, {d}, {j}, '{i}', '{g}', {'NULL' if m is None else m}, '{p}')" for n, d, j, i, g, m, p in P.GROUNDS)
+#: The grounds in words of the SQL's own, so that a wrong one in the library shows.
+_GROUNDS_SQL = """(1, 3, false, 'intentional', 'II', true, '§76 lg1 p1'), (1, 3, false, 'negligent', 'I', true, '§76 lg1 p1'),
+  (1, 3, true, 'intentional', 'II', NULL, '§76¹ lg1 p1'), (1, 3, true, 'negligent', 'I', NULL, '§76¹ lg1 p1'),
+  (1, 2, false, 'intentional', 'II', false, '§76 lg1 p2'), (1, 2, false, 'negligent', 'I', false, '§76 lg1 p2'),
+  (1, 2, false, 'intentional', 'I', true, '§76 lg2 p1'), (1, 2, true, 'intentional', 'I', NULL, '§76¹ lg1 p2'),
+  (2, 3, false, 'intentional', 'I', false, '§76 lg2 p2')"""
 
 
 @query(f"""WITH {N.SENTENCES_SQL}, cases AS (
   SELECT *, case_id % 3 = 0 AS juvenile, CASE WHEN case_id % 2 = 0 THEN 'intentional' ELSE 'negligent' END AS intent,
     CASE WHEN (case_id // 2) % 2 = 0 THEN 'I' ELSE 'II' END AS degree, CASE (case_id // 4) % 3 WHEN 0 THEN true WHEN 1 THEN false END AS monitoring FROM sentences
 ), grounds AS (SELECT * FROM (VALUES {_GROUNDS_SQL}) g(num, den, j, i, g, mon, provision))
-SELECT case_id, num, den, provision, {_sql_release('num', 'den')} FROM cases JOIN grounds ON juvenile = j AND intent = i AND degree = g AND (mon IS NULL OR coalesce(monitoring, false) = mon)""")
+SELECT case_id, num, den, provision, {_sql_release('num', 'den')} FROM cases LEFT JOIN grounds ON juvenile = j AND intent = i AND degree = g AND (mon IS NULL OR coalesce(monitoring, false) = mon)""")
 def applicable_releases(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = F.col("case_id")
     cases = N.sentences(spark, sf_dir).withColumns({
@@ -237,6 +301,26 @@ def register_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.validate_register(R.list_counts(subs, rows.select("doc_id")))
 
 
+@query("""WITH steps AS (SELECT 'act' || (p_partkey // 100) AS doc_id, p_partkey % 100 AS step FROM part),
+events AS (SELECT doc_id, step, 1 AS rank FROM steps UNION ALL SELECT doc_id, step, 0 FROM steps WHERE step % 10 = 0)
+SELECT doc_id, CAST(step // 40 AS INTEGER) AS page, rank, CASE WHEN rank = 1 THEN CAST(step % 40 AS INTEGER) END AS row_idx,
+  CAST(row_number() OVER (PARTITION BY doc_id ORDER BY step, rank) AS INTEGER) AS place FROM events""")
+def ordered_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each event's place within its edition in the order of the whole result."""
+    events = R.order_events(R.page_events(N.annex_words(spark, sf_dir), N.annex_rows(spark, sf_dir))).withColumn("_at", F.monotonically_increasing_id())
+    return events.select("doc_id", "page", "rank", "row_idx", F.row_number().over(Window.partitionBy("doc_id").orderBy("_at")).alias("place"))
+
+
+@query(f"""WITH {N.ANNEX_SQL} SELECT 'akt/' || doc_id AS act, '23.02.2026' AS effective_date, list_id, list_id = 6 AS is_groups, ord, et, en,
+  ['I', 'II', 'III', 'IV', 'V', 'VI'][list_id] || ' nimekiri' AS title FROM substances""")
+def stored_registers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Registers written as JSON, one document a line, and read again row by row."""
+    rows = N.annex_rows(spark, sf_dir)
+    folder = f"{shared_dir(spark)}/registers-{uuid.uuid4()}"
+    R.build_register(R.substances(N.annex_words(spark, sf_dir), rows), _meta(rows, "now")).select("meta", "lists").write.json(folder)
+    return read_register(spark, folder, lines=True).select("meta.act", "effective_date", "list_id", "is_groups", "ord", "et", "en", "title")
+
+
 def _meta(rows: DataFrame, generated: str) -> DataFrame:
     return rows.select("doc_id").distinct().select("doc_id", F.lit("annex").alias("source"), F.concat(F.lit("akt/"), "doc_id").alias("act"), F.lit("23.02.2026").alias("effective_date"), F.lit(generated).alias("generated"))
 
@@ -251,11 +335,11 @@ def nested_registers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nested.select("doc_id", "l.id", "l.isGroups", F.size("l.substances").cast("long").alias("n"), listed.alias("listed"))
 
 
-@query("""SELECT DISTINCT 'act' || (p_partkey % 5) AS doc_id, (p_partkey % 5) % 2 = 0 AS changed FROM part""")
+@query("""SELECT DISTINCT 'act' || (p_partkey // 100) AS doc_id, (p_partkey // 100) % 2 = 0 AS changed FROM part""")
 def changed_registers(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = N.annex_rows(spark, sf_dir)
     subs = R.substances(N.annex_words(spark, sf_dir), rows)
-    edited = F.substring("doc_id", 4, 5).cast("int") % 2 == 0
+    edited = F.substring("doc_id", 4, 18).cast("long") % 2 == 0
     later = subs.withColumn("en", F.when(edited & (F.col("ord") == 1), F.concat("en", F.lit("!"))).otherwise(F.col("en")))
     return publish_plan(R.build_register(later, _meta(rows, "later")), R.build_register(subs, _meta(rows, "before")))
 
@@ -273,7 +357,7 @@ FROM asked, register WHERE wanted = '' OR contains(lower(et), wanted) OR contain
 def register_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     terms = N.search_terms(spark, sf_dir)
     hits = R.search_register(N.part_substances(spark, sf_dir), terms)
-    return hits.join(F.broadcast(terms), "query_id").select("q", "list_id", "ord", "et_html", "en_html")
+    return hits.join(terms, "query_id").select("q", "list_id", "ord", "et_html", "en_html")
 
 
 @query(f"""WITH {_TERMS_SQL}, grid AS (SELECT q, wanted, CAST(range AS INTEGER) AS list_id FROM asked, range(1, 7)),
@@ -284,7 +368,7 @@ SELECT q, list_id, visible, total, CASE WHEN wanted <> '' THEN visible || '/' ||
 def search_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     terms = N.search_terms(spark, sf_dir)
     found = R.search_counts(N.part_substances(spark, sf_dir), terms)
-    return found.join(F.broadcast(terms), "query_id").select("q", "list_id", "visible", "total", "badge", "hidden", "result_label")
+    return found.join(terms, "query_id").select("q", "list_id", "visible", "total", "badge", "hidden", "result_label")
 
 
 @query("""WITH t AS (SELECT p_partkey AS k, p_name, p_type FROM part)
@@ -309,9 +393,9 @@ def cell_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH t AS (SELECT o_orderkey AS k, CAST(o_orderdate AS DATE) AS d FROM orders)
-SELECT k AS act_id, CASE WHEN k % 10 <> 0 THEN '{acts.ACT}' || k || '/blob-xml' END AS blob_url, CASE WHEN k % 10 = 0 THEN '{acts.NO_REVISION}' END AS error,
-  CASE WHEN k % 4 <> 3 AND k % 5 <> 0 THEN '{acts.ANNEX}' || k || '_LISA_1.pdf' END AS annex_url,
-  CASE WHEN k % 4 = 3 THEN '{acts.BROKEN}' WHEN k % 5 = 0 THEN '{acts.NO_ANNEX}' END AS annex_error,
+SELECT k AS act_id, CASE WHEN k % 10 <> 0 THEN 'https://www.riigiteataja.ee/public-api/api/v1/akt/' || k || '/blob-xml' END AS blob_url, CASE WHEN k % 10 = 0 THEN 'kehtivRedaktsioon puudub' END AS error,
+  CASE WHEN k % 4 <> 3 AND k % 5 <> 0 THEN 'https://www.riigiteataja.ee/aktilisa/1110/8202/6010/' || k || '_LISA_1.pdf' END AS annex_url,
+  CASE WHEN k % 4 = 3 THEN 'XML parsimine ebaõnnestus' WHEN k % 5 = 0 THEN 'Lisa 1 linki ei leitud' END AS annex_error,
   CASE k % 4 WHEN 0 THEN strftime(d, '%d.%m.%Y') WHEN 1 THEN 'alates ' || strftime(d, '%d.%m.%Y') WHEN 2 THEN strftime(d, '%d.%m.%Y') END AS effective_date FROM t""")
 def act_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     k, d = F.col("o_orderkey"), F.to_date("o_orderdate")
@@ -327,7 +411,7 @@ def act_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(k % 4 == 3, F.lit("")).otherwise(F.lit(">")),
     )
     rows = N.table(spark, sf_dir, "orders").select(k.alias("act_id"), body.alias("body"), xml.alias("xml"))
-    found = acts.effective_date(acts.annex_url(acts.resolve_revision(rows)))
+    found = acts.act_facts(acts.resolve_revision(rows))
     return found.select("act_id", "blob_url", "error", "annex_url", "annex_error", "effective_date")
 
 
@@ -366,13 +450,13 @@ def streamed_exclusions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _drained(S.stream_carry_exclusions(_streamed(before.union(after)), idle_ms=None))
 
 
-@query("""SELECT DISTINCT 'act' || (p_partkey % 5) AS doc_id, (p_partkey % 5) % 2 = 0 AS replaced FROM part""")
+@query("""SELECT DISTINCT 'act' || (p_partkey // 100) AS doc_id, (p_partkey // 100) % 2 = 0 AS replaced FROM part""")
 def streamed_registers(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = N.annex_rows(spark, sf_dir)
     subs = R.substances(N.annex_words(spark, sf_dir), rows)
-    edited = F.substring("doc_id", 4, 5).cast("int") % 2 == 0
+    edited = F.substring("doc_id", 4, 18).cast("long") % 2 == 0
     later = subs.withColumn("en", F.when(edited & (F.col("ord") == 1), F.concat("en", F.lit("!"))).otherwise(F.col("en")))
     path = f"{shared_dir(spark)}/registers-{uuid.uuid4()}"
     for step, (entries, made) in enumerate(((subs, "before"), (later, "later"))):
         S.stream_publish(_streamed(R.build_register(entries, _meta(rows, made))), path, f"{path}-log{step}").awaitTermination()
-    return spark.read.parquet(path).select("doc_id", (F.col("meta.generated") == "later").alias("replaced"))
+    return read_published(spark, path).select("doc_id", (F.col("meta.generated") == "later").alias("replaced"))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lexspark.functions import amounts as A
-from lexspark.functions.text import BLANK, padded, utf16_length
+from lexspark.functions.text import BLANK, padded
 
 
 def with_amounts(docs: DataFrame, mode: str = "eur") -> DataFrame:
@@ -21,24 +21,18 @@ def with_amounts(docs: DataFrame, mode: str = "eur") -> DataFrame:
 def matches(docs: DataFrame, mode: str = "eur") -> DataFrame:
     """One row per amount, in text order by ord."""
     found = with_amounts(docs.select("doc_id", "text"), mode)
-    return found.select("doc_id", F.explode("matches").alias("m")).select("doc_id", "m.ord", "m.raw", "m.amount", "m.decimals")
+    exploded = found.select("doc_id", F.explode_outer("matches").alias("m")).where(F.col("m").isNotNull())
+    return exploded.select("doc_id", "m.ord", "m.raw", "m.amount", "m.decimals")
 
 
 def with_offsets(docs: DataFrame, mode: str = "eur") -> DataFrame:
-    """matches, with index and match_len in UTF-16 units.
-
-    The text is cut around its matches, and the parts' lengths are summed up within a document; only documents that may
-    hold an amount are cut. doc_id must be unique.
-    """
-    cut = docs.where(A.may_hold(F.col("text"), mode)).select("doc_id", F.posexplode(A.segments(F.col("text"), mode)).alias("place", "part"))
-    sized = cut.withColumn("size", utf16_length(F.col("part")))
-    before = Window.partitionBy("doc_id").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
-    placed = sized.withColumn("index", F.coalesce(F.sum("size").over(before), F.lit(0)).cast("int")).where(F.col("place") % 2 == 1)
-    number = A.number_part(F.col("part"))
-    return placed.select(
-        "doc_id", F.floor(F.col("place") / 2).cast("int").alias("ord"), F.col("part").alias("raw"),
-        A.parse_amount(number).alias("amount"), A.count_decimals(number).alias("decimals"), "index", F.col("size").alias("match_len"),
-    )
+    """matches, with index and match_len in UTF-16 units; each row of docs has its own, whatever its doc_id."""
+    # an inner explode would test the array first, below the columns that make it, and so make it twice
+    placed = A.with_places(docs.select("doc_id", "text"), mode).select("doc_id", F.explode_outer("places").alias("p"))
+    numbers = placed.where(F.col("p").isNotNull()).select("doc_id", "p.*", A.number_part(F.col("p.raw")).alias("_number"))
+    return numbers.select(
+        "doc_id", "ord", "raw", A.parse_amount(F.col("_number")).alias("amount"), A.count_decimals(F.col("_number")).alias("decimals"), "index", "match_len"
+    )
 
 
 def order_matches(found: DataFrame) -> DataFrame:

@@ -29,9 +29,10 @@ def person_age(people: DataFrame) -> DataFrame:
 
     The code counts where it is valid, else the written date.
     """
-    parsed = people.withColumn("_code", I.parse_id_code(I.normalise_code(F.col("code"))))
-    born = F.coalesce(F.col("_code.born"), C.parse_dmy(F.col("dob")))
-    dated = parsed.withColumn("born", born).drop("_code").withColumn("status", C.age_status(F.col("born"), F.col("ref_date")))
+    digits = people.withColumn("_digits", I.normalise_code(F.col("code")))  # a column of its own, so that it is made once
+    parsed = digits.withColumns({"_code": I.parse_id_code(F.col("_digits")), "_written": C.parse_dmy(F.col("dob"))})
+    born = F.coalesce(F.col("_code.born"), F.col("_written"))
+    dated = parsed.withColumn("born", born).drop("_code", "_digits", "_written").withColumn("status", C.age_status(F.col("born"), F.col("ref_date")))
     fine = F.col("status") == "ok"
     aged = dated.withColumns({
         "age": F.when(fine, C.age(F.col("born"), F.col("ref_date"))),
@@ -60,10 +61,20 @@ def release_grounds(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(list(GROUNDS), "num int, den int, juvenile boolean, intent string, degree string, monitoring boolean, provision string")
 
 
-def _released(sentences: DataFrame) -> DataFrame:
-    given = [C.non_negative_int(F.col(c)) for c in ("years", "months", "days")]
-    shown = F.when(C.has_release_input(F.col("start_date"), *given), C.release_date(F.col("start_date"), *given, F.col("num"), F.col("den")))
-    return sentences.withColumn("_r", shown).select("*", "_r.total_days", "_r.fraction_days", "_r.min_days", "_r.release_date", "_r.min_applied").drop("_r")
+GIVEN = {"_years": "years", "_months": "months", "_days": "days"}
+
+
+def _coerced(sentences: DataFrame) -> DataFrame:
+    """sentences with the typed numbers read, once for all that follows."""
+    return sentences.withColumns({k: C.non_negative_int(F.col(c)) for k, c in GIVEN.items()})
+
+
+def _released(coerced: DataFrame) -> DataFrame:
+    given = [F.col(c) for c in GIVEN]
+    there = C.has_release_input(F.col("start_date"), *given) & F.col("num").isNotNull()
+    shown = F.when(there, C.release_date(F.col("start_date"), *given, F.col("num"), F.col("den")))
+    fields = ("total_days", "fraction_days", "min_days", "release_date", "min_applied")
+    return coerced.withColumn("_r", shown).select("*", *[f"_r.{f}" for f in fields]).drop("_r", *GIVEN)
 
 
 def cross_release_rules(sentences: DataFrame) -> DataFrame:
@@ -72,13 +83,13 @@ def cross_release_rules(sentences: DataFrame) -> DataFrame:
     The rules are an array exploded in place, so that rows meet them without a join.
     """
     rules = F.array(*[F.struct(F.lit(n).alias("num"), F.lit(d).alias("den"), F.lit(g).alias("glyph")) for n, d, g in RULES])
-    return _released(sentences.withColumn("_rule", F.explode(rules)).select("*", "_rule.*").drop("_rule"))
+    return _released(_coerced(sentences).withColumn("_rule", F.explode(rules)).select("*", "_rule.*").drop("_rule"))
 
 
 def applicable_release(cases: DataFrame) -> DataFrame:
     """cases (juvenile, intent, degree, monitoring and a sentence) with the fraction and provision of the ground that
-    fits; cases without one are left out. Consent counts only where the ground states it."""
+    fits; without one these and the dates are null. Consent counts only where the ground states it."""
     g = F.broadcast(release_grounds(cases.sparkSession)).select("num", "den", "provision", *[F.col(c).alias(f"_{c}") for c in ("juvenile", "intent", "degree", "monitoring")])
     fits = (F.col("juvenile") == F.col("_juvenile")) & (F.col("intent") == F.col("_intent")) & (F.col("degree") == F.col("_degree"))
     consent = F.col("_monitoring").isNull() | (F.coalesce(F.col("monitoring"), F.lit(False)) == F.col("_monitoring"))
-    return _released(cases.join(g, fits & consent)).drop("_juvenile", "_intent", "_degree", "_monitoring")
+    return _released(_coerced(cases).join(g, fits & consent, "left")).drop("_juvenile", "_intent", "_degree", "_monitoring")

@@ -36,22 +36,36 @@ def well_formed(xml: Column) -> Column:
     return xml.isNotNull() & parsed.isNotNull() & parsed["_corrupt"].isNull()
 
 
+def act_facts(df: DataFrame, xml_col: str = "xml") -> DataFrame:
+    """df with annex_url and annex_error, and effective_date. Each is a column of its own before another looks at it, so
+    that a document is checked once and each path is followed once.
+
+    The annex: some paragraph names the first annex, and the first file of the document whose name has 'lisa' in it is
+    taken, wherever it stands. The date reads DD.MM.YYYY; one written otherwise stays as it is; null without one.
+    """
+    xml = F.col(xml_col)
+    checked = df.withColumn("_fine", well_formed(xml))
+    where_fine = lambda c: F.when(F.col("_fine"), c)
+    read = checked.withColumns({
+        "_named": where_fine(F.xpath_boolean(xml, F.lit("//*[contains(name(),'tavatekst')][contains(node()[1][self::text()],'Lisa 1')]"))),
+        "_files": where_fine(F.xpath(xml, F.lit("//*[contains(name(),'fail')]/@failNimi"))),
+        "_date": where_fine(F.xpath_string(xml, F.lit("(//*[contains(name(),'kehtivuseAlgus')][node()[1][self::text()]])[1]/text()[1]"))),
+    })
+    cleaned = read.withColumns({"_file": F.get(F.filter("_files", lambda f: F.lower(f).contains("lisa")), 0), "_written": F.nullif(strip_blank(F.col("_date")), F.lit(""))})
+    first, written = F.col("_file"), F.col("_written")
+    url = F.when(F.col("_named") & first.isNotNull(), F.when(first.rlike("^[a-z]+://"), first).otherwise(F.concat(F.lit(ANNEX), first)))
+    iso = F.when(written.rlike("^[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}$"), F.try_to_date(written, "y-M-d"))
+    found = cleaned.withColumns({"annex_url": url, "_iso": iso})
+    error = F.when(~F.col("_fine"), BROKEN).when(F.col("annex_url").isNull(), NO_ANNEX)
+    told = found.withColumns({"annex_error": error, "effective_date": F.coalesce(F.date_format("_iso", "dd.MM.yyyy"), written)})
+    return told.drop("_fine", "_named", "_files", "_date", "_file", "_written", "_iso")
+
+
 def annex_url(df: DataFrame, xml_col: str = "xml") -> DataFrame:
-    """df with annex_url, or error: some paragraph names the first annex, and the first file of the document whose name
-    has 'lisa' in it is taken, wherever it stands."""
-    xml, fine = F.col(xml_col), well_formed(F.col(xml_col))
-    named = F.when(fine, F.xpath_boolean(xml, F.lit("//*[contains(name(),'tavatekst')][contains(node()[1][self::text()],'Lisa 1')]")))
-    files = F.when(fine, F.xpath(xml, F.lit("//*[contains(name(),'fail')]/@failNimi")))
-    first = F.get(F.filter(files, lambda f: F.lower(f).contains("lisa")), 0)
-    url = F.when(named & first.isNotNull(), F.when(first.rlike("^[a-z]+://"), first).otherwise(F.concat(F.lit(ANNEX), first)))
-    error = F.when(~fine, BROKEN).when(url.isNull(), NO_ANNEX)
-    return df.withColumns({"annex_url": url, "annex_error": error})
+    """df with annex_url, or annex_error."""
+    return act_facts(df, xml_col).drop(*{"effective_date"} - set(df.columns))
 
 
 def effective_date(df: DataFrame, xml_col: str = "xml") -> DataFrame:
-    """df with effective_date as DD.MM.YYYY; a date written otherwise stays as it is; null without one."""
-    xml = F.col(xml_col)
-    found = F.when(well_formed(xml), F.xpath_string(xml, F.lit("(//*[contains(name(),'kehtivuseAlgus')][node()[1][self::text()]])[1]/text()[1]")))
-    written = F.nullif(strip_blank(found), F.lit(""))
-    iso = F.when(written.rlike("^[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}$"), F.try_to_date(written, "y-M-d"))
-    return df.withColumn("effective_date", F.coalesce(F.date_format(iso, "dd.MM.yyyy"), written))
+    """df with effective_date."""
+    return act_facts(df, xml_col).drop(*{"annex_url", "annex_error"} - set(df.columns))

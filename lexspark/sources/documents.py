@@ -25,11 +25,11 @@ def flatten_register(registers: DataFrame) -> DataFrame:
     rows = lists.select("*", F.posexplode("l.substances").alias("place", "s")).drop("lists")
     kept = [c for c in registers.columns if c not in ("meta", "lists")]
     return rows.select(
-        *kept, F.col("meta.effective_date").alias("effective_date"), F.col("l.id").alias("list_id"), F.col("l.title").alias("title"),
+        *kept, "meta", F.col("meta.effective_date").alias("effective_date"), F.col("l.id").alias("list_id"), F.col("l.title").alias("title"),
         F.col("l.isGroups").alias("is_groups"), (F.col("place") + 1).alias("ord"), F.col("s.et").alias("et"), F.coalesce("s.en", F.lit("")).alias("en"),
     )
 
 
-def read_register(spark: SparkSession, path: str) -> DataFrame:
-    """flatten_register of JSON documents, one a file."""
-    return flatten_register(spark.read.schema(REGISTER).json(path, multiLine=True))
+def read_register(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """flatten_register of JSON documents, one a file, or one a line."""
+    return flatten_register(spark.read.schema(REGISTER).json(path, multiLine=not lines))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import pandas as pd
@@ -25,32 +26,28 @@ def stream_amounts(stream: DataFrame, mode: str = "eur") -> DataFrame:
     return found.select("doc_id", "m.ord", "m.raw", "m.amount", "m.decimals")
 
 
-def _starts(parts: list[str]) -> list[int]:
-    starts, at = [], 0
-    for part in parts:
-        starts.append(at)
-        at += len(part) + sum(ord(c) > 0xFFFF for c in part)
-    return starts
-
-
 def _follow(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState, idle_ms: int | None) -> Iterator[pd.DataFrame]:
     """The exclusions after each new revision of one document, oldest first; revisions seen before are ignored."""
     if state.hasTimedOut:
         state.remove()
         return
     last, raws, starts = state.get if state.exists else (-1, [], [])
-    held = list(zip(list(raws), list(starts), strict=True))
+    held = list(zip(raws, starts, strict=True))
     rows = []
     arrived = pd.concat(list(frames)).sort_values("revision")
-    for revision, parts, asked in zip(arrived["revision"], arrived["parts"], arrived["excluded"], strict=True):
+    for revision, said, begun, asked in zip(arrived["revision"], arrived["raws"], arrived["starts"], arrived["excluded"], strict=True):
         if revision <= last:
             continue
-        last, places = int(revision), _starts(list(parts))
+        last = int(revision)
         asked = set(asked) if asked is not None else set()
+        near: dict[str, list[int]] = {}
+        for raw, start in held:  # in text order
+            near.setdefault(raw, []).append(start)
         now = []
-        for n, place in enumerate(range(1, len(parts), 2)):
-            raw, start = parts[place], places[place]
-            if n in asked or any(r == raw and abs(s - start) <= TOLERANCE for r, s in held):
+        for n, (raw, start) in enumerate(zip(said, map(int, begun), strict=True)):
+            known = near.get(raw, [])
+            at = bisect_left(known, start - TOLERANCE)
+            if n in asked or (at < len(known) and known[at] <= start + TOLERANCE):
                 now.append((raw, start))
                 rows.append((key[0], last, n, raw, start))
         held = now
@@ -72,7 +69,9 @@ def stream_carry_exclusions(stream: DataFrame, mode: str = "eur", idle_ms: int |
     def follow(key, frames, state):
         return _follow(key, frames, state, idle_ms)
 
-    cut = stream.select("doc_id", "revision", "excluded", A.segments(F.col("text"), mode).alias("parts"))
+    # only matches and their places go to Python
+    placed = A.with_places(stream.select("doc_id", "revision", "excluded", "text"), mode)
+    cut = placed.select("doc_id", "revision", "excluded", F.col("places.raw").alias("raws"), F.col("places.index").alias("starts"))
     return cut.groupBy("doc_id").applyInPandasWithState(follow, EXCLUDED, STATE, "append", timeout)
 
 

@@ -138,3 +138,21 @@ def test_numbered_does_not_cut(spark):
     df = O.numbered(spark.range(1200).withColumn("k", F.lit(1)), 3, ["k"], ["id"])
     got = {r["id"]: r["row_no"] for r in df.collect()}
     assert got[0] == "001" and got[1199] == "1200"
+
+
+def test_offsets_of_repeated_ids_and_of_many_matches(spark):
+    many = " ja ".join(f"{k} €" for k in range(1, 400))
+    rows = [(1, "x 10 € ja 20 €"), (1, "x 10 € ja 20 €"), (1, "\U0001f600 5 €"), (None, "1 €"), (2, many), (3, None), (4, "")]
+    got = O.with_offsets(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r["ord"], r["index"], r["match_len"]) for r in got if r["doc_id"] == 1) == [(0, 2, 4), (0, 2, 4), (0, 3, 3), (1, 10, 4), (1, 10, 4)]
+    assert [(r["raw"], r["index"]) for r in sorted((r for r in got if r["doc_id"] == 2), key=lambda r: r["ord"])] == [(f"{k} €", many.index(f" {k} €") + 1 if k > 1 else 0) for k in range(1, 400)]
+    assert len(got) == 5 + 1 + 399
+
+
+def test_large_amounts(spark):
+    rows = [(1, "12345678901234567890123456789 €"), (2, "-" + "9" * 400 + " €"), (3, "1" + "0" * 22 + ",5 €"), (4, "9007199254740993 €"), (5, "99999999999999,995 €")]
+    got = {r["doc_id"]: r["sum_label"].replace("\u00a0", " ") for r in O.document_totals(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: "12 345 678 901 234 568 000 000 000 000,00 €", 2: "\u2212\u221e €", 3: "10 000 000 000 000 000 000 000,00 €", 4: "9 007 199 254 740 992,00 €", 5: "100 000 000 000 000,00 €"}
+    run = " ".join(str(n) for n in range(10, 30))
+    plain = O.document_totals(spark.createDataFrame([(1, run)], "doc_id long, text string"), mode="n").first()
+    assert float(plain["sum_label"].replace("\u00a0", "")) == float(run.replace(" ", "")) and plain["amount_list"] == plain["sum_label"]

@@ -1,6 +1,6 @@
 from pyspark.sql import functions as F
 
-from lexspark.jobs.publish import publish_if_changed, publish_valid
+from lexspark.jobs.publish import publish_if_changed, publish_valid, read_published
 from lexspark.operators import register as R
 from lexspark.sources import acts
 from lexspark.sources.documents import flatten_register, read_documents, read_register
@@ -55,7 +55,8 @@ def test_publish_and_read_back(spark, tmp_path):
     assert publish_if_changed(R.build_register(subs, _meta(spark, "1")), path)
     assert not publish_if_changed(R.build_register(subs, _meta(spark, "2")), path)
     assert publish_if_changed(R.build_register(subs.withColumn("en", F.lit("x")), _meta(spark, "3")), path)
-    nested = spark.read.parquet(path)
+    nested = read_published(spark, path)
+    assert sorted(p.name for p in (tmp_path / "out").iterdir() if not p.name.startswith((".", "_"))) == ["version=1", "version=2"]
     row = nested.first()
     assert row["meta"]["generated"] == "3" and [x["id"] for x in row["lists"]] == [1, 2, 3, 4, 5, 6]
     assert row["lists"][5]["isGroups"] and row["lists"][1]["substances"] == []
@@ -81,6 +82,8 @@ def test_acts(spark):
     got = {r["id"]: r for r in acts.effective_date(acts.annex_url(spark.createDataFrame(rows, "id int, xml string"))).collect()}
     assert got[1]["annex_url"].endswith("/X_LISA.pdf") and got[1]["effective_date"] == "23.02.2026" and got[2]["effective_date"] == "kevad"
     assert got[3]["annex_error"] == acts.BROKEN and got[3]["effective_date"] is None and got[4]["annex_error"] == acts.NO_ANNEX and got[5]["annex_error"] == acts.BROKEN
+    plan = acts.act_facts(spark.createDataFrame(rows, "id int, xml string").repartition(2))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.lower().count("from_xml") + plan.count("xmltostructs") <= 2 and plan.lower().count("xpath") <= 4
     bodies = spark.createDataFrame([('{"kehtivRedaktsioon": 12}',), ("{}",), ("no json",), ('{"kehtivRedaktsioon": ""}',)], "body string")
     found = [(r["blob_url"], r["error"]) for r in acts.resolve_revision(bodies).collect()]
     assert found[0][0].endswith("/akt/12/blob-xml") and all(f == (None, acts.NO_REVISION) for f in found[1:])
