@@ -277,16 +277,17 @@ def learn_samples(docs: DataFrame, sample_passages: int = SAMPLE_PASSAGES, passa
     their tasks. Languages are as many as labels; their number times the bounds is what the driver holds.
     """
     usable = F.col("lang").isNotNull() & F.col("text").isNotNull() & (id_bucket(F.col("doc_id"), HELD_OUT_OF) != HELD_OUT)
-    chars = F.length("text")
-    labelled = docs.where(usable).select("lang", "doc_id", "text", F.ceil(chars / passage_chars).cast("int").alias("_n")).where(F.col("_n") > 0)
+    # the length is a column of its own before the lambda looks at it, so that a text is measured once
+    measured = docs.where(usable).select("lang", "doc_id", "text", F.length("text").alias("_chars"))
+    labelled = measured.withColumn("_n", F.ceil(F.col("_chars") / passage_chars).cast("int")).where(F.col("_n") > 0)
     counts = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.sum("_n").alias("n")).collect()}
     if not counts:
         return {}
     most = {k: min((1 << 63) - 1, (sample_passages << 64) // n - (1 << 63)) for k, n in counts.items()}
     last = F.element_at(F.create_map(*[x for k, n in most.items() for x in (F.lit(k), F.lit(n).cast("long"))]), F.col("lang"))
-    draw = lambda i: F.xxhash64(F.lit(7), F.col("doc_id"), chars, i)
+    draw = lambda i: F.xxhash64(F.lit(7), F.col("doc_id"), F.col("_chars"), i)
     drawn = labelled.withColumn("_last", last).withColumn("_places", F.filter(F.sequence(F.lit(0), F.col("_n") - 1), lambda i: draw(i) <= F.col("_last")))
-    places = drawn.where(F.size("_places") > 0).select("lang", "doc_id", "text", F.explode("_places").alias("_place"))
+    places = drawn.where(F.size("_places") > 0).select("lang", "doc_id", "text", "_chars", F.explode("_places").alias("_place"))
     passages = places.select("lang", "doc_id", draw(F.col("_place")).alias("_draw"), F.substring(F.col("text"), F.col("_place") * passage_chars + 1, F.lit(passage_chars)).alias("_part"))
     order = Window.partitionBy("lang").orderBy("_draw", "doc_id", "_part")
     samples: dict[str, list[str]] = {}
