@@ -13,7 +13,8 @@ any size is one node. The index is spread by variant, and skewed variants are sp
 hashes of their own, and two texts are candidates if one of them differs in few bits; the five-word shingles of every
 candidate pair then decide. So that a large group of near copies doesn't bring all its pairs, each text is first held
 against the least text in its segments (a star); what that leaves apart is then searched in full, but pairs that are
-in one component already never leave the join. The components are the same as over all pairs.
+in one component already never leave the join, and neither do pairs of a hot signature whose parity sketches prove
+that they are not similar enough. The components are the same as over all pairs.
 
 Defined cases: null, empty and blank texts have fingerprint zero and link to whatever lies within the distance of zero;
 texts with fewer words than a shingle are one shingle; repeated rows share everything; a null doc_id belongs to its
@@ -38,6 +39,10 @@ BITS = 64
 VERIFY_WORDS = 5
 #: A fingerprint with more than one row in so many is hot; so there are never more hot ones than this.
 HOT_SHARE = 20_000
+#: 64-bit words of a parity sketch.
+SKETCH = 16
+#: A signature is hot if it has more texts than this and more than eight times what chance gives it.
+HOT_TEXTS = 64
 
 
 def _mixed(hashes: np.ndarray) -> np.ndarray:
@@ -76,6 +81,42 @@ def fingerprints_of(text: str | None, shingle: int = SHINGLE, distinct: bool = F
     return found
 
 
+def shingle_hashes(text: str | None, words: int = VERIFY_WORDS) -> np.ndarray:
+    """The distinct 64-bit hashes of a text's lower-cased word shingles; of all its words together if they are fewer."""
+    import xxhash
+
+    split = text.lower().encode("utf-8", "replace").split() if text else []
+    if not split:
+        return np.zeros(1, "<u8")
+    numbers: dict[bytes, int] = {}
+    places = [numbers.setdefault(w, len(numbers)) for w in split]
+    own = np.array([xxhash.xxh64_intdigest(w, SEED) for w in numbers], dtype="<u8")[places]
+    last, found = max(len(split) - words + 1, 1), np.zeros(1, "<u8")
+    for k in range(min(words, len(split))):
+        found = found * np.uint64(0x9E3779B97F4A7C15) + own[k : k + last]
+    return np.unique(_mixed(found))
+
+
+def sketch_of(hashes: np.ndarray) -> np.ndarray:
+    """A parity sketch: every hash flips one bit. Sketches of two sets differ in no more bits than the sets in elements."""
+    bits = np.bincount((_mixed(hashes) >> np.uint64(54)).astype(np.int64), minlength=64 * SKETCH) & 1
+    return np.packbits(bits.astype(np.uint8), bitorder="little").view("<i8")
+
+
+def sketched(text: Column, shingle: int = SHINGLE, distinct: bool = False, count: int = 1) -> Column:
+    """A text's fingerprints (fps), the number of its five-word shingles (size) and their parity sketch."""
+
+    @F.pandas_udf("fps array<long>, size long, sketch array<long>")
+    def of(texts: pd.Series) -> pd.DataFrame:
+        rows = []
+        for t in texts:
+            hashes = shingle_hashes(t)
+            rows.append((fingerprints_of(t, shingle, distinct, count), len(hashes), sketch_of(hashes)))
+        return pd.DataFrame(rows, columns=["fps", "size", "sketch"])
+
+    return of(text)
+
+
 def fingerprints(text: Column, shingle: int = SHINGLE, distinct: bool = False, count: int = 1) -> Column:
     """The array of a text's fingerprints."""
 
@@ -123,22 +164,21 @@ def _first_shared(different: Column, max_bits: int) -> Column:
     return F.coalesce(*arms)
 
 
-def links(fingerprints: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
-    """(a, b), a < b: pairs of distinct values of column fp that differ in at most max_bits bits, each once.
-
-    With a column tag, values meet under the same tag only, and it is returned too; with a column component, pairs of
-    the same component are left out (of a null one, never).
-    """
-    tagged = "tag" in fingerprints.columns
-    index = fingerprints.withColumn("signature", F.explode(_variants(F.col("fp"), max_bits, F.col("tag") if tagged else None)))
-    a, b = index.alias("a"), index.alias("b")
+def _meeting(index: DataFrame, apart: Column, max_bits: int, *bounds: Column) -> DataFrame:
+    """The rows of index (fp, signature and others) as a and b, joined where they share a signature, at the first one
+    only, their fingerprints differ in at most max_bits bits, and apart and the bounds hold."""
     different = F.col("a.fp").bitwiseXOR(F.col("b.fp"))
     variant = F.shiftright("a.signature", 32).bitwiseAND(F.lit(255).cast("long"))
-    on = (F.col("a.signature") == F.col("b.signature")) & (F.col("a.fp") < F.col("b.fp"))
-    if "component" in fingerprints.columns:
-        on = on & F.coalesce(F.col("a.component") != F.col("b.component"), F.lit(True))
-    on = on & (F.bit_count(different) <= max_bits) & (variant == _first_shared(different, max_bits))
-    return a.join(b, on).select(*([F.col("a.tag").alias("tag")] if tagged else []), F.col("a.fp").alias("a"), F.col("b.fp").alias("b"))
+    on = (F.col("a.signature") == F.col("b.signature")) & apart
+    for bound in (F.bit_count(different) <= max_bits, variant == _first_shared(different, max_bits), *bounds):
+        on = on & bound
+    return index.alias("a").join(index.alias("b"), on)
+
+
+def links(fingerprints: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
+    """(a, b), a < b: pairs of distinct values of column fp that differ in at most max_bits bits, each once."""
+    index = fingerprints.withColumn("signature", F.explode(_variants(F.col("fp"), max_bits)))
+    return _meeting(index, F.col("a.fp") < F.col("b.fp"), max_bits).select(F.col("a.fp").alias("a"), F.col("b.fp").alias("b"))
 
 
 def components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
@@ -182,16 +222,14 @@ def components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
     return leaves.union(leaves.select(F.col("component").alias("node"), "component").distinct())
 
 
-def _shingle_sets(texts: DataFrame, words: int) -> DataFrame:
-    """(_fp, _set): the distinct hashes of a text's lower-cased word shingles; of all its words if they are fewer.
+def _shingle_set(text: Column, words: int) -> Column:
+    """The distinct hashes of a text's word shingles."""
 
-    The words are a column of their own before a lambda looks into them, so that a text is split once.
-    """
-    w = F.filter(F.split(F.lower(text_or_empty(F.col("text"))), SPACE), lambda x: x != "")
-    split = texts.select("_fp", w.alias("_w"))
-    starts = F.sequence(F.lit(0), F.greatest(F.size("_w") - words, F.lit(0)))
-    hashes = F.transform(starts, lambda i: F.xxhash64(*[F.coalesce(F.get(F.col("_w"), i + k), F.lit("")) for k in range(words)]))
-    return split.select("_fp", F.array_distinct(hashes).alias("_set"))
+    @F.pandas_udf("array<long>")
+    def of(texts: pd.Series) -> pd.Series:
+        return pd.Series([shingle_hashes(t, words).view("<i8") for t in texts], dtype=object)
+
+    return of(text)
 
 
 def similar(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, min_similarity: float, words: int = VERIFY_WORDS) -> DataFrame:
@@ -203,7 +241,8 @@ def similar(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, min_similarity:
     linked = pairs.select(F.col("a").alias("_node")).union(pairs.select("b")).distinct()
     wanted = small_side(nodes.join(linked, F.col("node") == F.col("_node")).select(F.col("node").alias("_fp"), "first.*"))
     own = docs.select("text", *[c.alias(k) for k, c in row_key(docs).items()]).join(wanted, ROW_KEY)
-    sets = checkpointed(_shingle_sets(own, words).dropDuplicates(["_fp"]))  # equal rows share a key
+    one = own.dropDuplicates(["_fp"])  # equal rows share a key
+    sets = checkpointed(one.select("_fp", _shingle_set(F.col("text").cast("string"), words).alias("_set")))
     a, b = (sets.select(F.col("_fp").alias(f"_{k}"), F.col("_set").alias(f"_set_{k}")) for k in "ab")
     # a star's least node is a: the sets that differ from pair to pair come first
     both = pairs.join(b, F.col("b") == F.col("_b")).join(a, F.col("a") == F.col("_a"))
@@ -226,28 +265,41 @@ def stars(nodes: DataFrame, max_bits: int, count: int) -> DataFrame:
     return held.join(least, "key").where((F.col("node") > F.col("least.node")) & near).select(F.col("least.node").alias("a"), F.col("node").alias("b")).distinct()
 
 
-def apart(nodes: DataFrame, found: DataFrame, max_bits: int) -> DataFrame:
+def apart(nodes: DataFrame, found: DataFrame, max_bits: int, min_similarity: float | None = None) -> DataFrame:
     """(a, b), a < b: all pairs of nodes with a fingerprint that differs in at most max_bits bits, but for those of one
-    component in found (node, component)."""
+    component in found (node, component).
+
+    With min_similarity, pairs that meet at a hot signature are left out if their sketches prove them less similar. Of
+    two sets of x and y shingles that are similar enough, at most (x + y)(1 - s) / (1 + s) shingles are in one only.
+    The sketches go along with hot signatures alone, as they are larger than all else in the index.
+    """
     own = found.select(F.col("node").alias("_node"), "component")
     placed = nodes.join(own, F.col("node") == F.col("_node"), "left").select("node", F.coalesce("component", "node").alias("component"), F.posexplode("fps").alias("tag", "fp"))
     placed = checkpointed(placed)
-    classes = placed.groupBy("tag", "fp").agg(F.min("component").alias("low"), F.max("component").alias("high"))
-    classes = checkpointed(classes)
-    near = links(classes.select("tag", "fp", F.when(F.col("low") == F.col("high"), F.col("low")).alias("component")), max_bits)
-    # texts that share a fingerprint are near each other too
-    mixed = classes.where(F.col("low") < F.col("high")).select("tag", F.col("fp").alias("a"), F.col("fp").alias("b"))
-    a, b = (placed.select(F.col("tag").alias(f"_tag_{k}"), F.col("fp").alias(f"_fp_{k}"), F.col("node").alias(f"node_{k}"), F.col("component").alias(f"component_{k}")) for k in "ab")
-    met = near.union(mixed).join(a, (F.col("tag") == F.col("_tag_a")) & (F.col("a") == F.col("_fp_a")))
-    met = met.join(b, (F.col("tag") == F.col("_tag_b")) & (F.col("b") == F.col("_fp_b")) & (F.col("component_a") != F.col("component_b")))
-    return met.select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")).distinct()
+    index = placed.select("node", "component", "fp", F.explode(_variants(F.col("fp"), max_bits, F.col("tag"))).alias("signature"))
+
+    ordered = (F.col("a.node") < F.col("b.node")) & (F.col("a.component") != F.col("b.component"))
+
+    def met(index: DataFrame, *bounds: Column) -> DataFrame:
+        return _meeting(index, ordered, max_bits, *bounds).select(F.col("a.node").alias("a"), F.col("b.node").alias("b"))
+
+    if min_similarity is None:
+        return met(index).distinct()
+    by_chance = nodes.count() / 2 ** (BITS // len(segments_for(max_bits)) - 1)
+    hot = index.groupBy("signature").agg(F.count(F.lit(1)).alias("texts")).where(F.col("texts") > max(HOT_TEXTS, 8 * by_chance))
+    hot = small_side(hot.select("signature"))
+    sketches = nodes.select(F.col("node").alias("_node"), "size", "sketch")
+    warm = index.join(hot, "signature", "left_semi").join(sketches, F.col("node") == F.col("_node")).drop("_node")
+    differ = sum(F.bit_count(F.get("a.sketch", F.lit(k)).bitwiseXOR(F.get("b.sketch", F.lit(k)))) for k in range(SKETCH))
+    most = (F.col("a.size") + F.col("b.size")) * F.lit((1 - min_similarity) / (1 + min_similarity) + 1e-9)
+    return met(index.join(hot, "signature", "left_anti")).union(met(warm, differ <= most)).distinct()
 
 
 def similar_components(docs: DataFrame, nodes: DataFrame, max_bits: int, count: int, min_similarity: float) -> DataFrame:
     """(node, component) of the nodes that are linked: near by a fingerprint, and similar by shingles."""
     close = similar(checkpointed(stars(nodes, max_bits, count)), docs, nodes, min_similarity)
     found = components(close)
-    rest = similar(checkpointed(apart(nodes, found, max_bits)), docs, nodes, min_similarity)
+    rest = similar(checkpointed(apart(nodes, found, max_bits, min_similarity)), docs, nodes, min_similarity)
     return components(close.union(rest))
 
 
@@ -284,9 +336,12 @@ def keep_one(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX_BITS,
     without an id, or different texts with one id, don't stand for each other.
     """
     text = text_or_empty(F.col("text").cast("string"))
-    node = F.unhex(F.md5(text)) if min_similarity is not None else F.lit(None).cast("binary")
-    rows = docs.select(fingerprints(text, shingle, distinct, count).alias("fps"), node.alias("digest"), *[c.alias(k) for k, c in row_key(docs).items()])
-    grouped = rows.groupBy("fps", "digest").agg(F.min(F.struct(*ROW_KEY)).alias("first"))
+    key = [c.alias(k) for k, c in row_key(docs).items()]
+    if min_similarity is not None:
+        rows = docs.select(sketched(text, shingle, distinct, count).alias("_made"), F.unhex(F.md5(text)).alias("digest"), *key).select("_made.*", "digest", *ROW_KEY)
+        grouped = rows.groupBy("digest").agg(F.min(F.struct(*ROW_KEY)).alias("first"), *[F.first(c).alias(c) for c in ("fps", "size", "sketch")])
+    else:
+        grouped = docs.select(fingerprints(text, shingle, distinct, count).alias("fps"), *key).groupBy("fps").agg(F.min(F.struct(*ROW_KEY)).alias("first"))
     nodes = checkpointed(grouped.withColumn("node", F.monotonically_increasing_id()))
     if min_similarity is not None:
         found = similar_components(docs, nodes, max_bits, count, min_similarity)

@@ -121,3 +121,21 @@ def test_stages_take_effect_and_agree_with_brute_force(spark, tmp_path):
 def test_empty_tables(spark, tmp_path):
     write(spark, tmp_path, [], [])
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_sketches_lose_no_link(spark, monkeypatch):
+    rows = [t for _, t in near_corpus()][:260] + ["", "a b c", "A b C"]
+    sets = [simhash.shingle_hashes(t) for t in rows]
+    parity = [simhash.sketch_of(s).tolist() for s in sets]
+    for s, p in zip(sets, parity):
+        for t, q in zip(sets[:40], parity):
+            assert sum(((x ^ y) % 2**64).bit_count() for x, y in zip(p, q)) <= len(set(s.tolist()) ^ set(t.tolist()))
+    monkeypatch.setattr(simhash, "HOT_TEXTS", 1)  # every shared signature is hot, but for what chance gives
+    made = [(n, simhash.fingerprints_of(t, 1, True, 3), len(s), p) for n, (t, s, p) in enumerate(zip(rows, sets, parity))]
+    nodes = spark.createDataFrame(made, "node long, fps array<long>, size long, sketch array<long>")
+    alone = nodes.selectExpr("node", "node AS component")
+    near = {tuple(r) for r in simhash.apart(nodes, alone, 5).collect()}
+    left = {tuple(r) for r in simhash.apart(nodes, alone, 5, 0.8).collect()}
+    wanted = {(i, j) for j, y in enumerate(made) for i, x in enumerate(made[:j]) if any(((f ^ g) % 2**64).bit_count() <= 5 for f, g in zip(x[1], y[1]))}
+    alike = {(i, j) for i, j in wanted if len(set(sets[i]) & set(sets[j])) >= 0.8 * len(set(sets[i]) | set(sets[j]))}
+    assert near == wanted and alike <= left < near and len(alike) > 50
