@@ -59,8 +59,10 @@ def source_targets(
 
     Sources by code point, null last, take the weights in turn. share x all words are divided by weight; a target stops
     at max_repeat x its source's size and the excess is shared anew. The fixed point has a closed form: in ascending
-    order of limit / weight, a source is at its limit if the level reached by all the others from it on is no lower.
-    One row per source, so its windows are over a small summary.
+    order of limit / weight, with all sources before one at their limits, what is left for it and those after it reaches
+    a level. Levels rise as long as sources stop at their limits and fall from the first that doesn't, so that the
+    highest is the last one, and a source gets that level times its weight or its limit. Should the share be more than
+    all limits together, all sources are at their limits. One row per source, so its windows are over a small summary.
     """
     by_code = Window.orderBy(F.col("source").asc_nulls_last())
     turn = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), ((F.row_number().over(by_code) - 1) % len(weights) + 1).cast("int"))
@@ -68,10 +70,8 @@ def source_targets(
     up = Window.orderBy(F.col("_limit") / F.col("_w"), F.col("source").asc_nulls_last())
     everything = Window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     level = (F.lit(float(share)) * F.sum("source_size").over(everything) - F.coalesce(F.sum("_limit").over(up.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))) / F.sum("_w").over(up.rowsBetween(0, Window.unboundedFollowing))
-    levelled = ranked.withColumn("_reach", level).withColumn("_open", F.col("_limit") > F.col("_reach") * F.col("_w"))
-    final = F.min(F.when(F.col("_open"), F.col("_reach"))).over(everything)
-    target = F.when(F.col("_open"), F.least("_limit", F.col("_final") * F.col("_w"))).otherwise(F.col("_limit"))
-    return levelled.withColumn("_final", final).select("source", "source_size", target.alias("target"))
+    target = F.least("_limit", F.max("_reach").over(everything) * F.col("_w"))
+    return ranked.withColumn("_reach", level).select("source", "source_size", target.alias("target"))
 
 
 def plan(
@@ -132,36 +132,37 @@ def mix_report(docs: DataFrame, **options) -> DataFrame:
     )
 
 
-ORACLE_SQL = f"""
-WITH sized AS (
+#: Shares by rounds: whoever lies above its limit is fixed there, the others share what is left, until none is above.
+ORACLE_SQL = """
+WITH RECURSIVE sized AS (
   SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS BIGINT) AS size
   FROM documents
-), keyed AS (
-  SELECT *, length(bin(size)) AS lv, substr(bin(size), 1, 4) AS sublv,
-    CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, {HASH_BITS // 4}) AS BIGINT) AS spread
-  FROM sized
 ), sources AS (
   SELECT source, CAST(sum(size) AS BIGINT) AS source_size,
-    list_element([{", ".join(f"{w}.0::DOUBLE" for w in WEIGHTS)}], CAST((row_number() OVER (ORDER BY source NULLS LAST) - 1) % {len(WEIGHTS)} + 1 AS INTEGER)) AS w
-  FROM keyed GROUP BY source
-), levelled AS (
-  SELECT *, {float(MAX_REPEAT)}::DOUBLE * source_size AS lim,
-    ({SHARE}::DOUBLE * sum(source_size) OVER ()
-      - coalesce(sum({float(MAX_REPEAT)}::DOUBLE * source_size) OVER (ORDER BY {float(MAX_REPEAT)}::DOUBLE * source_size / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
-      / sum(w) OVER (ORDER BY {float(MAX_REPEAT)}::DOUBLE * source_size / w, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS reach
+    CASE (row_number() OVER (ORDER BY source NULLS LAST)) % 3 WHEN 1 THEN 3 WHEN 2 THEN 1 ELSE 2 END AS w
+  FROM sized GROUP BY source
+), rounds AS (
+  SELECT 0 AS round, source, source_size, w, false AS fixed, true AS changed,
+    1.5::DOUBLE * sum(source_size) OVER () / sum(w) OVER () AS level
   FROM sources
+  UNION ALL
+  SELECT round + 1, source, source_size, w, now_fixed, bool_or(now_fixed AND NOT fixed) OVER (),
+    (1.5::DOUBLE * sum(source_size) OVER () - coalesce(sum(2.0::DOUBLE * source_size) FILTER (now_fixed) OVER (), 0))
+      / nullif(sum(w) FILTER (NOT now_fixed) OVER (), 0)
+  FROM (SELECT *, fixed OR level * w > 2.0::DOUBLE * source_size AS now_fixed FROM rounds WHERE changed)
 ), targets AS (
-  SELECT source, source_size,
-    CASE WHEN lim > reach * w THEN least(lim, min(CASE WHEN lim > reach * w THEN reach END) OVER () * w) ELSE lim END AS target
-  FROM levelled
+  SELECT source, source_size, CASE WHEN fixed THEN 2.0::DOUBLE * source_size ELSE level * w END AS target
+  FROM rounds WHERE NOT changed
 ), ranked AS (
-  SELECT *, row_number() OVER (PARTITION BY source ORDER BY lv, sublv, spread, size, doc_id NULLS FIRST) AS k FROM keyed
+  SELECT *, row_number() OVER (PARTITION BY source ORDER BY length(bin(size)), substr(bin(size), 1, 4),
+      substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 6), size, doc_id NULLS FIRST) AS k
+  FROM sized
 ), joined AS (
   SELECT r.doc_id, r.size, t.source_size, t.target, r.k,
     CASE WHEN t.source_size > 0 THEN t.target / t.source_size ELSE 0 END AS step
   FROM ranked r JOIN targets t ON r.source IS NOT DISTINCT FROM t.source
 )
 SELECT doc_id, size, source_size, target,
-  CAST(size * least(floor(k * step + {offset_of(SEED)}::DOUBLE) - floor((k - 1) * step + {offset_of(SEED)}::DOUBLE), {MAX_REPEAT}) AS BIGINT) AS taken
+  CAST(size * least(floor(k * step + 0.841861358::DOUBLE) - floor((k - 1) * step + 0.841861358::DOUBLE), 2) AS BIGINT) AS taken
 FROM joined
 """

@@ -55,6 +55,51 @@ def test_mix(spark, rows):
     assert all(copies[r["doc_id"]] * r["size"] == again[r["doc_id"]] for r in got if r["doc_id"] not in (None, 601))
 
 
+def many_sources():
+    """Forty sources of very different sizes, most of which stay below their limits."""
+    rnd = random.Random(8)
+    return [(i, " ".join(["w"] * rnd.choice([1, 3, 9, 30])), "en", f"s{int(40 * rnd.random() ** 2):02}", 0, 1.0, "x") for i in range(3000)]
+
+
+def held_to_targets(got, rows):
+    """The words taken of each source lie near its target, and all targets together are one and a half times all words."""
+    sizes, taken = Counter(), Counter()
+    for r in rows:
+        sizes[r[3]] += len((r[1] or "").split())
+    want, source = targets(sizes), {r[0]: r[3] for r in rows}
+    for r in got:
+        assert r["target"] == pytest.approx(want[source[r["doc_id"]]]) and 0 <= r["taken"] <= 2 * r["size"]
+        taken[source[r["doc_id"]]] += r["taken"]
+    assert sum(want.values()) == pytest.approx(1.5 * sum(sizes.values())) and min(want.values()) > 0
+    assert sum(w < 2 * sizes[s] for s, w in want.items()) > 5
+    assert all(abs(taken[s] - w) <= 60 for s, w in want.items())
+
+
+def test_mix_of_many_sources(spark):
+    rows = many_sources()
+    docs = spark.createDataFrame(rows, DOCS)
+    held_to_targets(mixing.mix_report(docs).collect(), rows)
+    copies = Counter(r["doc_id"] for r in mixing.mix(docs).collect())
+    got = [{"doc_id": r[0], "target": 0, "size": len(r[1].split()), "taken": copies[r[0]] * len(r[1].split())} for r in rows]
+    planned = {r["doc_id"]: r for r in mixing.mix_report(docs).collect()}
+    held_to_targets([g | {"target": planned[g["doc_id"]]["target"]} for g in got], rows)
+    con = duckdb.connect()
+    con.register("documents", docs.select("doc_id", "text", "source").toArrow())
+    names = ["doc_id", "size", "source_size", "target", "taken"]
+    held_to_targets([dict(zip(names, r)) for r in con.execute(mixing.ORACLE_SQL).fetchall()], rows)
+
+
+@pytest.mark.parametrize("seed", range(8))
+def test_targets_by_rounds(spark, seed):
+    rnd = random.Random(seed)
+    sizes = {f"s{i}": rnd.choice([0, 1, 10, 1000, 10**9]) * rnd.randrange(1, 9) for i in range(rnd.choice([1, 2, 7, 40]))} | {None: 5}
+    got = mixing.source_targets(spark.createDataFrame(list(sizes.items()), "source string, source_size long")).collect()
+    want = targets(sizes)
+    assert {r["source"]: r["target"] for r in got} == {s: pytest.approx(w) for s, w in want.items()}
+    assert all(0 <= r["target"] <= 2 * r["source_size"] for r in got)
+    assert sum(r["target"] for r in got) == pytest.approx(1.5 * sum(sizes.values()))
+
+
 def test_mix_of_nothing(spark):
     assert mixing.mix_report(spark.createDataFrame([], DOCS)).count() == 0
     assert {r["target"] for r in mixing.mix_report(spark.createDataFrame([(1, "", "en", "a", 0, 1.0, "x"), (2, None, "en", None, 0, 1.0, "x")], DOCS)).collect()} == {0.0}

@@ -2,6 +2,7 @@ import random
 
 import corpus_pipeline
 from lexspark.llm import langid, quality, simhash
+from test_mixing_sharding_urls import targets
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -19,7 +20,7 @@ def corpus():
         text = " ".join(rnd.choice(words) for _ in range(rnd.choice([40, 90, 1500])))
         if i % 5 == 4:
             text = text.upper().replace(" ", "!! ")
-        rows.append((i, text, "en", rnd.choice(["a", "b"]), len(text)))
+        rows.append((i, text, "en", rnd.choice("abcdef"), len(text)))
         labels.append((i, int(i % 5 != 4), 0))
     copies = [(200 + k, rows[k % 3][1], "en", "a", 0) for k in range(60)]
     near = [(400 + k, rows[k][1].replace("the", "another", 1), "en", "b", 0) for k in range(40) if k % 5 != 4]
@@ -108,6 +109,10 @@ def test_stages_take_effect_and_agree_with_brute_force(spark, tmp_path):
             assert ids == survivors(before)
         if k == 3:
             assert set(ids) <= {r["doc_id"] for r in before} and max(ids.count(i) for i in ids) <= 2
+            words = lambda rows: {s: sum(len(r["text"].split()) for r in rows if r["source"] == s) for s in "abcdef"}
+            wanted, taken, longest = targets(words(before)), words(out.collect()), max(len(r["text"].split()) for r in before)
+            assert all(w > 0 and abs(taken[s] - w) <= 2 * longest for s, w in wanted.items())
+            assert abs(sum(taken.values()) - sum(wanted.values())) <= 3 * longest
         if k == 4:
             sizes = {}
             for r in out.collect():
