@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexspark.llm import fingerprints, langid, mixing, outliers, packing, quality, sharding, simhash, urlfilter, warc
+from lexspark.llm import audit, bpe, fingerprints, langid, mixing, outliers, packing, quality, runs, sharding, simhash, urlfilter, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -52,8 +52,23 @@ def op10_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return outliers.judge(_table(spark, sf_dir, "documents"))
 
 
+def op11_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.round_trip(_table(spark, sf_dir, "documents"))
+
+
+def op12_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.divergences(_table(spark, sf_dir, "documents"))
+
+
+def op13_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runs.report(_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_pack, op2_warc, op3_mix, op4_quality, op5_fingerprint, op6_simhash, op7_langid, op8_urls, op9_shard, op10_outliers)
+    for f in (
+        op1_pack, op2_warc, op3_mix, op4_quality, op5_fingerprint, op6_simhash, op7_langid, op8_urls, op9_shard, op10_outliers,
+        op11_bpe, op12_divergence, op13_runs,
+    )
 }
-ORACLE_SQL = {"op3_mix": mixing.ORACLE_SQL, "op8_urls": urlfilter.ORACLE_SQL}
+ORACLE_SQL = {"op3_mix": mixing.ORACLE_SQL, "op8_urls": urlfilter.ORACLE_SQL, "op12_divergence": audit.ORACLE_SQL}
