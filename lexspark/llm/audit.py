@@ -32,7 +32,7 @@ from lexspark.llm.common import bounded, checkpointed
 
 LEAST_DOCUMENTS, TOP_TERMS = 10, 10
 SCALE = 1_000_000_000
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 8 << 20
 CHUNK_TERMS, CHUNK_CELLS = 4096, 1 << 20
 
 _INSIDE = [b for b in range(256) if 0x41 <= b <= 0x5A or 0x61 <= b <= 0x7A or b >= 0x80]
@@ -42,26 +42,20 @@ _TERM_BYTES = bytes(ord(chr(b).lower()) if b < 0x80 else b for b in range(256)).
 COUNTED = "lang string, source string, term binary, count long, docs long"
 
 
-def _block_counts(groups: list[tuple[str, str]], texts: list[list[bytes]]) -> Iterator[pa.RecordBatch]:
+def _block_counts(groups: list[tuple[str, str]], texts: list[pa.Array]) -> Iterator[pa.RecordBatch]:
     """Per group of a block and term: how often it occurs there, and in how many documents."""
-    sizes = np.array([len(words) for words in texts], np.int64)
-    words = pa.array([w for own in texts for w in own], pa.binary()).dictionary_encode()
-    order = pc.sort_indices(words.dictionary)
-    terms = words.dictionary.take(order)
-    numbers = np.empty(len(order), np.int64)
-    numbers[np.asarray(order)] = np.arange(len(order))
-    ids = numbers[np.asarray(words.indices)]
-    known = {g: k for k, g in enumerate(dict.fromkeys(groups))}
-    group_of_doc = np.array([known[g] for g in groups], np.int64)
-    doc_of_word = np.repeat(np.arange(len(texts)), sizes)
-    group_of_word = group_of_doc[doc_of_word]
-    for (lang, source), k in known.items():
-        mine = group_of_word == k
-        own = ids[mine]
-        counts = np.bincount(own, minlength=len(terms))
-        # a term's first place in each document: sorted by document and number, equal neighbours are one
-        pairs = np.unique(doc_of_word[mine] * len(terms) + own)
-        docs = np.bincount(pairs % len(terms), minlength=len(terms)) if len(pairs) else counts
+    words = pa.concat_arrays(texts).dictionary_encode()
+    order = np.asarray(pc.sort_indices(words.dictionary))
+    terms = words.dictionary.take(pa.array(order))
+    numbers = np.empty(len(order), np.int32)
+    numbers[order] = np.arange(len(order), dtype=np.int32)
+    ends = np.cumsum([len(own) for own in texts])
+    own_ids: dict[tuple[str, str], list[np.ndarray]] = {}
+    for group, ids in zip(groups, np.split(numbers[np.asarray(words.indices)], ends[:-1]), strict=True):
+        own_ids.setdefault(group, []).append(ids)
+    for (lang, source), ids in own_ids.items():
+        counts = np.bincount(np.concatenate(ids), minlength=len(terms))
+        docs = np.bincount(np.concatenate([np.unique(own) for own in ids]), minlength=len(terms))
         there = np.nonzero(counts)[0]
         if len(there):
             columns = [pa.array([lang]).take(pa.array(np.zeros(len(there), np.int64))), pa.array([source]).take(pa.array(np.zeros(len(there), np.int64)))]
@@ -76,7 +70,7 @@ def _count_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         for lang, source, text in zip(langs, sources, batch.column(2), strict=True):
             raw = text.as_py()
             groups.append((lang, source))
-            texts.append(raw.translate(_TERM_BYTES).split())
+            texts.append(pa.array(raw.translate(_TERM_BYTES).split(), pa.binary()))
             size += len(raw)
             if size >= BLOCK_BYTES:
                 yield from _block_counts(groups, texts)
