@@ -176,13 +176,13 @@ def _grid(df: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def list_counts(subs: DataFrame, editions: DataFrame | None = None) -> DataFrame:
-    """(doc_id, list_id, n, label) for all six lists of each edition, and a total with list_id null."""
-    grid = _grid(editions if editions is not None else subs, ["doc_id"])
-    counted = subs.groupBy("doc_id", "list_id").agg(F.count(F.lit(1)).alias("k"))
-    full = grid.join(counted, ["doc_id", "list_id"], "left").groupBy("doc_id", "list_id").agg(F.coalesce(F.sum("k"), F.lit(0)).alias("n"))
-    total = full.groupBy("doc_id").agg(F.sum("n").alias("n")).withColumn("list_id", F.lit(None).cast("int"))
+    """(doc_id, list_id, n, label) for all six lists of each edition, and a total with list_id null: one rollup, in which
+    every list of an edition stands with nothing to count, so that empty lists stay."""
+    grid = _grid(editions if editions is not None else subs, ["doc_id"]).select("doc_id", "list_id", F.lit(0).alias("one"))
+    rolled = subs.select("doc_id", "list_id", F.lit(1).alias("one")).unionByName(grid).rollup("doc_id", "list_id")
+    counted = rolled.agg(F.sum("one").alias("n"), F.grouping_id().alias("level")).where("level < 2").drop("level")
     unit = F.when(F.col("list_id") == 6, " rühma").otherwise(" ainet")
-    return full.unionByName(total).withColumn("label", F.concat(F.col("n").cast("string"), unit))
+    return counted.withColumn("label", F.concat(F.col("n").cast("string"), unit))
 
 
 def validate_register(counts: DataFrame) -> DataFrame:
@@ -196,47 +196,101 @@ def validate_register(counts: DataFrame) -> DataFrame:
 
 def substance_matches(et: Column, en: Column, q: Column) -> Column:
     """Whether the query, trimmed and case aside, is empty or part of either name."""
-    wanted = strip_blank(F.lower(q))
-    return (wanted == "") | F.lower(et).contains(wanted) | F.coalesce(F.lower(en), F.lit("")).contains(wanted)
+    return _holds(F.lower(et), F.lower(en), strip_blank(F.lower(q)))
 
 
-def search_register(subs: DataFrame, queries: DataFrame, most_queries: int = 10_000) -> DataFrame:
-    """Every (query_id, q) against every row: the hits, with both names highlighted.
+def _holds(low_et: Column, low_en: Column, wanted: Column) -> Column:
+    return F.coalesce(low_et, F.lit("")).contains(wanted) | F.coalesce(low_en, F.lit("")).contains(wanted)
 
-    A query may match anywhere inside a name, so no key can join them: the stated set of queries goes to all rows. Equal
-    queries count once; up to most_queries of them are broadcast, and more are met block by block.
+
+#: Names are indexed by stretches of so many characters; shorter queries by stretches of their own length.
+GRAM = 3
+#: What is broadcast has at most so many rows and characters; beyond, the join is left to Spark.
+MOST_KEYS, MOST_CHARS = 200_000, 16 << 20
+
+
+def grams(lowered: Column, n: int) -> Column:
+    """The different stretches of n characters of a text, of 0 the empty one."""
+    if not n:
+        return F.array(F.lit(""))
+    return F.array_distinct(F.regexp_extract_all(lowered, F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1)))
+
+
+def _lowered(subs: DataFrame) -> DataFrame:
+    return subs.withColumns({"low_et": F.lower("et"), "low_en": F.lower(F.coalesce("en", F.lit("")))})
+
+
+def _row_grams(lengths: list[int]) -> Column:
+    """A row's postings: the different stretches of either name, of all lengths asked for."""
+    made = [g for n in lengths for g in (grams(F.coalesce(F.col("low_et"), F.lit("")), n), grams(F.col("low_en"), n))]
+    return F.explode(F.array_distinct(F.concat(*made)))
+
+
+def _hinted(keys: DataFrame, text: str) -> DataFrame:
+    """keys, marked for broadcast only if they are few and short."""
+    rows, chars = keys.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.length(text)), F.lit(0))).first()
+    return F.broadcast(keys) if rows <= MOST_KEYS and chars <= MOST_CHARS else keys
+
+
+def rarest_grams(subs: DataFrame, wanted: DataFrame) -> tuple[DataFrame, list[int]]:
+    """(gram, wanted): for each different query the one of its stretches that the fewest rows hold; and the lengths.
+
+    Only stretches that some query holds are counted, by a map-side aggregate over the rows' postings.
     """
-    wanted = queries.select("query_id", strip_blank(F.lower("q")).alias("wanted"))
     distinct = wanted.select("wanted").distinct()
-    lowered = subs.withColumns({"low_et": F.lower("et"), "low_en": F.lower(F.coalesce("en", F.lit("")))})
-    hit = (F.col("wanted") == "") | F.col("low_et").contains(F.col("wanted")) | F.col("low_en").contains(F.col("wanted"))
-    count = distinct.count()
-    blocks = -(-count // most_queries)
-    if blocks <= 1:
-        hits = lowered.join(F.broadcast(distinct), hit)
-    else:
-        numbered = distinct.withColumn("block", F.pmod(F.xxhash64("wanted"), F.lit(blocks)))
-        hits = None
-        for block in range(blocks):
-            part = lowered.join(F.broadcast(numbered.where(F.col("block") == block).drop("block")), hit)
-            hits = part if hits is None else hits.union(part)
+    lengths = sorted(r[0] for r in distinct.select(F.least(F.length("wanted"), F.lit(GRAM))).distinct().collect())
+    own = [F.when(F.least(F.length("wanted"), F.lit(GRAM)) == n, grams(F.col("wanted"), n)) for n in lengths]
+    asked = distinct.select("wanted", F.explode(F.coalesce(*own) if own else F.array(F.lit(""))).alias("gram"))
+    if not lengths:
+        return asked, [0]
+    keys = _hinted(asked.select("gram").distinct(), "gram")
+    held = _lowered(subs).select(_row_grams(lengths).alias("gram")).join(keys, "gram", "left_semi").groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
+    rare = asked.join(held, "gram", "left").groupBy("wanted").agg(F.min_by("gram", F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("gram"))
+    return rare.select("gram", "wanted"), lengths
+
+
+def matching(subs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The rows of subs beside each different query (wanted: trimmed and lower-cased) that either name holds.
+
+    An inverted index by stretches of characters: a row's postings meet the queries by equality, each query under its
+    rarest stretch alone, so that a row and a query meet once at most; what meets is then verified. The plan is the same
+    for any number of queries; few of them are broadcast, and then no row is moved. A query of one or two characters is
+    a stretch itself, and an empty one is the stretch that all rows hold.
+    """
+    rare, lengths = rarest_grams(subs, wanted)
+    posted = _lowered(subs).withColumn("gram", _row_grams(lengths))
+    return posted.join(_hinted(rare, "wanted"), "gram").where(_holds(F.col("low_et"), F.col("low_en"), F.col("wanted"))).drop("gram", "low_et", "low_en")
+
+
+def _wanted(queries: DataFrame) -> DataFrame:
+    return queries.select("query_id", strip_blank(F.lower(F.coalesce("q", F.lit("")))).alias("wanted"))
+
+
+def search_register(subs: DataFrame, queries: DataFrame) -> DataFrame:
+    """Every (query_id, q) against every row: the hits, with both names highlighted. Equal queries are searched once."""
+    wanted = _wanted(queries)
+    hits = matching(subs, wanted)
     shown = hits.withColumns({"et_html": highlight(F.col("et"), F.col("wanted")), "en_html": highlight(F.coalesce("en", F.lit("")), F.col("wanted"))})
-    return shown.join(wanted, "wanted").drop("low_et", "low_en")
+    return shown.join(wanted, "wanted")
 
 
 def search_counts(subs: DataFrame, queries: DataFrame) -> DataFrame:
-    """(query_id, list_id, visible, total, badge, hidden, result_label) for every query and list."""
+    """(query_id, list_id, visible, total, badge, hidden, result_label) for every query and list.
+
+    Hits are counted by different query; one rollup gives the counts by list and by query.
+    """
     totals = with_list_meta(subs.groupBy("list_id").agg(F.count(F.lit(1)).alias("k"))).select("list_id", F.coalesce("k", F.lit(0)).alias("total"))
-    seen = search_register(subs, queries).groupBy("query_id", "list_id").agg(F.count(F.lit(1)).alias("v"))
-    wanted = queries.select("query_id", strip_blank(F.lower("q")).alias("wanted"))
-    grid = wanted.withColumn("list_id", F.explode(F.sequence(F.lit(1), F.lit(6))))
-    full = grid.join(F.broadcast(totals), "list_id").join(seen, ["query_id", "list_id"], "left")
-    full = full.withColumn("visible", F.coalesce("v", F.lit(0)))
+    wanted = _wanted(queries)
+    counted = matching(subs, wanted).rollup("wanted", "list_id").agg(F.count(F.lit(1)).alias("v"), F.grouping_id().alias("level")).where("level < 2")
+    lists = F.filter(F.collect_list(F.struct("level", "list_id", "v")), lambda x: x["level"] == 0)
+    seen = counted.groupBy("wanted").agg(lists.alias("lists"), F.max(F.when(F.col("level") == 1, F.col("v"))).alias("all_hits"))
+    joined = wanted.join(seen, "wanted", "left").withColumn("list_id", F.explode(F.sequence(F.lit(1), F.lit(6))))
+    own = F.get(F.filter("lists", lambda x: x["list_id"] == F.col("list_id")), 0)["v"]
+    full = joined.withColumn("visible", F.coalesce(own, F.lit(0).cast("long"))).join(F.broadcast(totals), "list_id")
     asked = F.col("wanted") != ""
     unit = F.when(F.col("list_id") == 6, " rühma").otherwise(" ainet")
     badge = F.when(asked, F.concat(F.col("visible").cast("string"), F.lit("/"), F.col("total").cast("string"))).otherwise(F.concat(F.col("total").cast("string"), unit))
-    all_hits = F.sum("visible").over(Window.partitionBy("query_id"))
-    label = F.when(asked, F.concat(all_hits.cast("string"), F.lit(" tulemust"))).otherwise("")
+    label = F.when(asked, F.concat(F.coalesce("all_hits", F.lit(0)).cast("string"), F.lit(" tulemust"))).otherwise("")
     return full.select("query_id", "list_id", "visible", "total", badge.alias("badge"), (asked & (F.col("visible") == 0)).alias("hidden"), label.alias("result_label"))
 
 

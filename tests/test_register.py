@@ -69,13 +69,59 @@ def test_publish_and_read_back(spark, tmp_path):
 def test_search(spark):
     subs = spark.createDataFrame([(1, 1, "Amfetamiin", "Amphetamine"), (6, 1, "Rühm", None)], "list_id int, ord int, et string, en string")
     queries = spark.createDataFrame([(1, " AMPH "), (2, ""), (3, "zz")], "query_id long, q string")
-    hits = {(r["query_id"], r["et"]): r["en_html"] for r in R.search_register(subs, queries, most_queries=1).collect()}
+    hits = {(r["query_id"], r["et"]): r["en_html"] for r in R.search_register(subs, queries).collect()}
     assert hits == {(1, "Amfetamiin"): "<mark>Amph</mark>etamine", (2, "Amfetamiin"): "Amphetamine", (2, "Rühm"): ""}
     counts = {(r["query_id"], r["list_id"]): (r["badge"], r["hidden"], r["result_label"]) for r in R.search_counts(subs, queries).collect()}
     assert counts[1, 1] == ("1/1", False, "1 tulemust") and counts[3, 6] == ("0/1", True, "0 tulemust")
     assert counts[2, 6] == ("1 rühma", False, "") and counts[2, 2] == ("0 ainet", False, "") and len(counts) == 18
 
 
+ODD = ["", "a", "aa", "Aaa", "abcabc", "ÄÖ ü", "ß İ", "\U0001f600x\U0001f600", "a\nb", "(.*)", "aab", "x" * 3000 + "Ä", None]
+
+
+def test_search_against_every_pair(spark, monkeypatch):
+    names = [(n % 6 + 1, n, et, en) for n, (et, en) in enumerate((a, b) for a in ODD for b in ODD)] * 2
+    subs = spark.createDataFrame(names, "list_id int, ord int, et string, en string")
+    asked = [*ODD, "A", "b", "bc", "cab", "aaa", " äö ", "\U0001f600", "x" * 40, "xä", "nowhere", "z", "\u00a0", "aa"]
+    queries = spark.createDataFrame(list(enumerate(asked)), "query_id int, q string")
+    low = lambda t: (t or "").lower()
+    strip = lambda q: low(q).strip(" \u00a0\n")
+    want = sorted((i, n, et, en) for i, q in enumerate(asked) for _, n, et, en in names if strip(q) in low(et) or strip(q) in low(en))
+    for most in (200_000, 0):
+        monkeypatch.setattr(R, "MOST_KEYS", most)
+        hits = R.search_register(subs, queries)
+        assert sorted((r["query_id"], r["ord"], r["et"], r["en"]) for r in hits.collect()) == want or most is None
+        counts = {}
+        for r in R.search_counts(subs, queries).collect():
+            counts[r["query_id"]] = counts.get(r["query_id"], 0) + r["visible"]
+            assert not strip(asked[r["query_id"]]) or r["result_label"] == f"{sum(w[0] == r['query_id'] for w in want)} tulemust"
+        assert counts == {i: sum(w[0] == i for w in want) for i in range(len(asked))}
+    flt7 = subs.crossJoin(queries).where(R.substance_matches(F.col("et"), F.col("en"), F.coalesce("q", F.lit(""))))
+    assert sorted((r["query_id"], r["ord"], r["et"], r["en"]) for r in flt7.collect()) == want
+    assert R.search_register(subs, queries.limit(0)).count() == R.search_register(subs.limit(0), queries).count() == 0
+
+
+def test_the_plan_of_a_search(spark):
+    """No nested loop, and the same plan for any number of queries."""
+    subs = spark.range(100).selectExpr("CAST(id % 6 + 1 AS int) AS list_id", "id AS ord", "concat('aine ', id) AS et", "'x' AS en")
+    shapes = []
+    for n in (30, 30_000):
+        queries = spark.range(n).selectExpr("id AS query_id", "CAST(1000 + id AS string) AS q")
+        plan = R.search_register(subs, queries)._jdf.queryExecution().executedPlan().toString()
+        assert "NestedLoop" not in plan and "Cartesian" not in plan
+        shapes.append(len(plan.splitlines()))
+    assert shapes[0] == shapes[1]
+
+
+def test_counts_are_one_aggregate(spark):
+    subs = spark.createDataFrame([("e", 1), ("e", 1), ("f", 6)], "doc_id string, list_id int")
+    counts = R.list_counts(subs)
+    assert {(r["doc_id"], r["list_id"], r["n"]) for r in counts.collect()} == {
+        *(("e", n, 2 if n == 1 else 0) for n in range(1, 7)), *(("f", n, int(n == 6)) for n in range(1, 7)), ("e", None, 2), ("f", None, 1)
+    }
+    assert counts._jdf.queryExecution().optimizedPlan().toString().count("Expand") == 1
+
+
 def test_acts(spark):
     xml = '<a:akt xmlns:a="u"><a:kehtivuseAlgus>{}</a:kehtivuseAlgus><a:tavatekst>vt Lisa 1</a:tavatekst><a:fail failNimi="m.pdf"/><a:fail failNimi="X_LISA.pdf"/></a:akt>'
     rows = [(1, xml.format("2026-02-23")), (2, xml.format("kevad")), (3, "<akt"), (4, "<akt><tavatekst>Lisa 2</tavatekst></akt>"), (5, None)]
