@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from lexspark.functions import amounts as A
-from lexspark.jobs.publish import publish_if_changed
+from lexspark.jobs.publish import ORDER, publish_if_changed
 
 TOLERANCE = 10
 WEEK_MS = 7 * 24 * 3600 * 1000
@@ -75,11 +75,15 @@ def stream_carry_exclusions(stream: DataFrame, mode: str = "eur", idle_ms: int |
     return cut.groupBy("doc_id").applyInPandasWithState(follow, EXCLUDED, STATE, "append", timeout)
 
 
-def stream_publish(stream: DataFrame, path: str, checkpoint: str):
-    """A query that publishes arriving registers (doc_id, meta, lists) whenever their content differs from what is out."""
+def stream_publish(stream: DataFrame, path: str, checkpoint: str, order: str = ORDER):
+    """A query that publishes arriving registers (doc_id, meta, lists) whenever their content differs from what is out.
 
-    def publish(batch: DataFrame, _: int) -> None:
+    Of several revisions in a batch the last by `order` counts. Each version names its batch, under the checkpoint's name,
+    so that a batch replayed after a failure is published once.
+    """
+
+    def publish(batch: DataFrame, number: int) -> None:
         if not batch.isEmpty():
-            publish_if_changed(batch, path)
+            publish_if_changed(batch, path, order, (checkpoint, number))
 
     return stream.writeStream.foreachBatch(publish).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
