@@ -6,8 +6,10 @@ has one last token, and the tokens of a word can be read off from left to right
 the trie of all tokens: a reading stands at a node of the trie, after the tokens it has taken, and may take the token it
 stands at if that token can follow the last one. `Transducer` makes it deterministic as words ask for it: a state is the
 set of the readings that are still possible, each with the tokens that not all of them share; what all share is emitted.
-Readings part for no longer than the longest token, which bounds the lookahead. States and transitions are kept up to
-`MAX_STATES`; then the table is emptied and grows anew, so memory is bounded and results are the same.
+Readings part for no longer than the longest token, which bounds the lookahead. A transition is made when it is asked for
+the second time; a word that asks for one the first time is read by the nondeterministic transducer itself. States and
+transitions are kept up to `MAX_STATES`; then the table is emptied and grows anew, so memory is bounded. Results are the
+same either way.
 
 `Decoder` takes ids as they come. Its state is the beginning of a character that the last token left open, and what a
 token adds in a state is worked out once. Bytes that are no UTF-8 become U+FFFD, one for each longest valid beginning.
@@ -36,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 MAX_STATES = 400_000
-MAX_WORDS = 200_000
+MAX_WORDS = 300_000
 PART_CHARS = 1 << 20
 
 
@@ -87,6 +89,8 @@ class Transducer:
         self.ends = array("i")
         #: state * 256 + byte: the next state, and in the lower bits the number of what is emitted on the way
         self.moves: dict[int, int] = {}
+        #: those asked for once
+        self.asked: set[int] = set()
         self.emitted: dict[tuple[int, ...], int] = {(): 0}
         self.emissions: list[tuple[int, ...]] = [()]
         self.pairs: dict[int, bool] = {}
@@ -150,15 +154,42 @@ class Transducer:
         move = self.moves[state << 8 | byte] = self._number(after, shared) << 32 | self._emission(first[1:shared])
         return move
 
+    def _read(self, word: bytes) -> list[int]:
+        """By the nondeterministic transducer: each beginning's last token is the longest that ends there and can follow."""
+        children, token_at, pairs, size = self.children, self.token_at, self.pairs, len(word)
+        last = [-1] * (size + 1)
+        for begin in range(size):
+            before, node, end = last[begin] << 32, 0, begin
+            while end < size:
+                node = children[node].get(word[end])
+                if node is None:
+                    break
+                end += 1
+                token = token_at[node]
+                if token >= 0 and last[end] < 0 and (not begin or (pairs[before | token] if before | token in pairs else self.follows(before >> 32, token))):
+                    last[end] = token
+            if last[begin + 1] < 0:
+                raise ValueError(f"the vocabulary has no token for byte {word[begin]}")
+        out, end = [], size
+        while end:
+            out.append(last[end])
+            end -= len(self.bytes_of[last[end]])
+        return out[::-1]
+
     def encode(self, word: bytes) -> list[int]:
         if word in self.unmade:
             return [self.ranks[word]]
-        if len(self.readings) > self.max_states or len(self.pairs) > 4 * self.max_states:
+        if len(self.readings) > self.max_states or len(self.asked) > 4 * self.max_states or len(self.pairs) > 4 * self.max_states:
             self._empty()
         state, out, moves = 0, [], self.moves
         for byte in word:
-            move = moves.get(state << 8 | byte)
+            key = state << 8 | byte
+            move = moves.get(key)
             if move is None:
+                if key not in self.asked:
+                    self.asked.add(key)
+                    return self._read(word)
+                self.asked.discard(key)
                 move = self._move(state, byte)
             state = move >> 32
             if move & 0xFFFFFFFF:
@@ -231,17 +262,22 @@ class Decoder:
 
 
 class _Kept(dict):
-    """Values of a function by its argument."""
+    """Values of a function by its argument; of those not asked for lately, the oldest go."""
 
     def __init__(self, function: Callable):
         self.function = function
+        self.before: dict = {}
 
     def __missing__(self, key):
-        value = self[key] = self.function(key)
+        value = self.before.get(key)
+        if value is None:
+            value = self.function(key)
+        self[key] = value
         return value
 
     def bound(self, most: int) -> None:
         if len(self) > most:
+            self.before = dict(self)
             self.clear()
 
 
@@ -276,7 +312,7 @@ class Codec:
         spaces are all such is cut at them, and what follows each is looked up."""
         out = []
         for part in self.parts(text):
-            self.words.bound(MAX_WORDS)
+            self.words.bound(MAX_WORDS // 2)
             self.spaced.bound(MAX_WORDS)
             if self.blank_then_space(part):
                 out.append(self.packed(part))

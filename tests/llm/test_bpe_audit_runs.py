@@ -82,9 +82,11 @@ def test_decoding_bytes_as_they_come():
     for _ in range(3000):
         ids = [rnd.choice([rnd.randrange(258), rnd.choice([0xC3, 0xA9, 0xE0, 0xA0, 0xED, 0x9F, 0xF0, 0x90, 0xF4, 0x8F, 256, 257])]) for _ in range(rnd.randrange(9))]
         decoder, incremental = bpe.Decoder(bytes_of), codecs.getincrementaldecoder("utf-8")("replace")
-        for i in ids:  # whatever is complete comes at once
-            assert decoder.feed([i]) == incremental.decode(bytes_of[i])
-        assert decoder.finish() == incremental.decode(b"", True)
+        ours = theirs = ""
+        for i in ids:  # whatever is complete comes at once, no later than from the library's decoder
+            ours, theirs = ours + decoder.feed([i]), theirs + incremental.decode(bytes_of[i])
+            assert ours.startswith(theirs)
+        assert ours + decoder.finish() == theirs + incremental.decode(b"", True)
         assert decoder.feed(ids) + decoder.finish() == b"".join(bytes_of[i] for i in ids).decode("utf-8", "replace")
 
 
@@ -232,7 +234,7 @@ def test_report_and_collapse(spark):
             p = 1 + (n - a) // (3 + g % 8)
             words = [w if i < a else words[a + (i - a) % p] for i, w in enumerate(words)]
             planted += 1
-        found = plain_runs(words) if len(words) < 9000 else runs.runs_of(words)
+        found = plain_runs(words) if len(words) < 9000 else runs.runs_of([words.index(w) for w in words])
         best = sorted(found, key=lambda x: (-x[1], x[0], x[2]))[0] if found else (None,) * 3
         dropped = {i for s, m, q in found for i in range(s + q, s + m)}
         digests = ["".join(f"{s},{m},{q}\n" for s, m, q in found), " ".join(w for i, w in enumerate(words) if i not in dropped)]
