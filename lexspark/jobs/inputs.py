@@ -242,3 +242,21 @@ def search_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     terms = part.select(F.concat(F.lit(" "), F.lower("p_type")).alias("q")).union(part.select(F.concat(F.upper("p_brand"), F.lit("\u00a0")).alias("q"))).distinct()
     fixed = part.sparkSession.createDataFrame([("zzz",), ("  ",)], "q string")
     return terms.union(fixed).select(F.crc32("q").alias("query_id"), "q")
+
+
+def act_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(act_id, body, xml): what the register of acts answers for each order, with some revisions missing, some documents
+    broken, and dates and names in several forms."""
+    k, d = F.col("o_orderkey"), F.to_date("o_orderdate")
+    key = k.cast("string")
+    body = F.when(k % 10 == 0, F.lit('{"kehtivRedaktsioon": 0}')).otherwise(F.concat(F.lit('{"kehtivRedaktsioon": '), key, F.lit("}")))
+    date = F.when(k % 4 == 1, F.concat(F.lit("alates "), F.date_format(d, "dd.MM.yyyy"))).otherwise(F.date_format(d, "yyyy-MM-dd"))
+    prefix = F.when(k % 4 == 2, F.lit("a:")).otherwise(F.lit(""))
+    space = F.when(k % 4 == 2, F.lit(' xmlns:a="urn:akt"')).otherwise(F.lit(""))
+    named = F.when(k % 5 == 0, F.lit("Lisa 2")).otherwise(F.lit("vt Lisa 1"))
+    xml = F.concat(
+        F.lit("<"), prefix, F.lit("akt"), space, F.lit("><"), prefix, F.lit("kehtivuseAlgus> "), date, F.lit(" </"), prefix, F.lit("kehtivuseAlgus><"), prefix, F.lit("tavatekst>"), named,
+        F.lit("</"), prefix, F.lit("tavatekst><"), prefix, F.lit('fail failNimi="muu.pdf"/><'), prefix, F.lit('fail failNimi="'), key, F.lit('_LISA_1.pdf"/></'), prefix, F.lit("akt"),
+        F.when(k % 4 == 3, F.lit("")).otherwise(F.lit(">")),
+    )
+    return table(spark, sf_dir, "orders").select(k.alias("act_id"), body.alias("body"), xml.alias("xml"))

@@ -16,6 +16,7 @@ from lexspark.operators import amounts as A
 from lexspark.operators import people as P
 from lexspark.operators import register as R
 from lexspark.sources import acts
+from lexspark.sources.bundles import ActBundles
 from lexspark.sources.documents import read_documents, read_register
 from lexspark.sources.folders import shared_dir
 from lexspark.streaming import amounts as S
@@ -392,26 +393,34 @@ def cell_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("row_id", R.list_header(joined).alias("header"), R.is_boilerplate(joined).alias("boilerplate"), said["kind"].alias("kind"), F.when(F.col("row_id") % 6 == 2, said["et"]).alias("et"))
 
 
-@query(f"""WITH t AS (SELECT o_orderkey AS k, CAST(o_orderdate AS DATE) AS d FROM orders)
+_ACTS_SQL = """WITH t AS (SELECT o_orderkey AS k, CAST(o_orderdate AS DATE) AS d FROM orders)
 SELECT k AS act_id, CASE WHEN k % 10 <> 0 THEN 'https://www.riigiteataja.ee/public-api/api/v1/akt/' || k || '/blob-xml' END AS blob_url, CASE WHEN k % 10 = 0 THEN 'kehtivRedaktsioon puudub' END AS error,
   CASE WHEN k % 4 <> 3 AND k % 5 <> 0 THEN 'https://www.riigiteataja.ee/aktilisa/1110/8202/6010/' || k || '_LISA_1.pdf' END AS annex_url,
   CASE WHEN k % 4 = 3 THEN 'XML parsimine ebaõnnestus' WHEN k % 5 = 0 THEN 'Lisa 1 linki ei leitud' END AS annex_error,
-  CASE k % 4 WHEN 0 THEN strftime(d, '%d.%m.%Y') WHEN 1 THEN 'alates ' || strftime(d, '%d.%m.%Y') WHEN 2 THEN strftime(d, '%d.%m.%Y') END AS effective_date FROM t""")
+  CASE k % 4 WHEN 0 THEN strftime(d, '%d.%m.%Y') WHEN 1 THEN 'alates ' || strftime(d, '%d.%m.%Y') WHEN 2 THEN strftime(d, '%d.%m.%Y') END AS effective_date FROM t"""
+
+
+@query(_ACTS_SQL)
 def act_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    k, d = F.col("o_orderkey"), F.to_date("o_orderdate")
-    key = k.cast("string")
-    body = F.when(k % 10 == 0, F.lit('{"kehtivRedaktsioon": 0}')).otherwise(F.concat(F.lit('{"kehtivRedaktsioon": '), key, F.lit("}")))
-    date = F.when(k % 4 == 1, F.concat(F.lit("alates "), F.date_format(d, "dd.MM.yyyy"))).otherwise(F.date_format(d, "yyyy-MM-dd"))
-    prefix = F.when(k % 4 == 2, F.lit("a:")).otherwise(F.lit(""))
-    space = F.when(k % 4 == 2, F.lit(' xmlns:a="urn:akt"')).otherwise(F.lit(""))
-    named = F.when(k % 5 == 0, F.lit("Lisa 2")).otherwise(F.lit("vt Lisa 1"))
-    xml = F.concat(
-        F.lit("<"), prefix, F.lit("akt"), space, F.lit("><"), prefix, F.lit("kehtivuseAlgus> "), date, F.lit(" </"), prefix, F.lit("kehtivuseAlgus><"), prefix, F.lit("tavatekst>"), named,
-        F.lit("</"), prefix, F.lit("tavatekst><"), prefix, F.lit('fail failNimi="muu.pdf"/><'), prefix, F.lit('fail failNimi="'), key, F.lit('_LISA_1.pdf"/></'), prefix, F.lit("akt"),
-        F.when(k % 4 == 3, F.lit("")).otherwise(F.lit(">")),
-    )
-    rows = N.table(spark, sf_dir, "orders").select(k.alias("act_id"), body.alias("body"), xml.alias("xml"))
-    found = acts.act_facts(acts.resolve_revision(rows))
+    found = acts.act_facts(acts.resolve_revision(N.act_bodies(spark, sf_dir)))
+    return found.select("act_id", "blob_url", "error", "annex_url", "annex_error", "effective_date")
+
+
+def _bundled(spark: SparkSession, sf_dir: str) -> str:
+    """A folder of the acts' responses in bundles."""
+    spark.dataSource.register(ActBundles)
+    folder = f"{shared_dir(spark)}/acts-{uuid.uuid4()}"
+    said = F.explode(F.map_from_arrays(F.array(F.lit("revision"), F.lit("xml")), F.array("body", "xml"))).alias("kind", "body")
+    N.act_bodies(spark, sf_dir).select("act_id", said).write.format("act_bundles").mode("append").save(folder)
+    return folder
+
+
+@query(_ACTS_SQL)
+def archived_acts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Acts whose responses were written to bundles and are read from there by ranges of files."""
+    read = spark.read.format("act_bundles").option("range_bytes", 1 << 20).load(_bundled(spark, sf_dir))
+    of = lambda kind: F.max(F.when(F.col("kind") == kind, F.col("body"))).alias({"revision": "body"}.get(kind, kind))
+    found = acts.act_facts(acts.resolve_revision(read.groupBy("act_id").agg(of("revision"), of("xml"))))
     return found.select("act_id", "blob_url", "error", "annex_url", "annex_error", "effective_date")
 
 
@@ -439,6 +448,13 @@ def streamed_amounts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _drained(S.stream_amounts(_streamed(N.invoice_texts(spark, sf_dir)))).drop("raw")
 
 
+@query(f"SELECT act_id, annex_url, annex_error, effective_date FROM ({_ACTS_SQL})")
+def streamed_acts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What act documents say as their bundles arrive."""
+    stream = spark.readStream.format("act_bundles").load(_bundled(spark, sf_dir)).where("kind = 'xml'").withColumnRenamed("body", "xml")
+    return _drained(acts.act_facts(stream).select("act_id", "annex_url", "annex_error", "effective_date"))
+
+
 @query(f"""WITH {N.LINES_SQL}, {N.PLAIN_SQL}, revised AS (SELECT *, pos + CAST(9 + doc_id % 4 AS INTEGER) AS now FROM offsets)
 SELECT doc_id, 0 AS revision, ord, raw, pos AS index FROM offsets WHERE line % 3 = 0 UNION ALL
 SELECT doc_id, 1 AS revision, ord, raw, now AS index FROM revised r WHERE EXISTS (SELECT 1 FROM offsets o WHERE o.doc_id = r.doc_id AND o.line % 3 = 0 AND o.raw = r.raw AND abs(o.pos - r.now) <= 10)""")

@@ -20,13 +20,16 @@ BROKEN = "XML parsimine ebaõnnestus"
 
 
 def resolve_revision(df: DataFrame, body: str = "body") -> DataFrame:
-    """df with blob_url, the address of the revision in force, or error where the response names none."""
+    """df with blob_url, the address of the revision in force, or error where the response names none: the number zero and
+    other empty values name none, any text that isn't empty does."""
     named = F.get_json_object(F.col(body), "$.kehtivRedaktsioon")
-    there = ~F.coalesce(named, F.lit("")).isin("", "0", "0.0", "false", "null", "[]", "{}")
-    return df.withColumns({
-        "blob_url": F.when(there, F.concat(F.lit(ACT), named, F.lit("/blob-xml"))),
-        "error": F.when(~there, NO_REVISION),
-    })
+    kind = F.schema_of_variant(F.try_variant_get(F.try_parse_json(F.col(body)), "$.kehtivRedaktsioon", "variant"))
+    text = F.coalesce(named, F.lit(""))
+    there = (text != "") & ((kind == "STRING") | ~text.isin("0", "0.0", "-0", "-0.0", "false", "null", "[]", "{}"))
+    return df.withColumn("_there", F.coalesce(there, F.lit(False))).withColumns({
+        "blob_url": F.when(F.col("_there"), F.concat(F.lit(ACT), named, F.lit("/blob-xml"))),
+        "error": F.when(~F.col("_there"), NO_REVISION),
+    }).drop("_there")
 
 
 def well_formed(xml: Column) -> Column:
@@ -36,29 +39,37 @@ def well_formed(xml: Column) -> Column:
     return xml.isNotNull() & parsed.isNotNull() & parsed["_corrupt"].isNull()
 
 
+#: Parts what the one path returns; no XML document can hold it.
+PART = "\x1e"
+
+
+def _facts_path() -> str:
+    """One path for all that is asked of a document: whether a paragraph names the first annex, the first file with 'lisa'
+    in its name wherever it stands, whether there is a date, and the date. An element's text is what stands before its
+    first child; prefixes are no part of its name."""
+    named = lambda part: f"//*[contains(local-name(),'{part}')]"
+    text = "text()[not(preceding-sibling::*)][1]"
+    annex = f"{named('tavatekst')}[contains({text},'Lisa 1')]"
+    file = f"({named('fail')}/@failNimi[contains(translate(.,'LISA','lisa'),'lisa')])[1]"
+    date = f"({named('kehtivuseAlgus')}[{text}])[1]/{text}"
+    return f"concat(boolean({annex}),'{PART}',string({file}),'{PART}',boolean({date}),'{PART}',string({date}))"
+
+
 def act_facts(df: DataFrame, xml_col: str = "xml") -> DataFrame:
-    """df with annex_url and annex_error, and effective_date. Each is a column of its own before another looks at it, so
-    that a document is checked once and each path is followed once.
+    """df with annex_url and annex_error, and effective_date. A document is checked once and read by one path.
 
-    The annex: some paragraph names the first annex, and the first file of the document whose name has 'lisa' in it is
-    taken, wherever it stands. The date reads DD.MM.YYYY; one written otherwise stays as it is; null without one.
+    The annex's address is a fixed path and the file's name, whatever the name looks like. The date reads DD.MM.YYYY; one
+    written otherwise stays as it is, a blank one is empty; null without one.
     """
     xml = F.col(xml_col)
-    checked = df.withColumn("_fine", well_formed(xml))
-    where_fine = lambda c: F.when(F.col("_fine"), c)
-    read = checked.withColumns({
-        "_named": where_fine(F.xpath_boolean(xml, F.lit("//*[contains(name(),'tavatekst')][contains(node()[1][self::text()],'Lisa 1')]"))),
-        "_files": where_fine(F.xpath(xml, F.lit("//*[contains(name(),'fail')]/@failNimi"))),
-        "_date": where_fine(F.xpath_string(xml, F.lit("(//*[contains(name(),'kehtivuseAlgus')][node()[1][self::text()]])[1]/text()[1]"))),
-    })
-    cleaned = read.withColumns({"_file": F.get(F.filter("_files", lambda f: F.lower(f).contains("lisa")), 0), "_written": F.nullif(strip_blank(F.col("_date")), F.lit(""))})
-    first, written = F.col("_file"), F.col("_written")
-    url = F.when(F.col("_named") & first.isNotNull(), F.when(first.rlike("^[a-z]+://"), first).otherwise(F.concat(F.lit(ANNEX), first)))
-    iso = F.when(written.rlike("^[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}$"), F.try_to_date(written, "y-M-d"))
-    found = cleaned.withColumns({"annex_url": url, "_iso": iso})
+    read = df.withColumn("_fine", well_formed(xml)).withColumn("_said", F.when(F.col("_fine"), F.xpath_string(xml, F.lit(_facts_path()))))
+    parts = read.withColumn("_said", F.split("_said", PART))
+    file, written = F.get("_said", 1), F.when(F.get("_said", 2) == "true", strip_blank(F.get("_said", 3)))
+    named = parts.withColumns({"annex_url": F.when((F.get("_said", 0) == "true") & (file != ""), F.concat(F.lit(ANNEX), file)), "_written": written})
+    iso = F.when(F.col("_written").rlike("^[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}$"), F.try_to_date("_written", "y-M-d"))
+    dated = named.withColumn("effective_date", F.coalesce(F.date_format(iso, "dd.MM.yyyy"), F.col("_written")))
     error = F.when(~F.col("_fine"), BROKEN).when(F.col("annex_url").isNull(), NO_ANNEX)
-    told = found.withColumns({"annex_error": error, "effective_date": F.coalesce(F.date_format("_iso", "dd.MM.yyyy"), written)})
-    return told.drop("_fine", "_named", "_files", "_date", "_file", "_written", "_iso")
+    return dated.withColumn("annex_error", error).drop("_fine", "_said", "_written")
 
 
 def annex_url(df: DataFrame, xml_col: str = "xml") -> DataFrame:
