@@ -59,28 +59,55 @@ def number_part(raw: Column) -> Column:
     return F.regexp_extract(raw, NUMBER, 0)
 
 
-def parse_amount(number: Column) -> Column:
-    """The value of a number: of dot and comma the later one is the decimal mark; a lone comma is one; the longest
-    leading part that reads as a number counts. Null if there is none."""
-    s = F.regexp_replace(F.translate(number, "\u2212", "-"), f"[{BLANK}]", "")
+#: Fixed value: the white space that a number is written without when it is read; U+2212 is a minus.
+SPACES = "\t\n\x0b\x0c\r \u00a0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000\ufeff"
+
+
+def let(value: Column, body) -> Column:
+    """body of the value, which is worked out once however often body names it."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
+def _closed_up(number: Column) -> Column:
+    return F.translate(number, "\u2212" + SPACES, "-")
+
+
+def _value(s: Column) -> Column:
+    """Of a number without white space."""
     comma_last = F.length(F.substring_index(s, ",", -1)) < F.length(F.substring_index(s, ".", -1))
+    # the first comma becomes a dot
+    pointed = lambda x: F.when(x.contains(","), F.concat(F.substring_index(x, ",", 1), F.lit("."), F.substr(x, F.instr(x, ",") + 1))).otherwise(x)
     dotted = (
-        F.when(s.contains(".") & s.contains(","), F.when(comma_last, F.regexp_replace(F.replace(s, F.lit("."), F.lit("")), "^([^,]*),", "$1.")).otherwise(F.replace(s, F.lit(","), F.lit(""))))
-        .when(s.contains(","), F.regexp_replace(s, "^([^,]*),", "$1."))
-        .otherwise(s)
+        F.when(s.contains(".") & s.contains(","), F.when(comma_last, pointed(F.replace(s, F.lit("."), F.lit("")))).otherwise(F.replace(s, F.lit(","), F.lit(""))))
+        .otherwise(pointed(s))
     )
     return F.regexp_extract(dotted, r"^-?[0-9]+([.][0-9]*)?", 0).try_cast("double")
 
 
+def _decimals(s: Column) -> Column:
+    """Of a number without white space."""
+    return F.when(s.contains(".") | s.contains(","), F.length(F.substring_index(F.substring_index(s, ",", -1), ".", -1))).otherwise(0)
+
+
+def parse_amount(number: Column) -> Column:
+    """The value of a number: of dot and comma the later one is the decimal mark; a lone comma is one; the longest
+    leading part that reads as a number counts. Null if there is none."""
+    return let(_closed_up(number), _value)
+
+
 def count_decimals(number: Column) -> Column:
     """Characters after the last dot or comma, white space aside; 0 without one."""
-    return F.length(F.regexp_extract(F.regexp_replace(number, f"[{BLANK}]", ""), "[.,]([^.,]*)$", 1))
+    return let(_closed_up(number), _decimals)
 
 
 def extract_amounts(text: Column, mode: str) -> Column:
-    """array<struct<ord, raw, amount, decimals>> in text order; ord counts from 0 over amounts that parse."""
+    """array<struct<ord, raw, amount, decimals>> in text order; ord counts from 0 over amounts that parse.
+
+    In stages: each array holds what the next one's lambda names more than once.
+    """
     raws = F.when(may_hold(text, mode), F.regexp_extract_all(text, F.lit(amount_pattern(mode)), F.lit(0)))
-    parsed = F.transform(raws, lambda raw: F.struct(raw.alias("raw"), parse_amount(number_part(raw)).alias("amount"), count_decimals(number_part(raw)).alias("decimals")))
+    numbers = F.transform(raws, lambda raw: F.struct(raw.alias("raw"), _closed_up(number_part(raw)).alias("s")))
+    parsed = F.transform(numbers, lambda m: F.struct(m["raw"].alias("raw"), _value(m["s"]).alias("amount"), _decimals(m["s"]).alias("decimals")))
     kept = F.filter(parsed, lambda m: m["amount"].isNotNull())
     numbered = F.transform(kept, lambda m, i: F.struct(i.cast("int").alias("ord"), m["raw"].alias("raw"), m["amount"].alias("amount"), m["decimals"].alias("decimals")))
     return F.coalesce(numbered, F.array().cast(f"array<{MATCH}>"))
@@ -147,16 +174,20 @@ def format_numeric(value: Column, decimals: Column | int | None, mode: str) -> C
     places = F.lit(10) if decimals is None else (F.lit(decimals) if isinstance(decimals, int) else F.least(decimals, F.lit(10)))
     exact = F.when(F.abs(value) < LARGE, value).try_cast("decimal(38,12)")
     if mode_of(mode) == "eur":
-        text, tail = F.round(exact, 2).cast("decimal(38,2)").cast("string"), ",00"
+        rounded, digits, tail = F.round(exact, 2).cast("decimal(38,2)"), 2, ",00"
     else:
-        rounded = F.coalesce(*[F.when(places == n, F.round(exact, n).cast("decimal(38,10)")) for n in range(11)])
-        text, tail = F.regexp_replace(F.regexp_replace(rounded.cast("decimal(38,10)").cast("string"), "0+$", ""), r"[.]$", ""), ""
-    whole, part = F.regexp_extract(text, "^-?([0-9]+)", 1), F.regexp_extract(text, "[.]([0-9]+)$", 1)
-    sign = F.when(value < 0, F.when(F.regexp_replace(text, "[-0.]", "") != "", F.lit("\u2212")).otherwise(F.lit(""))).otherwise(F.lit(""))
-    small = F.concat(sign, _grouped(whole), F.when(part != "", F.concat(F.lit(","), part)).otherwise(F.lit("")))
+        rounded = let(exact, lambda x: F.coalesce(*[F.when(places == n, F.round(x, n).cast("decimal(38,10)")) for n in range(11)]))
+        digits, tail = 10, ""
+
+    def written(r: Column) -> Column:
+        text = F.format_number(F.abs(r), digits)  # 12,345.60
+        body = F.when(F.abs(r) < 10_000, F.translate(text, ".,", ",")).otherwise(F.translate(text, ".,", "," + NBSP))
+        body = body if digits == 2 else F.rtrim(F.rtrim(body, F.lit("0")), F.lit(","))
+        return F.concat(F.when((value < 0) & (r != 0), F.lit("\u2212")).otherwise(F.lit("")), body)
+
     minus = F.when(value < 0, F.lit("\u2212")).otherwise(F.lit(""))
     large = F.when(F.isnan(value), F.lit("NaN")).when(F.abs(value) == float("inf"), F.concat(minus, F.lit("\u221e"))).otherwise(F.concat(minus, _grouped(_large_digits(value)), F.lit(tail)))
-    return F.when(F.abs(value) < LARGE, small).when(value.isNotNull(), large)
+    return F.when(F.abs(value) < LARGE, let(rounded, written)).when(value.isNotNull(), large)
 
 
 def unit_short(mode: str) -> str:

@@ -26,9 +26,9 @@ from dataclasses import dataclass
 import pyarrow as pa
 from pyspark.sql.datasource import (
     DataSource,
+    DataSourceArrowWriter,
     DataSourceReader,
     DataSourceStreamReader,
-    DataSourceWriter,
     InputPartition,
     WriterCommitMessage,
 )
@@ -162,16 +162,16 @@ class Written(WriterCommitMessage):
     name: str | None
 
 
-class Writer(DataSourceWriter):
+class Writer(DataSourceArrowWriter):
     def __init__(self, folder: str):
         self.folder = folder
         self.job = f"{time.time_ns():020}-{uuid.uuid4().hex[:8]}"
 
-    def write(self, iterator) -> Written:
+    def write(self, iterator: Iterator[pa.RecordBatch]) -> Written:
         store, root = _opened(self.folder)
         store.create_dir(f"{root}/_aside-{self.job}", recursive=True)
         name, out = f"{uuid.uuid4().hex}.acts", None
-        for row in iterator:
+        for row in (row for batch in iterator for row in batch.to_pylist()):
             if out is None:
                 out = store.open_output_stream(f"{root}/_aside-{self.job}/{name}")
             head = {"act_id": row["act_id"], "kind": row["kind"]} | ({"none": True} if row["body"] is None else {})
