@@ -5,7 +5,7 @@ paths, each a conjunction of thresholds on statistics; a logistic regression wit
 the rules with a weight are compiled into one Spark expression, so that scoring runs no model code.
 
 The model is learned from labelled rows that are not held out: from all of them up to `MAX_ROWS`, beyond it from a
-sample of about so many, drawn by a hash of the id before any text is read. Every document is scored.
+sample of about so many, drawn by a hash of the id; only their texts are measured. Every document is scored.
 
 Defined cases: null and empty texts have all statistics zero and are scored by the same rules; a doc_id labelled more
 than once counts with its lowest label, null labels not at all; with labels of one kind or none at all the score is the
@@ -24,7 +24,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexspark.llm.common import carried, checkpointed, id_bucket, text_or_empty, words_of
+from lexspark.llm.common import carried, checkpointed, id_bucket, small_side, text_or_empty, words_of
 
 HELD_OUT_OF, HELD_OUT = 5, 0
 THRESHOLD = 0.3
@@ -112,9 +112,10 @@ def training_rows(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS)
     known = usable.groupBy(F.col("doc_id").alias("_label_id")).agg(F.min("quality").cast("double").alias("label"))
     share = min(1.0, max_rows / max(1, usable.count()))
     drawn = lambda c: F.pmod(F.xxhash64(F.lit(3), c.cast("long")), F.lit(1 << 20)) < F.lit(math.ceil(share * (1 << 20)))
-    sample = with_statistics(docs.where(drawn(F.col("doc_id"))).select(F.col("doc_id").alias("_doc_id"), "text")).drop("text")
-    joined = sample.join(known.where(drawn(F.col("_label_id"))), F.col("_doc_id") == F.col("_label_id"))
-    return joined.withColumn("features", array_to_vector(F.array(*[f"_q_{s}" for s in STATS])))
+    # the labelled ids are joined before any text is measured
+    sample = docs.where(drawn(F.col("doc_id"))).select(F.col("doc_id").alias("_doc_id"), "text")
+    joined = sample.join(small_side(known.where(drawn(F.col("_label_id")))), F.col("_doc_id") == F.col("_label_id"))
+    return with_statistics(joined).drop("text").withColumn("features", array_to_vector(F.array(*[f"_q_{s}" for s in STATS])))
 
 
 def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> RuleModel:

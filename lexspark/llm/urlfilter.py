@@ -6,19 +6,19 @@ rejected if the weights of its distinct terms reach the limit: a strict term wei
 together. `load_vocabulary` reads the terms from a table; the built-in ones are a small sample.
 
 Defined cases: a null url, or one without "://", has an empty host and path, and no rule fits it; a null url holds no
-term and is allowed; repeated rows are judged alike; an empty table gives no rows; of the other columns only the key
-is kept.
+term and is allowed; urls of any length are read whole; of rules of one length the first given counts; repeated rows are
+judged alike; an empty table gives no rows; of the other columns only the key is kept.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Mapping, Sequence
-from functools import reduce
+from functools import lru_cache
 from types import MappingProxyType
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: (verdict, host, path)
@@ -81,31 +81,37 @@ def load_vocabulary(table: DataFrame, max_terms: int = MAX_TERMS) -> dict[str, f
     return {r["term"]: r["weight"] for r in rows}
 
 
-def term_hits(vocabulary: Mapping[str, float], limit: float = LIMIT):
+@lru_cache(maxsize=4)
+def _automaton(terms: frozenset[tuple[str, float]]):
+    """One for each vocabulary in a worker process, whatever the number of its tasks."""
+    import ahocorasick
+
+    automaton = ahocorasick.Automaton()
+    for term, _ in terms:
+        automaton.add_word(term, term)
+    automaton.make_automaton()
+    return automaton
+
+
+def term_hits(spark: SparkSession, vocabulary: Mapping[str, float], limit: float = LIMIT):
     """A column function: struct(strict, soft, weight), of the distinct terms found between boundaries: how many reach
-    the limit alone, how many don't, and the weight of all."""
-    automata: list = []
+    the limit alone, how many don't, and the weight of all. The vocabulary is sent to each executor once."""
+    sent = spark.sparkContext.broadcast(frozenset(vocabulary.items()))
 
     @F.pandas_udf("strict int, soft int, weight double")
     def hits(urls: pd.Series) -> pd.DataFrame:
-        import ahocorasick
-
-        if not automata:
-            automaton = ahocorasick.Automaton()
-            for term in vocabulary:
-                automaton.add_word(term, term)
-            automaton.make_automaton()
-            automata.append(automaton)
+        weight_of = dict(sent.value)
+        automaton = _automaton(sent.value) if weight_of else None
         counts = []
         for url in urls:
             found = set()
-            if url and vocabulary:
+            if url and automaton:
                 lowered = url.lower()
-                for end, term in automata[0].iter(lowered):
+                for end, term in automaton.iter(lowered):
                     begin = end - len(term) + 1
                     if (begin == 0 or not lowered[begin - 1].isalnum()) and not lowered[end + 1 : end + 2].isalnum():
                         found.add(term)
-            weights = [vocabulary[t] for t in sorted(found)]
+            weights = [weight_of[t] for t in sorted(found)]
             strict = sum(w >= limit for w in weights)
             counts.append((strict, len(weights) - strict, math.fsum(weights)))
         return pd.DataFrame(counts, columns=["strict", "soft", "weight"]).astype({"strict": "int32", "soft": "int32", "weight": "float64"})
@@ -121,7 +127,7 @@ def judge(
 ) -> DataFrame:
     """page_id, host, path, rule, verdict, and the numbers of strict and soft terms found."""
     parts = pages.select("page_id", F.col("url").alias("_url"), host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
-    ruled = parts.withColumns({"_rule": rule_of(F.col("host"), F.col("path"), rules), "_hits": term_hits(dict(vocabulary), limit)(F.col("_url"))})
+    ruled = parts.withColumns({"_rule": rule_of(F.col("host"), F.col("path"), rules), "_hits": term_hits(pages.sparkSession, vocabulary, limit)(F.col("_url"))})
     verdict = F.coalesce(F.col("_rule.verdict"), F.when(F.col("_hits.weight") >= limit, F.lit("block")).otherwise(F.lit("allow")))
     return ruled.select(
         "page_id", "host", "path", F.col("_rule.rule").alias("rule"), verdict.alias("verdict"),
@@ -129,32 +135,30 @@ def judge(
     )
 
 
-def _sql_count(terms: Sequence[str]) -> str:
-    tests = [f"CAST(regexp_matches(low, '(^|[^\\pL\\pN]){t}($|[^\\pL\\pN])') AS BIGINT)" for t in terms]
-    return reduce(lambda a, b: f"{a}\n    + {b}", tests)
-
-
-def _sql_rules(value: str) -> str:
-    arms = [
-        f"WHEN (host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}') THEN '{v if value == 'verdict' else h + p}'"
-        for v, h, p in sorted(RULES, key=lambda r: -len(r[1] + r[2]))
-    ]
-    return "CASE " + " ".join(arms) + " END"
-
-
-ORACLE_SQL = f"""
+#: The rules and terms in words of the SQL's own, so that a wrong one in the library shows.
+ORACLE_SQL = """
 WITH parts AS (
   SELECT page_id, lower(coalesce(url, '')) AS low,
-    translate(regexp_extract(coalesce(url, ''), '{HOST}', 1), '{UPPER}', '{LOWER}') AS host,
-    regexp_extract(coalesce(url, ''), '{PATH}', 1) AS path
+    CASE WHEN contains(url, '://') THEN regexp_extract(substr(url, strpos(url, '://') + 3), '^[^/?#]*') ELSE '' END AS raw_host,
+    CASE WHEN contains(url, '://') THEN regexp_extract(substr(url, strpos(url, '://') + 3), '^[^/?#]*([^?#]*)', 1) ELSE '' END AS path
   FROM pages
+), hosted AS (
+  SELECT *, translate(raw_host, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host FROM parts
+), rules(rule_host, rule_path, said) AS (
+  VALUES ('com', '/', 'allow'), ('example.com', '/en/', 'block'), ('www.example.com', '/en/', 'allow'), ('net', '/es/', 'block'), ('net', '/fr/', 'block')
+), fitting AS (
+  SELECT page_id, arg_max(rule_host || rule_path, length(rule_host || rule_path)) AS rule, arg_max(said, length(rule_host || rule_path)) AS said
+  FROM (SELECT DISTINCT page_id, host, path FROM hosted) h JOIN rules ON ('.' || host) LIKE ('%.' || rule_host) AND starts_with(path, rule_path) GROUP BY page_id
+), terms AS (
+  SELECT unnest(string_split('adult casino cheap-pills escort hentai malware phishing porn porno sex spam viagra warez xxx', ' ')) AS term, true AS strict
+  UNION ALL
+  SELECT unnest(string_split('ads affiliate bet bets bonus cheap click coupon crack dating farm free hot jackpot keygen loan nude pills poker popup promo slots torrent track win', ' ')), false
 ), counted AS (
-  SELECT *, {_sql_count(sorted(set(STRICT_TERMS)))} AS strict_terms,
-    {_sql_count(sorted(set(SOFT_TERMS) - set(STRICT_TERMS)))} AS soft_terms
-  FROM parts
+  SELECT low, count(*) FILTER (strict) AS strict_terms, count(*) FILTER (NOT strict) AS soft_terms
+  FROM (SELECT DISTINCT low FROM parts) p JOIN terms ON regexp_matches(low, '(^|[^\\pL\\pN])' || term || '($|[^\\pL\\pN])') GROUP BY low
 )
-SELECT page_id, host, path, {_sql_rules('rule')} AS rule,
-  coalesce({_sql_rules('verdict')}, CASE WHEN strict_terms >= 1 OR soft_terms >= {SOFT_LIMIT} THEN 'block' ELSE 'allow' END) AS verdict,
-  strict_terms, soft_terms
-FROM counted
+SELECT page_id, host, path, rule,
+  coalesce(said, CASE WHEN coalesce(strict_terms, 0) >= 1 OR coalesce(soft_terms, 0) >= 2 THEN 'block' ELSE 'allow' END) AS verdict,
+  coalesce(strict_terms, 0) AS strict_terms, coalesce(soft_terms, 0) AS soft_terms
+FROM hosted LEFT JOIN fitting USING (page_id) LEFT JOIN counted USING (low)
 """

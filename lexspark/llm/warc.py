@@ -33,7 +33,8 @@ from lexspark.llm.common import checkpointed, remove_folder, shared_dir, small_s
 
 MAGIC = b"\x1f\x8b\x08"
 VERSION = b"WARC/1.1\r\n"
-RANGE_BYTES = 8 << 20  # a task reads so much; fewer, larger ranges suit larger stores
+#: A task reads so many bytes, and more where there would be more tasks than MOST_RANGES.
+RANGE_BYTES, MOST_RANGES = 8 << 20, 40_000
 FILE_BYTES = 256 << 20
 CHUNK_BYTES = 1 << 18
 DATE = "1970-01-01T00:00:00Z"  # pages carry no time of capture
@@ -203,8 +204,14 @@ def records_in(file: pa.NativeFile, size: int, begin: int, end: int) -> Iterator
         window.skip(found[1])
 
 
-def read_archives(files: DataFrame, range_bytes: int = RANGE_BYTES, payloads: bool = True) -> DataFrame:
-    """One row per record of the files (path, bytes), read range by range."""
+def range_size(total: int) -> int:
+    """Bytes of a range for archives of so many bytes together."""
+    return max(RANGE_BYTES, -(-total // MOST_RANGES))
+
+
+def read_archives(files: DataFrame, range_bytes: int | None = None, payloads: bool = True) -> DataFrame:
+    """One row per record of the files (path, bytes), read range by range; ranges grow with the total unless stated."""
+    range_bytes = range_bytes or range_size(files.agg(F.coalesce(F.sum("bytes"), F.lit(0))).first()[0])
     starts = F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.lit(0).cast("long"), F.col("bytes") - 1), F.lit(range_bytes).cast("long")))
     ranges = files.where(F.col("bytes") > 0).select("path", F.col("bytes").alias("size"), starts.alias("begin"))
     # a stated number of partitions is never coalesced; by range, as a hash would put several into one

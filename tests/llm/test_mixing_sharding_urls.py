@@ -187,6 +187,17 @@ def test_urls_against_rules_and_sql(spark):
     assert got[0]["host"] == "www.example.com" and got[9]["host"] == got[9]["path"] == ""
 
 
+def test_rules_of_one_length_and_very_long_urls(spark):
+    long = "http://a.org/" + "x" * 300_000
+    pages = spark.createDataFrame([(1, long + "/porn"), (2, long), (3, "http://b.a.org/xx"), (3, "http://b.a.org/xx")], "page_id long, url string")
+    rules = [("allow", "b.a.org", "/x"), ("block", "a.org", "/xxx"), ("block", "a.org", "/xx/"), ("block", "a.org", "/x")]
+    got = [(r["page_id"], r["rule"], r["verdict"]) for r in urlfilter.judge(pages, [("block", "org", "/y"), *rules]).orderBy("page_id").collect()]
+    assert got == [(1, "a.org/xxx", "block"), (2, "a.org/xxx", "block"), (3, "b.a.org/x", "allow"), (3, "b.a.org/x", "allow")]
+    tie = urlfilter.judge(pages.where("page_id = 3"), [("allow", "b.a.org", "/x"), ("block", "a.org", "/xx"), ("block", "b.a.org", "/x")]).first()
+    assert tie["verdict"] == "allow"
+    assert len(urlfilter.judge(pages).where("page_id = 1").first()["path"]) == 300_006
+
+
 def test_vocabulary_of_a_table(spark):
     table = spark.createDataFrame([("Grape", 0.8), ("fig", 0.4), ("fig", 0.7), ("plum", 2.0), (None, 5.0), ("", 5.0), ("zero", 0.0), ("none", None)], "term string, weight double")
     terms = urlfilter.load_vocabulary(table)

@@ -85,3 +85,9 @@ def test_damaged_payloads_are_found(spark, tmp_path):
 def test_payloads_stay_where_they_are(spark):
     plan = warc.with_revisits(spark.createDataFrame([(1, "u", "x", ""), (2, "v", "x", "")], SCHEMA))._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+
+
+def test_ranges_follow_the_total():
+    assert warc.range_size(0) == warc.range_size(10**9) == warc.RANGE_BYTES
+    for total in (10**13, 10**14 + 7):
+        assert -(-total // warc.range_size(total)) <= warc.MOST_RANGES
