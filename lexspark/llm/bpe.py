@@ -25,10 +25,12 @@ no rows; other columns, of whatever names, are ignored.
 from __future__ import annotations
 
 import base64
+import gc
 import hashlib
 from array import array
 from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
+from struct import pack
 
 import numpy as np
 import pyarrow as pa
@@ -38,7 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 MAX_STATES = 400_000
-MAX_WORDS = 300_000
+MAX_WORDS = 500_000
 PART_CHARS = 1 << 20
 
 
@@ -156,7 +158,7 @@ class Transducer:
 
     def _read(self, word: bytes) -> list[int]:
         """By the nondeterministic transducer: each beginning's last token is the longest that ends there and can follow."""
-        children, token_at, pairs, size = self.children, self.token_at, self.pairs, len(word)
+        children, token_at, known, size = self.children, self.token_at, self.pairs.get, len(word)
         last = [-1] * (size + 1)
         for begin in range(size):
             before, node, end = last[begin] << 32, 0, begin
@@ -166,8 +168,10 @@ class Transducer:
                     break
                 end += 1
                 token = token_at[node]
-                if token >= 0 and last[end] < 0 and (not begin or (pairs[before | token] if before | token in pairs else self.follows(before >> 32, token))):
-                    last[end] = token
+                if token >= 0 and last[end] < 0:
+                    fits = not begin or known(before | token)
+                    if fits or fits is None and self.follows(before >> 32, token):
+                        last[end] = token
             if last[begin + 1] < 0:
                 raise ValueError(f"the vocabulary has no token for byte {word[begin]}")
         out, end = [], size
@@ -231,9 +235,13 @@ class _Row(dict):
 
     def __init__(self, rows: dict[bytes, _Row], bytes_of: dict[int, bytes], pending: bytes):
         self.rows, self.bytes_of, self.pending = rows, bytes_of, pending
+        #: of those tokens that leave nothing open after nothing was
+        self.whole: dict[int, str] = {}
 
     def __missing__(self, token: int) -> tuple[str, _Row]:
         text, pending = advance(self.pending, self.bytes_of[token])
+        if not (self.pending or pending):
+            self.whole[token] = text
         row = self.rows.get(pending)
         if row is None:
             row = self.rows[pending] = _Row(self.rows, self.bytes_of, pending)
@@ -250,6 +258,11 @@ class Decoder:
 
     def feed(self, ids: Iterable[int]) -> str:
         row, parts = self.row, []
+        if not row.pending:
+            try:  # most stretches hold whole characters only
+                return "".join(map(row.whole.__getitem__, ids))
+            except KeyError:
+                pass
         for token in ids:
             text, row = row[token]
             parts.append(text)
@@ -289,7 +302,8 @@ class Codec:
             ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
         self.transducer = Transducer(ranks)
         #: ids as little-endian unsigned 32-bit integers, of a word of the pattern, and of a space and what follows it
-        self.words = _Kept(lambda word: np.array(self.transducer.encode(word.encode()), "<u4").tobytes())
+        encode = self.transducer.encode
+        self.words = _Kept(lambda word: pack(f"<{len(ids := encode(word.encode()))}I", *ids))
         self.spaced = _Kept(lambda text: self.packed(" " + text))
         self.rows: dict[bytes, _Row] = {}
         self.find = regex.compile(pattern).findall
@@ -332,7 +346,9 @@ class Codec:
 @lru_cache(maxsize=2)
 def codec(ranks_path: str, pattern: str) -> Codec:
     """One for each worker process, which keeps what it has worked out from task to task."""
-    return Codec(ranks_path, pattern)
+    made = Codec(ranks_path, pattern)
+    gc.freeze()  # the trie stays; the collector needn't walk it
+    return made
 
 
 def _public(ranks_path: str | None) -> tuple[str, str]:
