@@ -17,7 +17,7 @@ from lexspark.operators import people as P
 from lexspark.operators import register as R
 from lexspark.sources import acts
 from lexspark.sources.bundles import ActBundles
-from lexspark.sources.documents import read_documents, read_register
+from lexspark.sources.documents import read_documents, read_drifting_register, read_register
 from lexspark.sources.folders import shared_dir
 from lexspark.streaming import amounts as S
 
@@ -322,6 +322,42 @@ def stored_registers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_register(spark, folder, lines=True).select("meta.act", "effective_date", "list_id", "is_groups", "ord", "et", "en", "title")
 
 
+def _drifting(spark: SparkSession, sf_dir: str) -> str:
+    """A folder of registers whose shape changes with the edition: fields added, ids as text, English names missing; and for
+    each edition a line that breaks off, a document of another kind, and a register with a wrong list and a wrong substance."""
+    rows = N.annex_rows(spark, sf_dir)
+    folder = f"{shared_dir(spark)}/drifting-{uuid.uuid4()}"
+    built = R.build_register(R.substances(N.annex_words(spark, sf_dir), rows), _meta(rows, "now"))
+    kind = F.substring("doc_id", 4, 18).cast("long") % 4
+    text = F.to_json(F.struct("meta", "lists"))
+    changed = (
+        F.when(kind == 0, F.replace(F.replace(text, F.lit('"isGroups":'), F.lit('"colour":"red","isGroups":')), F.lit('"et":'), F.lit('"formula":{"n":1},"et":')))
+        .when(kind == 1, F.regexp_replace(text, '"id":([0-9])', '"id":"$1"'))
+        .when(kind == 2, F.regexp_replace(text, ',"en":"[^"]*"', ""))
+        .otherwise(text)
+    )
+    wrong = '{"meta": {}, "lists": [{"id": "seven", "substances": []}, {"id": 2, "substances": [{"en": "x"}]}]}'
+    built.select(F.explode(F.array(changed, F.substring(text, 1, 40), F.lit("[1, 2]"), F.lit(wrong))).alias("value")).write.text(folder)
+    return folder
+
+
+@query(f"""WITH {N.ANNEX_SQL}, kinds AS (SELECT *, CAST(substr(doc_id, 4) AS BIGINT) % 4 AS kind FROM substances)
+SELECT 'akt/' || doc_id AS act, '23.02.2026' AS effective_date, list_id, list_id = 6 AS is_groups, ord, et, CASE WHEN kind = 2 THEN '' ELSE en END AS en,
+  CASE WHEN kind = 0 THEN 'colour,formula' ELSE '' END AS unknown FROM kinds""")
+def drifting_registers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Registers of several shapes, read as variants."""
+    rows, _ = read_drifting_register(spark, _drifting(spark, sf_dir))
+    return rows.select("meta.act", "effective_date", "list_id", "is_groups", "ord", "et", "en", F.array_join("unknown", ",").alias("unknown"))
+
+
+@query(f"""WITH {N.ANNEX_SQL}, editions AS (SELECT count(DISTINCT doc_id) AS n FROM steps)
+SELECT reason, n FROM editions, (VALUES ('no JSON'), ('no register'), ('no list'), ('no name')) r(reason)""")
+def quarantined_registers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What of these registers can't be read, by reason."""
+    _, bad = read_drifting_register(spark, _drifting(spark, sf_dir))
+    return bad.groupBy("reason").agg(F.count(F.lit(1)).alias("n"))
+
+
 def _meta(rows: DataFrame, generated: str) -> DataFrame:
     return rows.select("doc_id").distinct().select("doc_id", F.lit("annex").alias("source"), F.concat(F.lit("akt/"), "doc_id").alias("act"), F.lit("23.02.2026").alias("effective_date"), F.lit(generated).alias("generated"))
 

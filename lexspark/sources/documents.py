@@ -33,3 +33,33 @@ def flatten_register(registers: DataFrame) -> DataFrame:
 def read_register(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
     """flatten_register of JSON documents, one a file, or one a line."""
     return flatten_register(spark.read.schema(REGISTER).json(path, multiLine=not lines))
+
+
+def read_drifting_register(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """(rows, quarantined) of registers whose shape drifts, one JSON document a line, read as variants.
+
+    rows: as of read_register without the ids of files, with unknown, the names of fields of the list and the substance
+    that registers don't have. Values are taken by what they can be read as: an id written as text is a number, a missing
+    title is null, a missing English name is empty. quarantined: (reason, document) of what can't be a row: lines that
+    aren't JSON, documents that aren't registers, lists without a number, and substances without an Estonian name, each
+    with the smallest part that is wrong. Nothing else of such a document is lost.
+    """
+    lines = spark.read.text(path).select("value", F.try_parse_json("value").alias("v"))
+    held = lines.withColumn("lists", F.try_variant_get("v", "$.lists", "array<variant>"))
+    wrong = F.when(F.col("v").isNull(), "no JSON").when(F.col("lists").isNull(), "no register")
+    marked = held.withColumn("reason", wrong)
+    of = lambda part, name, kind: F.try_variant_get(part, f"$.{name}", kind)
+    meta = F.struct(*[of("v", name, "string").alias(name.removeprefix("meta.")) for name in ("meta.source", "meta.act", "meta.effective_date", "meta.generated")])
+    lists = marked.where("reason IS NULL").withColumn("meta", meta).select("meta", F.explode("lists").alias("l"))
+    lists = lists.withColumns({"list_id": of("l", "id", "int"), "substances": of("l", "substances", "array<variant>")})
+    fine = F.col("list_id").isNotNull() & F.col("substances").isNotNull()
+    entries = lists.where(fine).select("meta", "list_id", "l", F.posexplode("substances").alias("place", "s")).withColumn("et", of("s", "et", "string"))
+    unknown = lambda part, known: F.filter(F.map_keys(F.try_variant_get(part, "$", "map<string,variant>")), lambda k: ~k.isin(*known))
+    rows = entries.where(F.col("et").isNotNull()).select(
+        "meta", F.col("meta.effective_date").alias("effective_date"), "list_id", of("l", "title", "string").alias("title"), of("l", "isGroups", "boolean").alias("is_groups"),
+        (F.col("place") + 1).alias("ord"), "et", F.coalesce(of("s", "en", "string"), F.lit("")).alias("en"),
+        F.concat(unknown("l", ("id", "title", "description", "isGroups", "substances")), unknown("s", ("et", "en"))).alias("unknown"),
+    )
+    bad = marked.where("reason IS NOT NULL").select("reason", F.col("value").alias("document"))
+    bad = bad.unionByName(lists.where(~fine).select(F.lit("no list").alias("reason"), F.to_json("l").alias("document")))
+    return rows, bad.unionByName(entries.where(F.col("et").isNull()).select(F.lit("no name").alias("reason"), F.to_json("s").alias("document")))

@@ -3,7 +3,7 @@ from pyspark.sql import functions as F
 from lexspark.jobs.publish import publish_if_changed, publish_valid, read_published
 from lexspark.operators import register as R
 from lexspark.sources import acts
-from lexspark.sources.documents import flatten_register, read_documents, read_register
+from lexspark.sources.documents import flatten_register, read_documents, read_drifting_register, read_register
 
 CELLS = [
     ["X", "Y"], ["I  nimekiri", None], ["Eestikeelne nimetus", "Ingliskeelne"], ["jätk", ""], ["Beeta-\naine", "Beta\nagent"], ["", "salt"], ["Alfa", "Al"],
@@ -176,3 +176,20 @@ def test_reading_documents(spark, tmp_path):
     assert [r["text"] for r in docs.collect()] == ["10 €\nja 20 €"]
     docs.write.parquet(str(tmp_path / "p"))
     assert read_documents(spark, str(tmp_path / "p")).columns == ["doc_id", "text"]
+
+
+def test_drifting_registers(spark, tmp_path):
+    lines = [
+        '{"meta": {"act": "a", "generated": 5, "new": [1]}, "lists": [{"id": "3", "isGroups": "true", "substances": [{"et": "Ä", "en": null}, {"en": "x"}, {"et": 7, "z": {"q": 1}}, "odd"]}]}',
+        '{"lists": [{"title": "t", "substances": []}, {"id": 1, "substances": {}}, {"id": 2, "substances": []}, 5, null]}',
+        '{"lists": 5}', "{}", "null", "[]", "", "{", '{"lists": []}',
+    ]
+    (tmp_path / "in.txt").write_text("\n".join(lines) + "\n", encoding="utf-8")
+    rows, bad = read_drifting_register(spark, str(tmp_path / "in.txt"))
+    got = [(r["meta"]["act"], r["meta"]["generated"], r["list_id"], r["is_groups"], r["title"], r["ord"], r["et"], r["en"], r["unknown"]) for r in rows.orderBy("ord").collect()]
+    assert got == [("a", "5", 3, True, None, 1, "Ä", "", []), ("a", "5", 3, True, None, 3, "7", "", ["z"])]
+    held = {}
+    for r in bad.collect():
+        held.setdefault(r["reason"], []).append(r["document"])
+    assert {k: len(v) for k, v in held.items()} == {"no JSON": 2, "no register": 4, "no list": 4, "no name": 2}
+    assert '{"en":"x"}' in held["no name"] and '"odd"' in held["no name"] and "{" in held["no JSON"]
