@@ -86,7 +86,59 @@ def gram_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.document_totals(N.gram_texts(spark, sf_dir), mode="g").select("doc_id", "total", "max_decimals", "n_active", "sum_label")
 
 
-@query()
+_LARGE_SQL = "rtrim(reverse(regexp_replace(reverse(digits), '([0-9]{3})', '\\1' || chr(160), 'g')), chr(160))"
+
+
+#: A scanner without looking around. The text is cut into stretches of digits, blanks, dots and commas (even places) and what
+#: lies between them (odd places). A stretch holds one number at most: from its first digit, or the sign before it, that may
+#: begin one, to its last digit. What may not stand before or follow is seen in the places beside it.
+_SCANNED_SQL = f"""
+numbered_texts AS (SELECT row_number() OVER () AS doc, doc_id, coalesce(text, '') AS text FROM documents),
+parted AS (SELECT doc, string_split(regexp_replace(text, '([0-9 .,\\x{{A0}}]*[0-9][0-9 .,\\x{{A0}}]*)', chr(57344) || '\\1' || chr(57344), 'g'), chr(57344)) AS parts FROM numbered_texts),
+stretches AS (
+  SELECT doc, i, parts[i] AS z, right((CASE WHEN i > 2 THEN parts[i - 2] ELSE '' END) || parts[i - 1], 2) AS before,
+    concat(parts[i + 1], parts[i + 2], parts[i + 3], parts[i + 4]) AS ahead
+  FROM (SELECT doc, parts, unnest(range(2, len(parts), 2)) AS i FROM parted)
+), starts AS (
+  SELECT doc, i, k, z,
+    CASE WHEN k = 0 THEN right(before, 1) ELSE '' END AS sign,
+    CASE WHEN k = 0 THEN CASE WHEN length(before) = 2 THEN left(before, 1) ELSE '' END WHEN k = 1 THEN right(before, 1) ELSE z[k - 1] END AS prior,
+    (CASE WHEN k = 0 THEN right(before, 1) ELSE '' END) || z[greatest(k, 1):] || ahead AS following
+  FROM (SELECT *, unnest(range(0, length(z) + 1)) AS k FROM stretches)
+  WHERE CASE WHEN k = 0 THEN right(before, 1) IN ('-', chr(8722)) AND regexp_matches(z, '^[0-9]') ELSE regexp_matches(z[k], '[0-9]') END
+), firsts AS (
+  SELECT doc, i, arg_min(sign || regexp_replace(z[greatest(k, 1):], '[^0-9]+$', ''), k) AS raw FROM starts
+  WHERE NOT regexp_matches(prior, '[\\pL\\pN.\\-/:]') AND NOT regexp_matches(following, '^-?[0-9]{{1,2}}[.\\-/][0-9]{{1,2}}[.\\-/][0-9]{{2,4}}')
+    AND NOT regexp_matches(following, '^-?[0-9]{{4}}[.\\-/][0-9]{{1,2}}[.\\-/][0-9]{{1,2}}') AND NOT regexp_matches(following, '^[0-9]{{1,2}}:[0-9]{{2}}') AND NOT regexp_matches(following, '^[0-9]+-[0-9]+/[0-9]+')
+  GROUP BY doc, i
+), closed AS (
+  SELECT doc, i, replace(replace(replace(raw, chr(8722), '-'), ' ', ''), chr(160), '') AS s FROM firsts
+), valued AS (
+  SELECT doc, i, CASE WHEN regexp_matches(s, '[.,]') THEN length(regexp_extract(s, '[.,]([^.,]*)$', 1)) ELSE 0 END AS d,
+    CAST(regexp_extract(CASE WHEN contains(s, '.') AND contains(s, ',') AND instr(reverse(s), '.') < instr(reverse(s), ',') THEN replace(s, ',', '')
+      WHEN contains(s, '.') AND contains(s, ',') THEN regexp_replace(replace(s, '.', ''), ',', '.') ELSE regexp_replace(s, ',', '.') END, '^-?[0-9]+([.][0-9]*)?') AS DOUBLE) AS v
+  FROM closed
+), summed AS (
+  SELECT doc, list_reduce(list(v ORDER BY i), lambda a, b: a + b) AS total, max(d) AS most, count(*) AS n FROM valued GROUP BY doc
+), asked AS (
+  SELECT doc, i, v, d FROM valued UNION ALL SELECT doc, NULL, total, most FROM summed
+), exact AS (
+  SELECT *, CASE WHEN abs(v) < 1e16 THEN abs(CAST(CAST(v AS VARCHAR) AS DECIMAL(38, 12))) END AS x FROM asked
+), cut AS (
+  SELECT *, CAST(CASE least(d, 10) {" ".join(f"WHEN {n} THEN CAST(round(x, {n}) AS DECIMAL(38, 12))" for n in range(11))} END AS VARCHAR) AS t,
+    rpad(replace(split_part(CAST(abs(v) AS VARCHAR), 'e', 1), '.', ''), CAST(CASE WHEN abs(v) >= 1e16 THEN split_part(CAST(abs(v) AS VARCHAR), 'e+', 2) ELSE '0' END AS INTEGER) + 1, '0') AS digits FROM exact
+), said AS (
+  SELECT doc, i, (CASE WHEN v < 0 AND (x IS NULL OR regexp_matches(t, '[1-9]')) THEN chr(8722) ELSE '' END) || CASE WHEN x IS NULL THEN ltrim({_LARGE_SQL}, chr(160))
+    ELSE rtrim(({_sql_grouped("CAST(split_part(t, '.', 1) AS BIGINT)")}) || ',' || rtrim(split_part(t, '.', 2), '0'), ',') END AS label FROM cut
+), listed AS (
+  SELECT doc, string_agg(label, chr(10) ORDER BY i) FILTER (i IS NOT NULL) AS amount_list, max(label) FILTER (i IS NULL) AS sum_label FROM said GROUP BY doc
+)"""
+
+
+@query(f"""WITH {_SCANNED_SQL}
+SELECT doc_id, coalesce(CASE WHEN abs(total) < 1e16 THEN CAST(round(CAST(CAST(total AS VARCHAR) AS DECIMAL(38, 12)), 10) AS DOUBLE) ELSE total END, 0) AS total, coalesce(CAST(most AS INTEGER), 0) AS max_decimals, coalesce(CAST(n AS INTEGER), 0) AS n_active, coalesce(CAST(n AS INTEGER), 0) AS n_total,
+  coalesce(sum_label, '0') AS sum_label, coalesce(CAST(n AS VARCHAR), '0') AS count_label, coalesce(amount_list, '') AS amount_list
+FROM numbered_texts LEFT JOIN summed USING (doc) LEFT JOIN listed USING (doc)""")
 def number_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.document_totals(N.table(spark, sf_dir, "documents"), mode="n")
 
@@ -99,9 +151,6 @@ def record_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.document_totals(N.record_texts(spark, sf_dir), mode="n")
 
 
-_LARGE_SQL = "rtrim(reverse(regexp_replace(reverse(digits), '([0-9]{3})', '\\1' || chr(160), 'g')), chr(160))"
-
-
 @query(f"""WITH large AS (SELECT o_orderkey AS doc_id, ltrim((o_orderkey % 100000) || '5', '0') || repeat('0', CAST(16 + o_orderkey % 25 AS INTEGER)) AS digits FROM orders),
 shown AS (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN chr(8722) ELSE '' END || ltrim({_LARGE_SQL}, chr(160)) AS label FROM large)
 SELECT doc_id, label || ',00' || chr(160) || '€' AS euros, label || chr(160) || 'g' AS grams, label AS plain FROM shown""")

@@ -156,3 +156,26 @@ def test_large_amounts(spark):
     run = " ".join(str(n) for n in range(10, 30))
     plain = O.document_totals(spark.createDataFrame([(1, run)], "doc_id long, text string"), mode="n").first()
     assert float(plain["sum_label"].replace("\u00a0", "")) == float(run.replace(" ", "")) and plain["amount_list"] == plain["sum_label"]
+
+
+def test_plain_numbers_against_a_scanner_in_sql(spark):
+    """Short texts full of what may stand in and around a number; the SQL looks at neighbours in place of lookarounds."""
+    import random
+
+    import duckdb
+
+    from lexspark.jobs.queries import ORACLE_SQL
+    from lexspark.operators.amounts import document_totals
+
+    rnd = random.Random(12)
+    pieces = ["1", "23", "456", "2024", "12.03.2024", "1-2/3", "7:05", "0", " ", " ", ".", ",", "-", "\u2212", "/", ":", "\u00a0", "a", "\u00f5", "\u20ac", "\n", "\u0663"]
+    rows = [(i, "".join(rnd.choice(pieces) for _ in range(rnd.choice([1, 3, 6, 10])))) for i in range(1500)] + [(-1, None), (-2, ""), (-3, " \n"), (-4, "9" * 15 + " x -9"), (-5, "1" + "0" * 20)]
+    con = duckdb.connect()
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    con.register("documents", docs.toArrow())
+    result = con.execute(ORACLE_SQL["number_totals"])
+    names = [d[0] for d in result.description]
+    want = {r[0]: dict(zip(names, r)) for r in result.fetchall()}
+    for r in document_totals(docs, mode="n").collect():
+        got, known = r.asDict(), want[r["doc_id"]]
+        assert got == known | {"total": pytest.approx(known["total"], rel=1e-12)}, (rows[r["doc_id"]], got, known)
