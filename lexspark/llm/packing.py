@@ -209,6 +209,7 @@ def pack(
         return pa.RecordBatch.from_arrays(columns, names), done + count
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pa.default_memory_pool().release_unused()  # what earlier tasks of this worker have left free
         encoder = TextEncoder(path, pattern, SPECIALS if specials is None else specials)
         done = TaskContext.get().partitionId() << 32
         block: list[tuple] = []
