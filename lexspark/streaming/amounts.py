@@ -8,7 +8,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from lexspark.functions import amounts as A
 from lexspark.jobs.publish import ORDER, publish_if_changed
@@ -17,7 +17,7 @@ TOLERANCE = 10
 WEEK_MS = 7 * 24 * 3600 * 1000
 
 EXCLUDED = "doc_id long, revision int, ord int, raw string, index int"
-STATE = "revision int, raws array<string>, starts array<int>"
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 def stream_amounts(stream: DataFrame, mode: str = "eur") -> DataFrame:
@@ -26,22 +26,18 @@ def stream_amounts(stream: DataFrame, mode: str = "eur") -> DataFrame:
     return found.select("doc_id", "m.ord", "m.raw", "m.amount", "m.decimals")
 
 
-def _follow(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState, idle_ms: int | None) -> Iterator[pd.DataFrame]:
-    """The exclusions after each new revision of one document, oldest first; revisions seen before are ignored."""
-    if state.hasTimedOut:
-        state.remove()
-        return
-    last, raws, starts = state.get if state.exists else (-1, [], [])
-    held = list(zip(raws, starts, strict=True))
+def _carried(last: int, held: list[tuple[str, int]], arrived: pd.DataFrame) -> tuple[int, list[tuple[str, int]], list[tuple]]:
+    """The last revision and its excluded matches after the revisions that arrived, oldest first, and a row for each match
+    excluded in one of them; revisions seen before are ignored."""
     rows = []
-    arrived = pd.concat(list(frames)).sort_values("revision")
+    arrived = arrived.sort_values("revision", kind="stable")
     for revision, said, begun, asked in zip(arrived["revision"], arrived["raws"], arrived["starts"], arrived["excluded"], strict=True):
         if revision <= last:
             continue
         last = int(revision)
         asked = set(asked) if asked is not None else set()
         near: dict[str, list[int]] = {}
-        for raw, start in held:  # in text order
+        for raw, start in sorted(held, key=lambda m: m[1]):
             near.setdefault(raw, []).append(start)
         now = []
         for n, (raw, start) in enumerate(zip(said, map(int, begun), strict=True)):
@@ -49,30 +45,68 @@ def _follow(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState, idle_
             at = bisect_left(known, start - TOLERANCE)
             if n in asked or (at < len(known) and known[at] <= start + TOLERANCE):
                 now.append((raw, start))
-                rows.append((key[0], last, n, raw, start))
+                rows.append((last, n, raw, start))
         held = now
-    state.update((last, [r for r, _ in held], [s for _, s in held]))
-    if idle_ms:
-        state.setTimeoutDuration(idle_ms)
-    yield pd.DataFrame(rows, columns=["doc_id", "revision", "ord", "raw", "index"])
+    return last, held, rows
 
 
-def stream_carry_exclusions(stream: DataFrame, mode: str = "eur", idle_ms: int | None = WEEK_MS) -> DataFrame:
+class CarryExclusions(StatefulProcessor):
+    """A document's last revision, and a list of the matches excluded in it; both go when they weren't written for idle_ms."""
+
+    def __init__(self, idle_ms: int | None):
+        self.idle_ms = idle_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.last = handle.getValueState("last", "revision int", self.idle_ms)
+        self.held = handle.getListState("held", "raw string, start int", self.idle_ms)
+
+    def _state(self) -> tuple[int, list[tuple[str, int]]]:
+        last = self.last.get()
+        return (-1, []) if last is None else (int(last[0]), [(raw, int(start)) for raw, start in self.held.get()])
+
+    def _keep(self, last: int, held: list[tuple[str, int]]) -> None:
+        self.last.update((last,))
+        if held:
+            self.held.put(held)
+        else:
+            self.held.clear()
+
+    def handleInitialState(self, key, initialState: pd.DataFrame, timerValues) -> None:
+        """Of the revisions given the last counts."""
+        last, held = self._state()
+        newest = max(last, int(initialState["revision"].max()))
+        mine = initialState[initialState["revision"] == newest]
+        given = [(raw, int(start)) for raw, start in zip(mine["raw"], mine["index"], strict=True) if raw is not None]
+        self._keep(newest, given + (held if newest == last else []))
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        arrived = pd.concat(list(rows))
+        last, held = self._state()
+        last, held, found = _carried(last, held, arrived)
+        if last >= 0:
+            self._keep(last, held)
+        yield pd.DataFrame([(key[0], *r) for r in found], columns=["doc_id", "revision", "ord", "raw", "index"])
+
+    def close(self) -> None:
+        """Nothing is open."""
+
+
+def stream_carry_exclusions(stream: DataFrame, mode: str = "eur", idle_ms: int | None = WEEK_MS, initial: DataFrame | None = None) -> DataFrame:
     """Exclusions of each revision (doc_id, revision, text, excluded: the places excluded by hand in it).
 
     A match is excluded if it was asked for, or if an excluded match of the revision before has the same text and began
-    at most ten units away. State holds a document's excluded matches only, and goes after idle_ms without revisions;
-    None keeps it, which a run over what is available now needs in order to end.
+    at most ten units away. State holds a document's excluded matches only, and goes when no revision came for idle_ms;
+    None keeps it, which a run over what is available now needs in order to end. A new stream can start from the exclusions that a batch ended with (initial: doc_id, revision, raw,
+    index). State is kept by RocksDB, which the session is set to: keyed lists with a time to live need it.
     """
-    timeout = GroupStateTimeout.ProcessingTimeTimeout if idle_ms else GroupStateTimeout.NoTimeout
-
-    def follow(key, frames, state):
-        return _follow(key, frames, state, idle_ms)
-
+    stream.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
     # only matches and their places go to Python
     placed = A.with_places(stream.select("doc_id", "revision", "excluded", "text"), mode)
     cut = placed.select("doc_id", "revision", "excluded", F.col("places.raw").alias("raws"), F.col("places.index").alias("starts"))
-    return cut.groupBy("doc_id").applyInPandasWithState(follow, EXCLUDED, STATE, "append", timeout)
+    start = None
+    if initial is not None:
+        start = initial.select("doc_id", F.col("revision").cast("int").alias("revision"), "raw", F.col("index").cast("int").alias("index")).groupBy("doc_id")
+    return cut.groupBy("doc_id").transformWithStateInPandas(CarryExclusions(idle_ms), EXCLUDED, "append", "ProcessingTime" if idle_ms else "None", start)
 
 
 def stream_publish(stream: DataFrame, path: str, checkpoint: str, order: str = ORDER):

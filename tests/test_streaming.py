@@ -16,3 +16,38 @@ def test_exclusions_follow_revisions(spark, tmp_path):
         q.awaitTermination()
     got = sorted((r["doc_id"], r["revision"], r["ord"], r["index"]) for r in spark.read.parquet(str(tmp_path / "out")).collect())
     assert got == [(1, 0, 0, 0), (1, 1, 0, 10)]
+
+
+SCHEMA = "doc_id long, revision int, text string, excluded array<int>"
+
+
+def drain(spark, folder, batches, idle_ms=None, **options):
+    """The rows of a stream over files that arrive one after another, each seen by a run of its own."""
+    for batch in batches:
+        spark.createDataFrame(batch, SCHEMA).coalesce(1).write.mode("append").parquet(str(folder / "in"))
+        out = S.stream_carry_exclusions(spark.readStream.schema(SCHEMA).parquet(str(folder / "in")), idle_ms=idle_ms, **options)
+        writer = out.writeStream.format("parquet").option("path", str(folder / "out")).option("checkpointLocation", str(folder / "log"))
+        if idle_ms is None:
+            writer.trigger(availableNow=True).start().awaitTermination()
+        else:  # with a time to live there is always another batch to come
+            running = writer.start()
+            for _ in range(200):
+                if running.awaitTermination(0.3) or any(p["numInputRows"] for p in running.recentProgress):
+                    break
+            running.stop()
+    return sorted((r["doc_id"], r["revision"], r["ord"], r["index"]) for r in spark.read.parquet(str(folder / "out")).collect())
+
+
+def test_exclusions_expire(spark, tmp_path):
+    batches = [[(1, 0, "10 € ja 20 €", [0])], [(1, 1, "10 € ja 20 €", None)]]
+    assert drain(spark, tmp_path / "kept", batches, 3_600_000) == [(1, 0, 0, 0), (1, 1, 0, 0)]
+    assert drain(spark, tmp_path / "gone", batches, 1) == [(1, 0, 0, 0)]
+
+
+def test_a_stream_starts_from_a_batch(spark, tmp_path):
+    held = [(1, 4, "20 €", 8), (1, 3, "10 €", 0), (2, 0, "5 €", 0), (3, 1, None, None)]
+    initial = spark.createDataFrame(held, "doc_id long, revision int, raw string, index int")
+    first = [(1, 4, "20 €", [0]), (1, 5, " 10 € ja 20 €", None), (2, 1, "x" * 20 + " 5 €", None), (3, 1, "7 €", [0]), (4, 0, "1 €", [0])]
+    assert drain(spark, tmp_path, [first], initial=initial) == [(1, 5, 1, 9), (4, 0, 0, 0)]
+    later = [(1, 6, "20 €", None), (1, 7, " " * 9 + "20 €", None), (3, 2, "7 €", [0])]
+    assert drain(spark, tmp_path, [later], initial=initial) == [(1, 5, 1, 9), (1, 6, 0, 0), (1, 7, 0, 9), (3, 2, 0, 0), (4, 0, 0, 0)]
