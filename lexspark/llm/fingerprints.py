@@ -10,7 +10,7 @@ that several different texts have. All grouping is aggregated map-side, so a gro
 The next document in descending doc_id is found in range buckets. Their bounds are quantiles of the ids, so that each
 bound is the first id of its bucket; that document is also held, as a guest, at the end of the bucket before.
 
-Defined cases: null texts are empty; equal ids are ordered by text; a null doc_id counts as the least id; repeated rows
+Defined cases: null texts are empty; texts of any length are digested whole; equal ids are ordered by text; a null doc_id counts as the least id; repeated rows
 have equal fingerprints; a table of one row follows itself; an empty table gives no rows; other columns are ignored.
 """
 

@@ -10,7 +10,8 @@ to give each such bucket its first rank, and ranks inside a bucket come from a w
 so many buckets that each holds about `BUCKET_ROWS` rows, whatever the size of the input; the order doesn't depend on
 their number. `mix` then finds its rows again by a key of their own, so that texts are moved once and no bucket holds them.
 
-Defined cases: null and empty texts have size 0 and are never counted in words; null sources form one source, ordered
+Defined cases: null and empty texts have size 0 and are never counted in words; very long texts count whole and come up
+to max_repeat times like any other; rows of one source equal in size and doc_id are ordered by nothing else, and together take the same; null sources form one source, ordered
 last; a source without words has target 0; repeated rows are separate documents; an empty table gives no rows; other
 columns, of whatever names, are carried along by `mix` and ignored by `plan`.
 """

@@ -4,8 +4,9 @@ Tokenising and packing happen in one narrow pass: each task cuts its documents i
 pieces, places them longest first into the tightest open window, and emits the placements. Nothing is shuffled, and a
 lost task is simply run again. With thousands of pieces a block, the windows left open at its end are a small part.
 
-Defined cases: a null or empty text is one piece holding only the end id; repeated rows are packed as often as they
-occur; an empty table gives no rows; a null doc_id is kept; other columns of the input are ignored.
+Defined cases: a null or empty text is one piece holding only the end id; very long texts are encoded whole, in one task,
+and cut into full windows; pieces of one length keep their order, and of equally tight windows the one that came to be so
+last is taken; repeated rows are packed as often as they occur; an empty table gives no rows; a null doc_id is kept; other columns of the input are ignored.
 """
 
 from __future__ import annotations

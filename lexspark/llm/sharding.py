@@ -4,8 +4,8 @@ A row's shard follows from its key and the number of shards alone; when shards a
 them move. Rows are numbered within their shard without a sort: each input task counts its own rows per shard, and the
 running sums of these counts over tasks give each task's first slot.
 
-Defined cases: a null key hashes as key 0; a null text has no bytes (size 1, crc32 0); repeated rows share a shard and
-get slots of their own; an empty table gives no rows; other columns are ignored.
+Defined cases: a null key hashes as key 0; a null text has no bytes (size 1, crc32 0); texts of any length only
+count and are never moved; rows with one key share a shard and, repeated rows too, get slots of their own in no stated order; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations

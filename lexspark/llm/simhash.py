@@ -17,7 +17,8 @@ in one component already never leave the join, and neither do pairs of a hot sig
 that they are not similar enough. The components are the same as over all pairs.
 
 Defined cases: null, empty and blank texts have fingerprint zero and link to whatever lies within the distance of zero;
-texts with fewer words than a shingle are one shingle; repeated rows share everything; a null doc_id belongs to its
+texts with fewer words than a shingle are one shingle; very long texts are shingled whole, each in one task; a bit set in
+just half the hashes is 0; repeated rows share everything; a null doc_id belongs to its
 component but is never its name unless all its ids are null; an empty table gives no rows; other columns, of whatever
 names, are ignored by `near_duplicates` and carried along by `keep_one`.
 """

@@ -10,7 +10,7 @@ member if its first bytes inflate to a WARC header, and then follows member afte
 inside its range, and reads past the range's end only to finish the last one. A response's length and digest are those
 of the payload as read, and `intact` says whether its header states the same.
 
-Defined cases: a null html is an empty payload; records of rows repeated whole, id included, are all alike; rows that
+Defined cases: a null html is an empty payload; a payload of any length is one record, inflated in one task; records of rows repeated whole, id included, are all alike; rows that
 share the largest id of a payload are all responses; payloads below `min_revisit_bytes` are never revisits; a null id is
 written as an empty id; an empty table writes no file and reads back no rows; other columns are ignored.
 """
