@@ -1,4 +1,10 @@
-"""A training corpus from raw documents: quality, language, near-duplicates, mixing, packing."""
+"""A training corpus from raw documents: quality, language, near-duplicates, mixing, packing.
+
+Defined cases: null and empty texts hold no letter and go with the language stage, if the quality stage has kept them; very
+long texts go through every stage whole; rows repeated whole, and rows without an id, are documents of their own until the
+near-duplicate stage, which leaves one row of each group; a null source is a source of its own; ties are decided as each
+stage states; empty tables give no rows; columns beyond those of documents are carried up to packing.
+"""
 
 from __future__ import annotations
 
