@@ -545,10 +545,13 @@ SELECT doc_id, 0 AS revision, ord, raw, pos AS index FROM offsets WHERE line % 3
 SELECT doc_id, 1 AS revision, ord, raw, now AS index FROM revised r WHERE EXISTS (SELECT 1 FROM offsets o WHERE o.doc_id = r.doc_id AND o.line % 3 = 0 AND o.raw = r.raw AND abs(o.pos - r.now) <= 10)""")
 def streamed_exclusions(spark: SparkSession, sf_dir: str) -> DataFrame:
     asked = N.order_lines(spark, sf_dir).where(F.col("line") % 3 == 0).groupBy("doc_id").agg(F.collect_set("ord").alias("excluded"))
-    before = N.plain_texts(spark, sf_dir).join(asked, "doc_id", "left").select("doc_id", F.lit(0).alias("revision"), "text", "excluded")
+    before = N.plain_texts(spark, sf_dir).join(asked, "doc_id", "left")
     shifted = F.concat(F.repeat(F.lit(" "), (9 + F.col("doc_id") % 4).cast("int")), F.col("text"))
-    after = before.select("doc_id", F.lit(1).alias("revision"), shifted.alias("text"), F.lit(None).cast("array<int>").alias("excluded"))
-    return _drained(S.stream_carry_exclusions(_streamed(before.union(after)), idle_ms=None))
+    revision = lambda number, text, excluded: F.struct(F.lit(number).alias("revision"), text.alias("text"), excluded.alias("excluded"))
+    both = F.array(revision(0, F.col("text"), F.col("excluded")), revision(1, shifted, F.lit(None).cast("array<int>")))
+    arrived = before.select("doc_id", F.explode(both).alias("r")).select("doc_id", "r.*")
+    groups = max(N.table(spark, sf_dir, "orders").count() // 256, 64)
+    return _drained(S.stream_carry_exclusions(_streamed(arrived), idle_ms=None, groups=groups))
 
 
 @query("""SELECT DISTINCT 'act' || (p_partkey // 100) AS doc_id, (p_partkey // 100) % 2 = 0 AS replaced FROM part""")

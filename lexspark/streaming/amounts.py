@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from bisect import bisect_left
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -16,7 +16,9 @@ from lexspark.jobs.publish import ORDER, publish_if_changed
 TOLERANCE = 10
 WEEK_MS = 7 * 24 * 3600 * 1000
 
-EXCLUDED = "doc_id long, revision int, ord int, raw string, index int"
+EXCLUDED = "doc_id string, revision int, ord int, raw string, index int"
+HELD = "doc_id string, last int, written long, raws array<string>, starts array<int>"
+GROUPS = 4096
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -26,87 +28,107 @@ def stream_amounts(stream: DataFrame, mode: str = "eur") -> DataFrame:
     return found.select("doc_id", "m.ord", "m.raw", "m.amount", "m.decimals")
 
 
-def _carried(last: int, held: list[tuple[str, int]], arrived: pd.DataFrame) -> tuple[int, list[tuple[str, int]], list[tuple]]:
-    """The last revision and its excluded matches after the revisions that arrived, oldest first, and a row for each match
-    excluded in one of them; revisions seen before are ignored."""
-    rows = []
-    arrived = arrived.sort_values("revision", kind="stable")
-    for revision, said, begun, asked in zip(arrived["revision"], arrived["raws"], arrived["starts"], arrived["excluded"], strict=True):
-        if revision <= last:
-            continue
-        last = int(revision)
-        asked = set(asked) if asked is not None else set()
-        near: dict[str, list[int]] = {}
-        for raw, start in sorted(held, key=lambda m: m[1]):
-            near.setdefault(raw, []).append(start)
-        now = []
-        for n, (raw, start) in enumerate(zip(said, map(int, begun), strict=True)):
-            known = near.get(raw, [])
-            at = bisect_left(known, start - TOLERANCE)
-            if n in asked or (at < len(known) and known[at] <= start + TOLERANCE):
-                now.append((raw, start))
-                rows.append((last, n, raw, start))
-        held = now
-    return last, held, rows
+def _carried(held: list[tuple[str, int]], said: Iterable[str], begun: Iterable[int], asked: Iterable[int] | None) -> list[tuple[int, str, int]]:
+    """The excluded matches of a revision (ord, raw, start), from those of the revision before."""
+    asked = set(asked) if asked is not None else set()
+    near: dict[str, list[int]] = {}
+    for raw, start in sorted(held, key=lambda m: m[1]):
+        near.setdefault(raw, []).append(start)
+    now = []
+    for n, (raw, start) in enumerate(zip(said, map(int, begun), strict=True)):
+        known = near.get(raw, [])
+        at = bisect_left(known, start - TOLERANCE)
+        if n in asked or (at < len(known) and known[at] <= start + TOLERANCE):
+            now.append((n, raw, start))
+    return now
 
 
 class CarryExclusions(StatefulProcessor):
-    """A document's last revision, and a list of the matches excluded in it; both go when they weren't written for idle_ms."""
+    """A group's list of documents: their last revision, and the matches excluded in it. A document goes when it wasn't
+    written for idle_ms, the list when none of the group was. It is read and written once a batch, whole."""
 
     def __init__(self, idle_ms: int | None):
         self.idle_ms = idle_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.last = handle.getValueState("last", "revision int", self.idle_ms)
-        self.held = handle.getListState("held", "raw string, start int", self.idle_ms)
-
-    def _state(self) -> tuple[int, list[tuple[str, int]]]:
-        last = self.last.get()
-        return (-1, []) if last is None else (int(last[0]), [(raw, int(start)) for raw, start in self.held.get()])
-
-    def _keep(self, last: int, held: list[tuple[str, int]]) -> None:
-        self.last.update((last,))
-        if held:
-            self.held.put(held)
+        self.list = handle.getListState("held", HELD, self.idle_ms)
+
+    def _now(self, timerValues) -> int:
+        return 0 if self.idle_ms is None else int(timerValues.getCurrentProcessingTimeInMs())
+
+    def _state(self, now: int) -> dict[str | None, tuple[int, int, list[tuple[str, int]]]]:
+        """(last revision, when written, excluded matches) of each document that has not expired."""
+        return {
+            doc_id: (last, written, list(zip(raws, starts, strict=True)))
+            for doc_id, last, written, raws, starts in self.list.get()
+            if self.idle_ms is None or written + self.idle_ms > now
+        }
+
+    def _keep(self, documents: dict[str | None, tuple[int, int, list[tuple[str, int]]]]) -> None:
+        if documents:
+            self.list.put([(doc_id, last, written, [m[0] for m in held], [m[1] for m in held]) for doc_id, (last, written, held) in documents.items()])
         else:
-            self.held.clear()
+            self.list.clear()
 
     def handleInitialState(self, key, initialState: pd.DataFrame, timerValues) -> None:
-        """Of the revisions given the last counts."""
-        last, held = self._state()
-        newest = max(last, int(initialState["revision"].max()))
-        mine = initialState[initialState["revision"] == newest]
-        given = [(raw, int(start)) for raw, start in zip(mine["raw"], mine["index"], strict=True) if raw is not None]
-        self._keep(newest, given + (held if newest == last else []))
+        """Of the revisions given of a document the last counts."""
+        now = self._now(timerValues)
+        documents = self._state(now)
+        for doc_id, revision, raw, start in zip(*[initialState[c] for c in ("doc_id", "revision", "raw", "index")], strict=True):
+            last, _, held = documents.get(doc_id, (-1, now, []))
+            if revision >= last:
+                held = held if revision == last else []
+                if raw is not None:
+                    held.append((raw, int(start)))
+                documents[doc_id] = (int(revision), now, held)
+        self._keep(documents)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        arrived = pd.concat(list(rows))
-        last, held = self._state()
-        last, held, found = _carried(last, held, arrived)
-        if last >= 0:
-            self._keep(last, held)
-        yield pd.DataFrame([(key[0], *r) for r in found], columns=["doc_id", "revision", "ord", "raw", "index"])
+        """A row for each match excluded in a revision that arrived; revisions seen before are ignored."""
+        now = self._now(timerValues)
+        documents, found = self._state(now), []
+        arrived = pd.concat(list(rows)).sort_values("revision", kind="stable")
+        for doc_id, revision, said, begun, asked in zip(*[arrived[c] for c in ("doc_id", "revision", "raws", "starts", "excluded")], strict=True):
+            last, _, held = documents.get(doc_id, (-1, now, []))
+            if revision > last:
+                last = int(revision)
+                matches = _carried(held, said, begun, asked)
+                found += [(doc_id, last, *m) for m in matches]
+                held = [m[1:] for m in matches]
+            if last >= 0:
+                documents[doc_id] = (last, now, held)
+        self._keep(documents)
+        yield pd.DataFrame(found, columns=["doc_id", "revision", "ord", "raw", "index"])
 
     def close(self) -> None:
         """Nothing is open."""
 
 
-def stream_carry_exclusions(stream: DataFrame, mode: str = "eur", idle_ms: int | None = WEEK_MS, initial: DataFrame | None = None) -> DataFrame:
+def stream_carry_exclusions(
+    stream: DataFrame, mode: str = "eur", idle_ms: int | None = WEEK_MS, initial: DataFrame | None = None, groups: int = GROUPS
+) -> DataFrame:
     """Exclusions of each revision (doc_id, revision, text, excluded: the places excluded by hand in it).
 
     A match is excluded if it was asked for, or if an excluded match of the revision before has the same text and began
     at most ten units away. State holds a document's excluded matches only, and goes when no revision came for idle_ms;
     None keeps it, which a run over what is available now needs in order to end. A new stream can start from the exclusions that a batch ended with (initial: doc_id, revision, raw,
     index). State is kept by RocksDB, which the session is set to: keyed lists with a time to live need it.
+
+    Python asks for state over a socket, a few milliseconds each time, so it is keyed by groups that documents are dealt to
+    by the hash of their id, not by documents. A batch reads and writes the lists of the groups that it touches: groups
+    should be the number of documents, divided by some hundreds. It is fixed for the life of a checkpoint.
     """
     stream.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
-    # only matches and their places go to Python
+    # only matches and their places go to Python, and ids as text, which stay whole beside null
+    kind = stream.schema["doc_id"].dataType
+    dealt = lambda df: df.withColumns({"doc_id": F.col("doc_id").cast("string"), "group": F.pmod(F.xxhash64(F.col("doc_id").cast(kind)), F.lit(groups))})
     placed = A.with_places(stream.select("doc_id", "revision", "excluded", "text"), mode)
-    cut = placed.select("doc_id", "revision", "excluded", F.col("places.raw").alias("raws"), F.col("places.index").alias("starts"))
+    cut = dealt(placed.select("doc_id", "revision", "excluded", F.col("places.raw").alias("raws"), F.col("places.index").alias("starts")))
     start = None
     if initial is not None:
-        start = initial.select("doc_id", F.col("revision").cast("int").alias("revision"), "raw", F.col("index").cast("int").alias("index")).groupBy("doc_id")
-    return cut.groupBy("doc_id").transformWithStateInPandas(CarryExclusions(idle_ms), EXCLUDED, "append", "ProcessingTime" if idle_ms else "None", start)
+        start = dealt(initial.select("doc_id", F.col("revision").cast("int").alias("revision"), "raw", F.col("index").cast("int").alias("index"))).groupBy("group")
+    carried = cut.groupBy("group").transformWithStateInPandas(CarryExclusions(idle_ms), EXCLUDED, "append", "ProcessingTime" if idle_ms else "None", start)
+    return carried.withColumn("doc_id", F.col("doc_id").cast(kind))
 
 
 def stream_publish(stream: DataFrame, path: str, checkpoint: str, order: str = ORDER):
