@@ -17,7 +17,7 @@ from lexspark.operators import people as P
 from lexspark.operators import register as R
 from lexspark.sources import acts
 from lexspark.sources.bundles import ActBundles
-from lexspark.sources.documents import read_documents, read_drifting_register, read_register
+from lexspark.sources.documents import read_documents, read_drifting_register, read_register, write_documents
 from lexspark.sources.folders import shared_dir
 from lexspark.streaming import amounts as S
 
@@ -183,9 +183,10 @@ def stored_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Totals of text files, one document a file, whose path is its id."""
     folder = f"{shared_dir(spark)}/texts-{uuid.uuid4()}"
     key = F.col("s_suppkey")
-    text = F.concat(F.lit("Leping\n"), key.cast("string"), F.lit(",50 € ja\n"), key.cast("string"), F.lit(" eurot"))
-    N.table(spark, sf_dir, "supplier").select(key.alias("supplier"), text.alias("value")).write.partitionBy("supplier").text(folder)
-    found = A.document_totals(read_documents(spark, f"{folder}/supplier=*", "text"))
+    text = F.concat(F.lit("Leping\n"), key.cast("string"), F.lit(",50 € ja\n"), key.cast("string"), F.lit(" eurot\n"))
+    suppliers = N.table(spark, sf_dir, "supplier")
+    write_documents(suppliers.select(key.alias("doc_id"), text.alias("text")), folder, "supplier=", suppliers.count() // 1000 + 1)
+    found = A.document_totals(read_documents(spark, f"{folder}/*", "text"))
     return found.select(F.regexp_extract("doc_id", "supplier=([0-9]+)", 1).cast("long").alias("file_id"), "total", "n_total")
 
 

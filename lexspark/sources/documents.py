@@ -1,8 +1,11 @@
-"""Reading documents and registers."""
+"""Reading documents and registers, and writing documents."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Iterable
+from urllib.parse import quote
+
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 SUBSTANCES = "array<struct<et:string,en:string>>"
@@ -19,6 +22,27 @@ def read_documents(spark: SparkSession, path: str, kind: str = "parquet") -> Dat
     return spark.read.text(path, wholetext=True).select(F.input_file_name().alias("doc_id"), F.col("value").alias("text"))
 
 
+def write_documents(documents: DataFrame, folder: str, prefix: str = "", folders: int = 1) -> None:
+    """(doc_id, text), each as a text file of its own under its id: `{folder}/{n}/{prefix}{doc_id}.txt`, n by the hash of the
+    id. A folder should hold some thousand files at most, and is written by one task; the driver sees no file. A null text
+    is empty; a task that runs again writes the same files."""
+
+    def write(rows: Iterable[Row]) -> None:
+        from pyarrow import fs
+
+        store, root = fs.FileSystem.from_uri(folder if "://" in folder or folder.startswith("file:") else "file://" + folder)
+        made = set()
+        for n, doc_id, text in rows:
+            if n not in made:
+                store.create_dir(f"{root}/{n}", recursive=True)
+                made.add(n)
+            with store.open_output_stream(f"{root}/{n}/{prefix}{quote(doc_id, safe='')}.txt") as out:
+                out.write((text or "").encode())
+
+    dealt = documents.select(F.pmod(F.xxhash64("doc_id"), F.lit(folders)).alias("n"), F.col("doc_id").cast("string"), "text")
+    dealt.repartition(folders, "n").foreachPartition(write)
+
+
 def flatten_register(registers: DataFrame) -> DataFrame:
     """One row per substance, with its list's description and its place in the list from 1; a missing English name is empty."""
     lists = registers.select(*[c for c in registers.columns if c not in ("meta", "lists")], "meta", F.explode("lists").alias("l"))
