@@ -61,3 +61,28 @@ def test_a_stream_takes_each_file_once(spark, tmp_path, register):
         spark.createDataFrame(part, "act_id long, kind string, body string").write.format("act_bundles").mode("append").save(folder)
         seen = drain()
     assert seen == sorted(r[0] for r in given)
+
+
+def test_ranges_grow_with_many_bytes():
+    files = [("a", 7 << 30), ("b", 0), ("c", 5), ("d", 6 << 30)]
+    got = B.ranges(files, 1 << 20)
+    assert len(got) <= B.RANGES + len(files)
+    for name, size in files:
+        mine = [r for r in got if r.name == name]
+        assert [r.start for r in mine] == ([0] + [r.end for r in mine[:-1]] if mine else []) and sum(r.end - r.start for r in mine) == size
+    assert len(B.ranges([("a", 50 << 20)], 1 << 20)) == 50
+
+
+def test_records_written_by_column():
+    import json
+
+    import pyarrow as pa
+
+    rows = [(i, k, b) for i in (None, 0, -5, 2**62) for k in (None, "xml", 'q"\\ä\n', "") for b in (None, "", "\x1e\x1f\x1fS", "ä\n\U0001f600")]
+    batch = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.string(), pa.string()), strict=True)], ["act_id", "kind", "body"])
+    for at, n in ((0, len(rows)), (5, 20), (3, 1), (0, 0)):
+        want = ""
+        for i, k, b in rows[at : at + n]:
+            head = json.dumps({"act_id": i, "kind": k} | ({"none": True} if b is None else {}))
+            want += "\x1e" + head + "\n" + (b or "").replace("\x1f", "\x1fE").replace("\x1e", "\x1fS") + "\n"
+        assert B.written(batch.slice(at, n)).to_pybytes() == want.encode()
